@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvion.llm import bpe, langid, minhash, packing, quality, secrets, substring, toxicity
+from fluvion.llm import bpe, langid, minhash, packing, quality, secrets, substring, topk, toxicity, vectorjoin
 from fluvion.llm.samples import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorjoin.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -32,6 +36,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -62,7 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_substring, op4_minhash, op6_secrets, op7_packing, op8_quality, op9_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_vectors, op3_substring, op4_minhash, op5_topk, op6_secrets, op7_packing, op8_quality, op9_toxicity, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
