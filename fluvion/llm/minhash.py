@@ -229,8 +229,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts that are null or without words have no shingles and link with nothing, as do
     rows with a null id (component null, kept true). Rows with the same id and
-    text are copies of each other and all get the same answer. Other columns are not
-    read. An empty table gives an empty result. Copies are found whatever their number;
+    text all get the same answer; an id that several texts have is linked by each of them.
+    Other columns are not read. An empty table gives an empty result. Copies are found whatever their number;
     a pair at exactly the threshold is missed with probability MISSED, a nearer one with
     less.
     """

@@ -88,8 +88,8 @@ def fit(texts: pa.Array, y: np.ndarray, cost: float = 0.01, rounds: int = 15, le
     return model
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns but the text, plus score (double, 0 to 1). A null text counts as
+def score(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns (the text only with ``keep_text``), plus score (double, 0 to 1). A null text counts as
     empty and scores as the model's bias; one row out for each row in; an existing
     score column is replaced."""
 
@@ -97,7 +97,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         indicators = Indicators()
         return lambda column: {"score": doubles(sigmoid(model.slope * model.margins(column, indicators) + model.offset))}
 
-    return scored(df, text_col, make, "score double")
+    return scored(df, text_col, make, "score double", keep_text)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, most: int = TRAIN_ROWS) -> Model:

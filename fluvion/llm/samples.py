@@ -30,11 +30,11 @@ def with_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> p
     return table.sort_by([(id_col, "ascending"), ("__text", "ascending")])
 
 
-def scored(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], dict[str, pa.Array]]], columns: str) -> DataFrame:
-    """All columns of ``df`` but the text, plus ``columns`` (a DDL string), which the
+def scored(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], dict[str, pa.Array]]], columns: str, keep_text: bool = False) -> DataFrame:
+    """All columns of ``df`` (the text only with ``keep_text``), plus ``columns`` (a DDL string), which the
     function that ``make`` returns computes from a slice of texts."""
     names = [c.split()[0] for c in columns.split(",")]
-    rest = [f for f in df.schema if f.name != text_col and f.name not in names]
+    rest = [f for f in df.schema if (keep_text or f.name != text_col) and f.name not in names]
     keeps = [f.name for f in rest]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), columns])
 
@@ -45,7 +45,7 @@ def scored(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array],
                 out = score(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keeps), *(out[n] for n in names)], [*keeps, *names])
 
-    return df.select(*keeps, text_col).mapInArrow(run, schema)
+    return df.select(*keeps, *([] if keep_text else [text_col])).mapInArrow(run, schema)
 
 
 def doubles(x: np.ndarray) -> pa.Array:
