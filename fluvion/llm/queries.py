@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvion.llm import bpe, langid, minhash, packing, quality, secrets, substring, topk, toxicity, vectorjoin
+from fluvion.llm import bpe, langid, minhash, packing, quality, secrets, sql, substring, topk, toxicity, vectorjoin
 from fluvion.llm.samples import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_vectors": sql.VECTORS, "op3_substring": sql.SUBSTRING, "op4_minhash": sql.MINHASH, "op5_topk": sql.TOPK}
