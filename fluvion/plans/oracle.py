@@ -31,10 +31,10 @@ VIEWS = {
       JOIN rates r ON r.well = l.inj_id AND r.ds = CAST(p.ds - to_months(CAST(l.lower_bound AS INTEGER)) AS DATE)""",
     "edges": """SELECT a.well AS src, b.well AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM coords a JOIN coords b ON a.well < b.well
       WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1000000.0""",
-    "both": "SELECT src, dst, d, 1 / d AS w FROM edges WHERE d > 0 UNION ALL SELECT dst, src, d, 1 / d FROM edges WHERE d > 0",
+    "dirs": "SELECT src, dst, d, 1 / d AS w FROM edges WHERE d > 0 UNION ALL SELECT dst, src, d, 1 / d FROM edges WHERE d > 0",
 }
 
-_USES = {"prod": ["panel"], "spine": ["user_day"], "forecast": ["prod"], "pairs": ["coords"], "near": ["pairs"], "weighted": ["near"], "lagged": ["weighted"], "rates": ["panel"], "shifted": ["lagged", "prod", "rates"], "edges": ["coords"], "both": ["edges"]}
+_USES = {"prod": ["panel"], "spine": ["user_day"], "forecast": ["prod"], "pairs": ["coords"], "near": ["pairs"], "weighted": ["near"], "lagged": ["weighted"], "rates": ["panel"], "shifted": ["lagged", "prod", "rates"], "edges": ["coords"], "dirs": ["edges"]}
 
 
 def over(views: str, select: str) -> str:
