@@ -140,7 +140,7 @@ def character_spans(text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     character that a token has a byte of. Tokens that share a character overlap in it."""
     data = np.frombuffer(text.encode("utf-8"), np.uint8)
     upto = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    starts = np.concatenate(([0], ends[:-1]))
+    starts = np.concatenate(([0], ends)).astype(np.int64)[:-1]
     # The character of byte b is the count of first bytes up to and with b, less one.
     return upto[starts + 1] - 1, upto[ends]
 
