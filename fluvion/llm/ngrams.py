@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from fluvion.llm.arrays import LOWER, U64, Words, buffers
+from fluvion.llm.arrays import LOWER, U64, Words, buffers, slices
 
 #: Hashed features are numbered below 2**BITS; those of repeated words follow.
 BITS = 20
@@ -53,6 +53,19 @@ class Indicators:
             yield f[self.place[f] == count]  # of equal features the last stays
 
 
+    def each(self, texts: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
+        """The same for any number of texts, of which a bounded part is in work."""
+        for part in slices(pa.table({"t": texts}), "t"):
+            yield from self.of(part.column("t"))
+
+    def counts(self, texts: pa.Array | pa.ChunkedArray, y: np.ndarray) -> np.ndarray:
+        """In how many texts of class 0 and of class 1 each feature is."""
+        out = np.zeros((2, SIZE), np.int32)
+        for f, k in zip(self.each(texts), y):
+            out[int(k), f] += 1
+        return out
+
+
 def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all rows, and where each row begins (one entry more)."""
     starts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)

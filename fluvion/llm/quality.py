@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvion.llm.ngrams import SIZE, Indicators, platt, row_sums, sigmoid, sparse
+from fluvion.llm.ngrams import SIZE, Indicators, platt, sigmoid
 from fluvion.llm.samples import bounded, doubles, remainder, scored, with_texts
 
 #: Bound of the labelled rows that the fit reads.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 
 
 @dataclass
@@ -32,14 +32,13 @@ class Model:
         return np.array([self.weights[f].sum(dtype=np.float64) + self.bias for f in indicators.of(column)])
 
 
-def log_count_ratios(features: np.ndarray, starts: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    of = np.repeat(y, np.diff(starts))
-    p = alpha + np.bincount(features[of == 1], minlength=SIZE)
-    q = alpha + np.bincount(features[of == 0], minlength=SIZE)
+def log_count_ratios(counts: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """Of each feature, from its counts in the two classes."""
+    q, p = alpha + counts
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def dual_descent(features: np.ndarray, starts: np.ndarray, scale: np.ndarray, y: np.ndarray, cost: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
+def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
     """Weights and bias of a hinge-loss model with L2 penalty over rows of indicators
     times ``scale``. Each step solves for one row's multiplier, which stays between 0
     and ``cost`` over the size of its class's share."""
@@ -47,13 +46,13 @@ def dual_descent(features: np.ndarray, starts: np.ndarray, scale: np.ndarray, y:
     sign = np.where(y > 0, 1.0, -1.0)
     share = np.where(y > 0, (y > 0).mean(), (y == 0).mean())
     upper = cost * 0.5 / np.maximum(share, 1e-9)
-    norms = row_sums(scale[features] ** 2, starts) + 1.0
+    norms = np.array([(scale[f] ** 2).sum() for f in rows]) + 1.0
     w, bias, dual = np.zeros(len(scale)), 0.0, np.zeros(n)
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(n):
-            f = features[starts[i] : starts[i + 1]]
+            f = rows[i]
             s = scale[f]
             gradient = sign[i] * (w[f] @ s + bias) - 1
             new = min(max(dual[i] - gradient / norms[i], 0.0), upper[i])
@@ -68,24 +67,27 @@ def dual_descent(features: np.ndarray, starts: np.ndarray, scale: np.ndarray, y:
     return w, bias
 
 
-def fit(texts: pa.Array, y: np.ndarray, cost: float = 0.01, rounds: int = 15, least: int = 3, seed: int = 7) -> Model:
-    """Fit on the driver. Features in fewer than ``least`` texts are left out. Every
-    fifth row sets the scores' scale instead of the weights."""
+def fit(texts: pa.Array | pa.ChunkedArray, y: np.ndarray, cost: float = 0.01, rounds: int = 15, least: int = 3, seed: int = 7) -> Model:
+    """Fit on the driver, in memory of some kB a text. Features in fewer than ``least``
+    texts are left out. Every fifth row sets the scores' scale instead of the weights."""
+    y = np.asarray(y)
     order = np.random.default_rng(seed).permutation(len(y))
-    rows, y = [r for r in Indicators().of(texts)], np.asarray(y)
-    features, starts = sparse(rows)
-    common = np.bincount(features, minlength=SIZE) >= least
-    rows = [r[common[r]] for r in rows]
-    kept_out, fitted = order[: len(order) // 5], order[len(order) // 5 :]
-    f, s = sparse([rows[i] for i in fitted])
-    if not len(fitted) or len(set(y[fitted].tolist())) < 2:
+    fitted = np.ones(len(y), bool)
+    fitted[order[: len(order) // 5]] = False
+    if len(set(y[fitted].tolist())) < 2:
         return Model(np.zeros(SIZE, np.float32), 0.0, *platt(np.zeros(len(y)), y))
-    ratios = np.where(common, log_count_ratios(f, s, y[fitted]), 0.0)
-    w, bias = dual_descent(f, s, ratios, y[fitted], cost, rounds, seed)
-    model = Model((w * ratios).astype(np.float32), float(bias), 1.0, 0.0)
-    margins = np.array([model.weights[rows[i]].sum(dtype=np.float64) + bias for i in kept_out])
-    model.slope, model.offset = platt(margins, y[kept_out])
-    return model
+    indicators = Indicators()
+    counts = indicators.counts(pa.chunked_array([texts]).filter(pa.array(fitted)) if isinstance(texts, pa.Array) else texts.filter(pa.array(fitted)), y[fitted])
+    common = np.flatnonzero(counts.sum(axis=0) >= least)
+    ratios = log_count_ratios(counts)[common]
+    number = np.full(SIZE, -1, np.int32)
+    number[common] = np.arange(len(common))
+    rows = [f[f >= 0] for f in (number[f] for f in indicators.each(texts))]
+    w, bias = dual_descent([r for r, k in zip(rows, fitted) if k], ratios, y[fitted], cost, rounds, seed)
+    margins = np.array([(w[r] * ratios[r]).sum() + bias for r, k in zip(rows, fitted) if not k])
+    weights = np.zeros(SIZE, np.float32)
+    weights[common] = w * ratios
+    return Model(weights, float(bias), *platt(margins, y[~fitted]))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
