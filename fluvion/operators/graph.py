@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.sources.lineage import cut
+
 
 def edges_within(places: DataFrame, radius: float) -> DataFrame:
     """Pairs of wells whose places on the map are at most ``radius`` apart. Wells meet in
@@ -43,7 +45,7 @@ def pagerank(wells: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         got = state.join(out, F.col("well") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         loose = state.where("linked is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         moved = state.drop("rank").join(got, F.col("well") == F.col("dst"), "left").crossJoin(F.broadcast(loose))
-        state = moved.select("well", "linked", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
+        state = cut(moved.select("well", "linked", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank")))
     return state.select("well", "rank")
 
 
@@ -54,7 +56,7 @@ def closeness(wells: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     paths = d
     for _ in range(rounds - 1):
         longer = paths.join(d.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("d").alias("more")), "dst").where("src <> end").select("src", F.col("end").alias("dst"), (F.col("d") + F.col("more")).alias("d"))
-        paths = paths.unionByName(longer).groupBy("src", "dst").agg(F.min("d").alias("d"))
+        paths = cut(paths.unionByName(longer).groupBy("src", "dst").agg(F.min("d").alias("d")))
     n = wells.agg(F.count("*").alias("n"))
     g = paths.groupBy(F.col("src").alias("well")).agg(F.count("*").alias("k"), F.sum("d").alias("s"))
     c = F.try_divide(F.col("k") * F.col("k"), F.col("s") * (F.col("n") - 1))

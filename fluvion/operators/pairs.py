@@ -84,12 +84,12 @@ def nearest(pairs: DataFrame, k: int, group: str = "prod_id", by: str = "d", tie
 
 #: Default rock and fluid, in the units of the parameters of lag_window.
 PERMEABILITY_MD, POROSITY, VISCOSITY_CP, COMPRESSIBILITY = 150.0, 0.18, 1.2, 8e-4
-_MD, _ATM, _DAY = 9.869233e-16, 101325.0, 86400.0
+_MD, _MPA, _DAY = 9.869233e-16, 1e6, 86400.0
 
 
 def lag_window(pairs: DataFrame, permeability: float = PERMEABILITY_MD, porosity: float = POROSITY, viscosity: float = VISCOSITY_CP, compressibility: float = COMPRESSIBILITY, multiple: float = 1.5, period_days: int = 30) -> DataFrame:
     """Days that pressure takes over the distance, and the window of lags in periods."""
-    diffusivity = permeability * _MD / (porosity * viscosity * 1e-3 * (compressibility / _ATM))
+    diffusivity = permeability * _MD / (porosity * viscosity * 1e-3 * (compressibility / _MPA))
     t = F.col("d") * F.col("d") / (4 * diffusivity) / _DAY
     timed = pairs.withColumn("t_diff", t).withColumn("t_front", F.greatest(multiple * F.col("t_diff"), F.col("t_diff") + 30))
     periods = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / period_days)).cast("long")

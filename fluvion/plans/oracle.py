@@ -25,7 +25,7 @@ VIEWS = {
     "near": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prod_id ORDER BY d, inj_id) AS rk FROM pairs) WHERE rk <= 5",
     "weighted": "SELECT *, w / sum(w) OVER (PARTITION BY prod_id) AS weight FROM (SELECT *, pow(greatest(d, 1e-6), -2) AS w FROM near)",
     "lagged": """SELECT prod_id, inj_id, d, rk, weight, t_diff, greatest(1, CAST(ceil(t_diff / 30) AS BIGINT)) AS lower_bound, greatest(1, CAST(ceil(t_front / 30) AS BIGINT)) AS upper_bound FROM (
-      SELECT *, greatest(1.5 * t_diff, t_diff + 30) AS t_front FROM (SELECT *, d * d / (4 * (150 * 9.869233e-16 / (0.18 * 0.0012 * (8e-4 / 101325)))) / 86400 AS t_diff FROM weighted))""",
+      SELECT *, greatest(1.5 * t_diff, t_diff + 30) AS t_front FROM (SELECT *, d * d / (4 * (150 * 9.869233e-16 / (0.18 * 0.0012 * (8e-4 / 1e6)))) / 86400 AS t_diff FROM weighted))""",
     "rates": "SELECT well, ds, wwir AS x, wwir - coalesce(lag(wwir) OVER (PARTITION BY well ORDER BY ds), wwir) AS dx FROM panel WHERE type = 'INJ'",
     "shifted": """SELECT l.prod_id, l.inj_id, p.ds, l.lower_bound AS lag, p.wlpr AS y, r.x, r.dx FROM lagged l JOIN prod p ON p.well = l.prod_id
       JOIN rates r ON r.well = l.inj_id AND r.ds = CAST(p.ds - to_months(CAST(l.lower_bound AS INTEGER)) AS DATE)""",
