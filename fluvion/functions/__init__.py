@@ -1 +1 @@
-
+"""Functions on single values that Spark lacks."""

@@ -1 +1 @@
-
+"""The query catalogue and its SQL."""

@@ -1 +1 @@
-
+"""Room for streams. The workload is batch only: it has no late data, watermarks or state."""
