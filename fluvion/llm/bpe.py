@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fluvion.llm.arrays import slices, strings
+from fluvion.llm.scratch import map_batches
 
 #: Words that a worker's memo holds before it is emptied, and the longest such word.
 MEMO_WORDS, MEMO_CHARS = 300_000, 64
@@ -179,7 +180,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_pydict(out)
 
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"i {kind}, n_tokens long, ids binary{more}").withColumnRenamed("i", id_col)
+    return map_batches(rows, run, f"i {kind}, n_tokens long, ids binary{more}").withColumnRenamed("i", id_col)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -198,4 +199,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else c.decode(np.frombuffer(x, "<u4")) for x in ids], pa.binary())], [*batch.schema.names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out_col}` binary"
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from fluvion.llm import scratch
 from fluvion.llm.arrays import U64, Words, buffers, mix, slices
 from fluvion.llm.links import components
+from fluvion.llm.scratch import map_batches
 
 #: Minhashes in a key, and the share of pairs at the threshold that may be missed.
 KEY_HASHES, MISSED = 4, 2e-5
@@ -114,7 +115,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, signer: Signer) -> DataFra
                 offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_fingerprints(sets), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel(), pa.int64()))], ["id", "n_shingles", "print", "keys"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n_shingles long, print binary, keys array<long>")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), run, "id long, n_shingles long, print binary, keys array<long>")
 
 
 def blocks(reps: DataFrame, keys: int) -> DataFrame:
@@ -216,7 +217,7 @@ def verified(df: DataFrame, members: DataFrame, id_col: str, text_col: str, sign
                 yield out(links)
         yield out(close())
 
-    return units.mapInArrow(run, "u long, v long")
+    return map_batches(units, run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -237,7 +238,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = collection_size(percent / 100)
     signer = Signer(words, keys)
     signs = scratch.keep(signed(df, id_col, text_col, signer), "minhash-signatures")
-    classes = signs.where("n_shingles > 0 and id is not null").groupBy("print").agg(F.min("id").alias("rep"))
+    # Written, so that both sides of the join are plain shuffles and a large class can be split.
+    classes = signs.where("n_shingles > 0 and id is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = scratch.keep(classes, "minhash-copies")
     narrow = signs.select("id", "n_shingles", "print").where("id is not null")
     copies = scratch.keep(narrow.join(classes, "print", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "minhash-classes")
     reps = signs.where("n_shingles > 0").join(copies.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])

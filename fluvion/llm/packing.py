@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from fluvion.llm import scratch
 from fluvion.llm.arrays import slices, strings
 from fluvion.llm.bpe import codec
+from fluvion.llm.scratch import map_batches
 
 
 @dataclass
@@ -129,7 +130,7 @@ def pieces(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, c
                 yield pa.RecordBatch.from_arrays([part.column("i").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())], ["i", "piece", "start", "length", "ids", "task", "rank"])
 
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"i {kind}, piece int, start long, length long, ids binary, task int, rank long")
+    return map_batches(rows, run, f"i {kind}, piece int, start long, length long, ids binary, task int, rank long")
 
 
 def crc32(df: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def crc32(df: DataFrame) -> DataFrame:
             sums = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keeps), sums], [*(f.name for f in keeps), "ids_crc32"])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keeps) + ", ids_crc32 long")
+    return map_batches(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keeps) + ", ids_crc32 long")
 
 
 def place(kept: DataFrame, capacity: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluvion.llm.arrays import slices
+from fluvion.llm.scratch import map_batches
 
 
 def remainder(id_col: str, modulus: int) -> Column:
@@ -45,7 +46,7 @@ def scored(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array],
                 out = score(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keeps), *(out[n] for n in names)], [*keeps, *names])
 
-    return df.select(*keeps, *([] if keep_text else [text_col])).mapInArrow(run, schema)
+    return map_batches(df.select(*keeps, *([] if keep_text else [text_col])), run, schema)
 
 
 def doubles(x: np.ndarray) -> pa.Array:

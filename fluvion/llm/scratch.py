@@ -7,11 +7,17 @@ for local mode only.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch that Spark hands to a Python worker, where the session sets none.
+BATCH_BYTES = 4 << 20
+
 
 def root(spark: SparkSession) -> str:
     """The shared folder; the session's own setting always wins."""
@@ -36,3 +42,29 @@ def drop_all(spark: SparkSession) -> None:
     read one fail afterwards, so call it once these are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/fluvion")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and what an
+    allocator keeps for itself counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in batches of bounded bytes, whatever the rows' lengths. The bound is a
+    setting of the session and stays on it."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            trim()
+
+    return df.mapInArrow(lambda batches: run(fed(batches)), schema)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluvion.llm.arrays import buffers, slices, strings
+from fluvion.llm.scratch import map_batches
 
 #: The kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -133,7 +134,7 @@ def scan(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
                 out.append(pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in s] for s in spans], pa.list_(span)))
                 yield pa.RecordBatch.from_arrays(out, [*keeps, *([text_col] if redact is not None else []), "spans"])
 
-    return df.select(*keeps, text_col).mapInArrow(run, schema)
+    return map_batches(df.select(*keeps, text_col), run, schema)
 
 
 def written(spans: Column) -> Column:

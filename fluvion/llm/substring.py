@@ -25,7 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvion.llm.arrays import U64, Powers, Words, buffers, mix, runs, slices, strings, whole
+from fluvion.llm.arrays import U64, Powers, Words, buffers, runs, slices, whole
+from fluvion.llm.scratch import trim
 
 #: Bytes of text in a chunk, and bytes of text whose probes one owner sees.
 CHUNK_BYTES, OWNER_BYTES = 4 << 20, 48 << 20
@@ -256,17 +257,20 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     by_chunk = lambda: dealt.groupBy("__chunk")
 
     def first_pass(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        trim()
         return send_probes(Chunk(table, id_col, text_col, length), key[0].as_py(), owners)
 
     def second_pass(key: tuple[pa.Scalar, ...], table: pa.Table, hits: pa.Table) -> pa.Table:
         if not table.num_rows or not hits.num_rows:
             return send_windows_schema.empty_table()
+        trim()
         found = np.sort(np.concatenate([np.frombuffer(x, U64) for x in hits.column("hits").to_pylist()]))
         return send_windows(Chunk(table, id_col, text_col, length), found, key[0].as_py(), owners)
 
     send_windows_schema = pa.schema([("chunk", pa.int64()), ("owner", pa.int64()), ("prints", pa.binary()), ("seconds", pa.binary()), ("docs", pa.binary())])
 
     def third_pass(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
+        trim()
         c = Chunk(table, id_col, text_col, length)
         read = lambda name, kind: np.frombuffer(b"".join(found.column(name).to_pylist()), kind)
         gone = removed_words(c, read("prints", U64), read("seconds", np.uint32))

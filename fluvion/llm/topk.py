@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvion.llm import scratch
+from fluvion.llm.scratch import map_batches
 
 #: Vectors and queries in a block of the grid.
 VECTOR_ROWS, QUERY_ROWS = 8192, 1024
@@ -93,7 +94,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
                 out.append(np.clip((values[s:e] - low) / width, 0, CELLS - 1).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("size"), pa.array(out, pa.binary())], ["id", "size", "cells"])
 
-    file = scratch.keep(vectors.where("size > 0").mapInArrow(approximate, "id long, size int, cells binary"), "topk-file")
+    file = scratch.keep(map_batches(vectors.where("size > 0"), approximate, "id long, size int, cells binary"), "topk-file")
     n, m = file.count(), asked.count()
     if not n or not m:
         return asked.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
