@@ -28,8 +28,8 @@ from tokenizers import Tokenizer
 from fluvion.llm.arrays import slices, strings
 from fluvion.llm.scratch import map_batches
 
-#: Words that a worker's memo holds before it is emptied, and the longest such word.
-MEMO_WORDS, MEMO_CHARS = 300_000, 64
+#: Words that each of a worker's memos holds before it is emptied, and the longest such word.
+MEMO_WORDS, MEMO_CHARS = 900_000, 64
 
 
 def byte_characters() -> str:
@@ -74,48 +74,47 @@ class Codec:
             # A token outside the alphabet (a special one) stands for its own UTF-8 bytes.
             self.table[k] = bytes(back[c] for c in shown) if all(c in back for c in shown) else shown.encode()
         self.lengths = np.array([len(t) for t in self.table], np.int64)
-        self.pieces: dict[str, bytes] = {}
+        # Ids of words after a space, of other pieces, and of what texts open with.
+        self.others: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.opening: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            shown = (piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")).translate(self.chars)
-            ids = array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
-            if len(piece) <= MEMO_CHARS:
-                if len(self.pieces) >= MEMO_WORDS:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
+    def _remember(self, memo: dict[str, bytes], key: str, ids: bytes) -> bytes:
+        if len(key) <= MEMO_CHARS:
+            if len(memo) >= MEMO_WORDS:
+                memo.clear()
+            memo[key] = ids
         return ids
 
+    def _merged(self, piece: str) -> bytes:
+        shown = (piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")).translate(self.chars)
+        return array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Of one match of the pattern. One that begins with a space is a word of ``later``."""
+        memo, key = (self.later, piece[1:]) if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() else (self.others, piece)
+        ids = memo.get(key)
+        return self._remember(memo, key, self._merged(piece)) if ids is None else ids
+
     def _pieces(self, text: str) -> bytes:
-        if text[1:].isalpha() and text[0] == " ":  # letters alone: one piece
-            return self._piece(text)
         return b"".join(map(self._piece, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         head, *words = text.split(" ")
-        if "" in words or any(w[0].isspace() for w in words):
-            return self._pieces(text)
         memo = self.later
         found = list(map(memo.get, words))
         if None in found:
             for k, ids in enumerate(found):
                 if ids is None:
-                    found[k] = ids = self._pieces(" " + words[k])
-                    if len(words[k]) <= MEMO_CHARS:
-                        if len(memo) >= MEMO_WORDS:
-                            memo.clear()
-                        memo[words[k]] = ids
+                    word = words[k]
+                    if not word or word[0].isspace():  # never in the memo
+                        return self._pieces(text)
+                    # Letters alone are one piece; it may have been met since.
+                    found[k] = memo.get(word) or self._remember(memo, word, self._merged(" " + word) if word.isalpha() else self._pieces(" " + word))
         first = self.opening.get(head)
         if first is None:
-            first = self._pieces(head)
-            if len(head) <= MEMO_CHARS:
-                if len(self.opening) >= MEMO_WORDS // 10:
-                    self.opening.clear()
-                self.opening[head] = first
+            first = self._remember(self.opening, head, self._pieces(head))
         return first + b"".join(found)
 
     def decode(self, ids: np.ndarray) -> bytes:

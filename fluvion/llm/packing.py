@@ -103,10 +103,12 @@ def slots(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
     return out
 
 
-def pieces(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
-    """Pieces of all documents: id, piece, start, length, ids (binary), and the task and
-    the rank among the task's pieces of that length, counted as they come."""
+def pieces(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, capacity: int, end_id: int, digest_only: bool) -> DataFrame:
+    """Pieces of all documents: id, piece, start, length, ids (binary; with ``digest_only``
+    ids_crc32), and the task and the rank among the task's pieces of that length,
+    counted as they come."""
     kind = df.schema[id_col].dataType.simpleString()
+    name, what = ("ids_crc32", "long") if digest_only else ("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, task, tail = codec(path, pattern), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
@@ -123,26 +125,15 @@ def pieces(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, c
                         piece.append(number)
                         start.append(at)
                         length.append(upto - at)
-                        ids.append(coded[4 * at : 4 * upto])
+                        part_ids = coded[4 * at : 4 * upto]
+                        ids.append(zlib.crc32(part_ids) if digest_only else part_ids)
                         rank.append(int(seen[upto - at]))
                         seen[upto - at] += 1
                         at, upto, number = upto, upto + capacity, number + 1
-                yield pa.RecordBatch.from_arrays([part.column("i").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())], ["i", "piece", "start", "length", "ids", "task", "rank"])
+                yield pa.RecordBatch.from_arrays([part.column("i").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.int64() if digest_only else pa.binary()), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())], ["i", "piece", "start", "length", name, "task", "rank"])
 
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return map_batches(rows, run, f"i {kind}, piece int, start long, length long, ids binary, task int, rank long")
-
-
-def crc32(df: DataFrame) -> DataFrame:
-    """``df`` with ids_crc32 (long) in place of ids."""
-    keeps = [f for f in df.schema if f.name != "ids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sums = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keeps), sums], [*(f.name for f in keeps), "ids_crc32"])
-
-    return map_batches(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keeps) + ", ids_crc32 long")
+    return map_batches(rows, run, f"i {kind}, piece int, start long, length long, {name} {what}, task int, rank long")
 
 
 def place(kept: DataFrame, capacity: int) -> DataFrame:
@@ -181,6 +172,5 @@ def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
     documents of their own. Equal lengths may be exchanged between sequences from run to
     run. Other columns are not read. An empty table gives an empty result.
     """
-    made = pieces(df, path, pattern, id_col, text_col, capacity, end_id)
-    kept = scratch.keep(crc32(made) if digest_only else made, "packing-pieces")
+    kept = scratch.keep(pieces(df, path, pattern, id_col, text_col, capacity, end_id, digest_only), "packing-pieces")
     return place(kept, capacity).withColumnRenamed("i", id_col)
