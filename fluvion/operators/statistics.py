@@ -217,6 +217,25 @@ def warped_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sqrt(last[n]))
 
 
+def warped_block(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """``warped_distance`` of a[k] and b[k] for all k at once: shorter series are padded, and
+    a pair's result stands where its own series end."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b)], int).reshape(-1, 2)
+    n, m = sizes.max(0, initial=0)
+    wide = lambda rows, w: np.array([np.pad(np.asarray(x, float), (0, w - len(x))) for x in rows]).reshape(len(rows), w)
+    x, y, out = wide(a, n), wide(b, m), np.full(len(a), np.inf)
+    before, last = np.full((len(a), n + 1), np.inf), np.full((len(a), n + 1), np.inf)
+    before[:, 0] = 0.0
+    for d in range(2, n + m + 1):
+        now, low, high = np.full((len(a), n + 1), np.inf), max(1, d - m), min(n, d - 1)
+        best = np.minimum(np.minimum(last[:, low - 1 : high], last[:, low : high + 1]), before[:, low - 1 : high])
+        now[:, low : high + 1] = best + (x[:, low - 1 : high] - y[:, d - high - 1 : d - low][:, ::-1]) ** 2
+        ends = np.flatnonzero((sizes.sum(1) == d) & (sizes > 0).all(1))
+        out[ends] = now[ends, sizes[ends, 0]]
+        before, last = last, now
+    return np.sqrt(out)
+
+
 def warped_distances(series: DataFrame, pairs: DataFrame) -> DataFrame:
     """src, dst, dtw of pairs of series. series: well, s (array of double); pairs: src, dst."""
     side = lambda end, name: series.select(F.col("well").alias(end), F.col("s").alias(name))
@@ -224,11 +243,32 @@ def warped_distances(series: DataFrame, pairs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def dtw(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([warped_distance(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)])
+        return pd.Series(np.concatenate([np.zeros(0), *(warped_block(a[k : k + 512].tolist(), b[k : k + 512].tolist()) for k in range(0, len(a), 512))]))
 
     return both.select("src", "dst", dtw("a", "b").alias("dtw"))
 
 
+def all_warped_distances(series: DataFrame, part: int = 64) -> DataFrame:
+    """src, dst, dtw of all pairs with src < dst. Series are dealt into parts of about
+    ``part``; every two parts meet in one group, so a series is sent once for each part."""
+    parts = -(-series.count() // part) or 1
+    own = F.pmod(F.xxhash64("well"), F.lit(parts)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    dealt = series.select("well", "s", own.alias("p"), other.alias("o")).select("well", "s", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("well").reset_index(drop=True)
+        a, b = np.triu_indices(len(frame), 1)
+        own = frame["p"].to_numpy()
+        meet = (own[a] != own[b]) | (key[0] == key[1])
+        a, b, s = a[meet], b[meet], frame["s"].tolist()
+        d = [warped_block([s[x] for x in a[k : k + 512]], [s[x] for x in b[k : k + 512]]) for k in range(0, len(a), 512)]
+        well = frame["well"].to_numpy()
+        return pd.DataFrame({"src": well[a], "dst": well[b], "dtw": np.concatenate([np.zeros(0), *d])})
+
+    return dealt.repartition(min(parts * (parts + 1) // 2, 1000), "i", "j").groupBy("i", "j").applyInPandas(run, "src string, dst string, dtw double")
+
+
 def warped_similarity(distances: DataFrame) -> DataFrame:
     """exp(-d**2 / (2 s**2)) with s the median distance, at least 1e-9."""
     s = distances.agg(F.greatest(F.percentile("dtw", 0.5), F.lit(1e-9)).alias("s"))
@@ -245,18 +285,24 @@ def z_scored_steps(df: DataFrame, key: str, time: str, column: str, cutoff) -> D
     return scored.groupBy(F.col(key).alias("well")).agg(F.array_sort(F.collect_list(F.struct(time, "__z"))).alias("s")).select("well", F.col("s.__z").alias("s"))
 
 
+def distance_matrix(frame: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """Names in order and the lengths of edges between them, infinite without one."""
+    names = sorted(set(frame["src"]) | set(frame["dst"]))
+    at = {n: k for k, n in enumerate(names)}
+    d = np.full((len(names), len(names)), np.inf)
+    for a, b, v in zip(frame["src"], frame["dst"], frame["d"]):
+        if a != b:
+            d[at[a], at[b]] = d[at[b], at[a]] = v
+    return names, d
+
+
 def whole_graph(edges: DataFrame, wells: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(names, weights, distances)`` over one graph small enough for one task (the
     matrices are n x n); distances are infinite without an edge."""
     rows = edges.where("d > 0").select("src", "dst", "d").unionByName(wells.select(F.col("well").alias("src"), F.col("well").alias("dst"), F.lit(0.0).alias("d")))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(frame["src"]) | set(frame["dst"]))
-        at = {n: k for k, n in enumerate(names)}
-        d = np.full((len(names), len(names)), np.inf)
-        for a, b, v in zip(frame["src"], frame["dst"], frame["d"]):
-            if a != b:
-                d[at[a], at[b]] = d[at[b], at[a]] = v
+        names, d = distance_matrix(frame)
         with np.errstate(divide="ignore"):
             w = np.where(np.isfinite(d), 1 / d, 0.0)
         return pd.DataFrame({"well": names, **fn(names, w, d)})
@@ -264,37 +310,79 @@ def whole_graph(edges: DataFrame, wells: DataFrame, fn, schema: str) -> DataFram
     return rows.groupBy(F.lit(1).alias("__one")).applyInPandas(run, schema)
 
 
+def dealt_graph(edges: DataFrame, wells: DataFrame, fn, schema: str, parts: int = 12) -> DataFrame:
+    """``fn(names, distances, sources)`` in ``parts`` tasks, each of which has the whole
+    graph (an n x n matrix) and its share of the vertices as sources."""
+    rows = edges.where("d > 0").select("src", "dst", "d").unionByName(wells.select(F.col("well").alias("src"), F.col("well").alias("dst"), F.lit(0.0).alias("d")))
+    dealt = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        names, d = distance_matrix(frame)
+        return pd.DataFrame(fn(names, d, np.arange(key[0], len(names), parts)))
+
+    return dealt.repartition(parts, "part").groupBy("part").applyInPandas(run, schema)
+
+
+def shortest(distances: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Lengths of the shortest paths from each source to all vertices, infinite where there
+    is none: Dijkstra's algorithm for all sources at once."""
+    n, at = len(distances), np.arange(len(sources))
+    found = np.full((len(sources), n), np.inf)
+    found[at, sources] = 0.0
+    left = found.copy()  # infinite once a vertex is settled
+    for _ in range(n):
+        v = left.argmin(1)
+        here = left[at, v]
+        if not np.isfinite(here).any():
+            break
+        way = here[:, None] + distances[v]
+        left[at, v] = np.inf
+        better = way < found
+        found[better] = left[better] = way[better]
+    return found
+
+
+def passing(distances: np.ndarray, sources: np.ndarray, block: int = 64) -> np.ndarray:
+    """The sum over paths from the sources of the share that leads through each vertex.
+    Lengths that differ by 1e-12 of themselves are equal."""
+    n, score = len(distances), np.zeros(len(distances))
+    for k in range(0, len(sources), block):
+        some = sources[k : k + block]
+        at, length = np.arange(len(some)), shortest(distances, some)
+        order = length.argsort(1, kind="stable")
+        paths, gain = np.zeros(length.shape), np.zeros(length.shape)
+        paths[at, some] = 1.0
+
+        def before(v: np.ndarray) -> np.ndarray:
+            end = length[at, v][:, None]
+            with np.errstate(invalid="ignore"):
+                return (np.abs(length + distances[v] - end) <= 1e-12 * end) & (length < end) & np.isfinite(end)
+
+        for j in range(1, n):
+            v = order[:, j]
+            paths[at, v] = np.where(before(v), paths, 0.0).sum(1)
+        for j in range(n - 1, 0, -1):
+            v = order[:, j]
+            share = (1 + gain[at, v]) / np.maximum(paths[at, v], 1.0)
+            gain += np.where(before(v), paths * share[:, None], 0.0)
+        gain[at, some] = 0.0
+        score += gain.sum(0)
+    return score
+
+
 def betweenness(distances: np.ndarray) -> np.ndarray:
     """Share of shortest paths between others that lead through each vertex."""
     n = len(distances)
-    score = np.zeros(n)
-    for s in range(n):
-        dist, paths, order, done = np.full(n, np.inf), np.zeros(n), [], np.zeros(n, bool)
-        parents: list[list[int]] = [[] for _ in range(n)]
-        dist[s], paths[s] = 0, 1
-        for _ in range(n):
-            open_ = np.where(done, np.inf, dist)
-            v = int(open_.argmin())
-            if not np.isfinite(open_[v]):
-                break
-            done[v] = True
-            order.append(v)
-            for u in np.flatnonzero(np.isfinite(distances[v]) & ~done):
-                way = dist[v] + distances[v, u]
-                if way < dist[u] - 1e-12:
-                    dist[u], paths[u], parents[u] = way, paths[v], [v]
-                elif abs(way - dist[u]) <= 1e-12:
-                    paths[u] += paths[v]
-                    parents[u].append(v)
-        gain = np.zeros(n)
-        for v in reversed(order):
-            for p in parents[v]:
-                gain[p] += paths[p] / paths[v] * (1 + gain[v])
-            if v != s:
-                score[v] += gain[v]
+    score = passing(distances, np.arange(n))
     return score / ((n - 1) * (n - 2)) if n > 2 else score
 
 
+def dealt_betweenness(edges: DataFrame, wells: DataFrame) -> DataFrame:
+    """well, betweenness: ``betweenness`` with the sources dealt over tasks."""
+    score = dealt_graph(edges, wells, lambda n, d, some: {"well": n, "b": passing(d, some) / max((len(n) - 1) * (len(n) - 2), 1)}, "well string, b double")
+    return score.groupBy("well").agg(F.sum("b").alias("betweenness"))
+
+
 def eigenvector(weights: np.ndarray) -> np.ndarray:
     """Leading eigenvector, not negative, of length 1."""
     values, vectors = np.linalg.eigh(weights)
@@ -340,7 +428,7 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     """Mean silhouette by Euclidean distance; 0 for a cluster of one, -1 without two clusters."""
     if len(set(labels.tolist())) < 2:
         return -1.0
-    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    d = np.array([np.sqrt(((x - v) ** 2).sum(-1)) for v in x])
     out = np.zeros(len(x))
     for i, k in enumerate(labels):
         same = labels == k
@@ -375,18 +463,27 @@ def cluster(x: np.ndarray, most: int, starts: int = 10, seed: int = 42) -> np.nd
     return chosen
 
 
-def biased_walks(weights: np.ndarray, length: int = 20, each: int = 50, back: float = 1.0, out: float = 2.0, seed: int = 42) -> list[list[int]]:
-    """Random walks that weigh a return by 1 / back and a step away by 1 / out."""
+def biased_walks(weights: np.ndarray, length: int = 20, each: int = 50, back: float = 1.0, out: float = 2.0, seed: int = 42, block: int = 256) -> list[list[int]]:
+    """Random walks that weigh a return by 1 / back and a step away by 1 / out. Walks step
+    together in blocks; one that has no edge to leave by ends."""
     rng, n, walks = np.random.default_rng(seed), len(weights), []
+    linked = weights.any(1)
     for _ in range(each):
-        for v in rng.permutation(n).tolist():
-            walk = [v]
-            while len(walk) < length and weights[walk[-1]].any():
-                w = weights[walk[-1]].copy()
-                if len(walk) > 1:
-                    w *= np.where(np.arange(n) == walk[-2], 1 / back, np.where(weights[walk[-2]] > 0, 1.0, 1 / out))
-                walk.append(int(rng.choice(n, p=w / w.sum())))
-            walks.append(walk)
+        starts = rng.permutation(n)
+        for k in range(0, n, block):
+            path = [starts[k : k + block]]
+            walks += [[v] for v in path[0][~linked[path[0]]].tolist()]
+            path[0] = path[0][linked[path[0]]]
+            while len(path) < length:
+                w = weights[path[-1]]
+                if len(path) > 1:
+                    bias = np.where(weights[path[-2]] > 0, 1.0, 1 / out)
+                    bias[np.arange(len(bias)), path[-2]] = 1 / back
+                    w = w * bias
+                sums = w.cumsum(1)
+                drawn = np.minimum(rng.random(len(w)) * sums[:, -1], np.nextafter(sums[:, -1], 0))
+                path.append((sums <= drawn[:, None]).sum(1))
+            walks += np.array(path).T.tolist()
     return walks
 
 
@@ -395,11 +492,12 @@ def walk_embedding(weights: np.ndarray, count: int = 4, window: int = 5) -> np.n
     the positive pointwise mutual information of co-occurrence within the window."""
     n = len(weights)
     seen = np.zeros((n, n))
-    for walk in biased_walks(weights):
-        for k, v in enumerate(walk):
-            for u in walk[max(0, k - window) : k]:
-                seen[u, v] += 1
-                seen[v, u] += 1
+    walks = [w for w in biased_walks(weights) if len(w) > 1]
+    for gap in range(1, window + 1):
+        u = np.array([x for w in walks for x in w[:-gap]], int)
+        v = np.array([x for w in walks for x in w[gap:]], int)
+        met = np.bincount(u * n + v, minlength=n * n).reshape(n, n)
+        seen += met + met.T
     total, side = seen.sum() or 1.0, seen.sum(0)
     with np.errstate(divide="ignore", invalid="ignore"):
         pmi = np.log(seen * total / np.outer(side, side))

@@ -14,6 +14,7 @@ from fluvion.operators import statistics as st
 from fluvion.plans.catalog import query, rounded
 from fluvion.plans.catalog_pairs import _CUT, _cut, _edges, _lagged, _shifted, _weighted
 from fluvion.sources import tables as t
+from fluvion.sources.lineage import cut
 
 
 @query()
@@ -47,44 +48,43 @@ def pca_embedding(spark, sf):
     return st.window_embedding(rows, "well", "ds", "wlpr_window", _cut())
 
 
-def _first_wells(spark, sf, n: int = 20) -> DataFrame:
-    """The feature's own bound: whole-graph matrices are for a field's few wells."""
-    return t.coords(spark, sf).where(F.col("well").cast("long") < n)
-
-
-def _small(spark, sf) -> tuple[DataFrame, DataFrame]:
-    wells = _first_wells(spark, sf)
+def _field(spark, sf) -> tuple[DataFrame, DataFrame]:
+    wells = t.coords(spark, sf)
     return wells, graph.edges_within(wells, 2500.0)
 
 
 @query()
 def betweenness(spark, sf):
-    wells, edges = _small(spark, sf)
-    return st.whole_graph(edges, wells, lambda n, w, d: {"betweenness": st.betweenness(d)}, "well string, betweenness double")
+    wells, edges = _field(spark, sf)
+    return st.dealt_betweenness(edges, wells)
 
 
 @query()
 def eigenvector(spark, sf):
-    wells, edges = _small(spark, sf)
+    wells, edges = _field(spark, sf)
     return st.whole_graph(edges, wells, lambda n, w, d: {"eigenvector": st.eigenvector(w)}, "well string, eigenvector double")
 
 
 @query()
 def spectral(spark, sf):
-    wells, edges = _small(spark, sf)
+    wells, edges = _field(spark, sf)
     return st.whole_graph(edges, wells, lambda n, w, d: {"embedding": list(st.spectral(w, 3))}, "well string, embedding array<double>")
 
 
 @query()
 def node2vec(spark, sf):
-    wells, edges = _small(spark, sf)
+    wells, edges = _field(spark, sf)
     return st.whole_graph(edges, wells, lambda n, w, d: {"embedding": list(st.walk_embedding(w))}, "well string, embedding array<double>")
 
 
+def _steps(spark, sf) -> DataFrame:
+    rows = t.producers(spark, sf).join(t.coords(spark, sf).select("well"), "well", "left_semi")
+    return st.z_scored_steps(rows, "well", "ds", "wlpr", _cut())
+
+
 @query()
 def kmeans_silhouette(spark, sf):
-    wells, _ = _small(spark, sf)
-    series = st.z_scored_steps(t.producers(spark, sf).join(wells.select("well"), "well", "left_semi"), "well", "ds", "wlpr", _cut())
+    series = _steps(spark, sf)
 
     def one(frame):
         import pandas as pd
@@ -97,28 +97,24 @@ def kmeans_silhouette(spark, sf):
     return series.groupBy(F.lit(1).alias("__one")).applyInPandas(one, "well string, cluster int")
 
 
-def _warped(spark, sf) -> tuple[DataFrame, DataFrame]:
-    wells, edges = _small(spark, sf)
-    series = st.z_scored_steps(t.producers(spark, sf).join(wells.select("well"), "well", "left_semi"), "well", "ds", "wlpr", _cut())
-    a, b = series.select(F.col("well").alias("src")), series.select(F.col("well").alias("dst"))
-    return series, st.warped_distances(series, a.join(b, F.col("src") < F.col("dst")))
-
-
 @query()
 def dtw_distance(spark, sf):
-    return _warped(spark, sf)[1]
+    return st.all_warped_distances(_steps(spark, sf))
+
+
+def _similar(spark, sf) -> DataFrame:
+    return st.warped_similarity(cut(st.all_warped_distances(_steps(spark, sf))))
 
 
 @query()
 def dtw_similarity(spark, sf):
-    return st.warped_similarity(_warped(spark, sf)[1])
+    return _similar(spark, sf)
 
 
 @query()
 def dtw_neighbor_agg(spark, sf):
-    near = st.warped_similarity(_warped(spark, sf)[1]).select("src", "dst", (1 / F.greatest("similarity", F.lit(1e-12))).alias("d"))
-    rows = t.producers(spark, sf).join(_first_wells(spark, sf).select("well"), "well", "left_semi")
-    return graph.neighbour_aggregate(rows.select("well", "ds", "wlpr"), near, "wlpr", 3)
+    near = _similar(spark, sf).select("src", "dst", (1 / F.greatest("similarity", F.lit(1e-12))).alias("d"))
+    return graph.neighbour_aggregate(t.producers(spark, sf).select("well", "ds", "wlpr"), near, "wlpr", 3)
 
 
 def _weighted_rate(spark, sf) -> DataFrame:
