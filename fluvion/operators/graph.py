@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.operators import statistics
 from fluvion.sources.lineage import cut
 
 
@@ -32,8 +33,9 @@ def degree_centrality(wells: DataFrame, edges: DataFrame) -> DataFrame:
     return wells.select("well").join(g, "well", "left").crossJoin(F.broadcast(n)).select("well", F.coalesce(F.try_divide(F.col("k"), F.col("n") - 1), F.lit(0.0)).alias("degree"))
 
 
-def pagerank(wells: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """A fixed number of rounds by edge weight; what wells without edges hold is shared."""
+def pagerank(wells: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-8) -> DataFrame:
+    """Rank by edge weight; what wells without edges hold is shared. Rounds go on until the
+    ranks' changes sum to less than ``tolerance``, or for a fixed number of ``rounds``."""
     d = directed(edges)
     out = d.join(d.groupBy("src").agg(F.sum("w").alias("total")), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
     n = wells.count()
@@ -41,17 +43,28 @@ def pagerank(wells: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         return wells.select("well", F.lit(0.0).alias("rank"))
     linked = d.select(F.col("src").alias("well")).distinct().withColumn("linked", F.lit(True))
     state = wells.select("well").join(linked, "well", "left").withColumn("rank", F.lit(1.0 / n))
-    for _ in range(rounds):
+    if rounds is None:
+        out, state = cut(out), cut(state)
+    done = 0
+    while rounds is None or done < rounds:
         got = state.join(out, F.col("well") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         loose = state.where("linked is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        moved = state.drop("rank").join(got, F.col("well") == F.col("dst"), "left").crossJoin(F.broadcast(loose))
-        state = cut(moved.select("well", "linked", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank")))
+        moved = state.withColumnRenamed("rank", "was").join(got, F.col("well") == F.col("dst"), "left").crossJoin(F.broadcast(loose))
+        rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)
+        state = cut(moved.select("well", "linked", rank.alias("rank"), F.abs(rank - F.col("was")).alias("change")))
+        done += 1
+        if rounds is None and state.agg(F.sum("change")).first()[0] < tolerance:
+            break
+        state = state.drop("change")
     return state.select("well", "rank")
 
 
-def closeness(wells: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """Closeness by shortest paths of at most ``rounds`` edges, with the share of wells
-    reached: (r - 1) / sum of distances * (r - 1) / (n - 1)."""
+def closeness(wells: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Closeness by shortest paths, with the share of wells reached: (r - 1) / sum of
+    distances * (r - 1) / (n - 1). All paths count, each task having the whole graph and a
+    share of the sources; with ``rounds`` only paths of at most so many edges."""
+    if rounds is None:
+        return statistics.closeness(edges, wells)
     d = directed(edges).select("src", "dst", "d")
     paths = d
     for _ in range(rounds - 1):

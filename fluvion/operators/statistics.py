@@ -264,7 +264,7 @@ def all_warped_distances(series: DataFrame, part: int = 64) -> DataFrame:
         a, b, s = a[meet], b[meet], frame["s"].tolist()
         d = [warped_block([s[x] for x in a[k : k + 512]], [s[x] for x in b[k : k + 512]]) for k in range(0, len(a), 512)]
         well = frame["well"].to_numpy()
-        return pd.DataFrame({"src": well[a], "dst": well[b], "dtw": np.concatenate([np.zeros(0), *d])})
+        return pd.DataFrame({"src": well[a], "dst": well[b], "dtw": np.concatenate([np.zeros(0), *d])}).astype({"src": object, "dst": object})
 
     return dealt.repartition(min(parts * (parts + 1) // 2, 1000), "i", "j").groupBy("i", "j").applyInPandas(run, "src string, dst string, dtw double")
 
@@ -318,7 +318,7 @@ def dealt_graph(edges: DataFrame, wells: DataFrame, fn, schema: str, parts: int
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         names, d = distance_matrix(frame)
-        return pd.DataFrame(fn(names, d, np.arange(key[0], len(names), parts)))
+        return pd.DataFrame(fn(names, d, np.arange(key[0], len(names), parts))).astype({"well": object})  # Arrow takes no empty frame of text
 
     return dealt.repartition(parts, "part").groupBy("part").applyInPandas(run, schema)
 
@@ -383,6 +383,18 @@ def dealt_betweenness(edges: DataFrame, wells: DataFrame) -> DataFrame:
     return score.groupBy("well").agg(F.sum("b").alias("betweenness"))
 
 
+def closeness(edges: DataFrame, wells: DataFrame) -> DataFrame:
+    """well, closeness by shortest paths of any number of edges; 0 for a well without any."""
+
+    def some(names: list[str], d: np.ndarray, sources: np.ndarray) -> dict:
+        length = shortest(d, sources)
+        near = np.isfinite(length)
+        reached, total = near.sum(1) - 1, np.where(near, length, 0.0).sum(1)
+        return {"well": [names[k] for k in sources], "closeness": reached * reached / np.maximum(total * (len(names) - 1), np.finfo(float).tiny)}
+
+    return dealt_graph(edges, wells, some, "well string, closeness double")
+
+
 def eigenvector(weights: np.ndarray) -> np.ndarray:
     """Leading eigenvector, not negative, of length 1."""
     values, vectors = np.linalg.eigh(weights)

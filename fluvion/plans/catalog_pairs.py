@@ -207,13 +207,13 @@ def degree(spark, sf):
   r3 AS (SELECT well, loose, 0.15 / n + 0.85 * (coalesce((SELECT sum(q.r * p.p) FROM p JOIN r2 q ON q.well = p.src WHERE p.dst = r2.well), 0) + (SELECT coalesce(sum(r), 0) FROM r2 WHERE loose) / n) AS r FROM r2, n)
   SELECT well, round(r, 6) AS rank FROM r3""", dated=False)
 def pagerank(spark, sf):
-    return rounded(graph.pagerank(t.coords(spark, sf), _edges(spark, sf), rounds=3))
+    return rounded(graph.pagerank(t.coords(spark, sf), _edges(spark, sf)))
 
 
 @query("dirs coords", """WITH two AS (SELECT src, dst, min(d) AS d FROM (SELECT src, dst, d FROM dirs UNION ALL SELECT a.src, b.dst, a.d + b.d FROM dirs a JOIN dirs b ON a.dst = b.src WHERE a.src <> b.dst) GROUP BY src, dst)
   SELECT c.well, round(coalesce(count(src) * count(src) / (sum(d) * ((SELECT count(*) FROM coords) - 1)), 0), 6) AS closeness FROM coords c LEFT JOIN two ON src = c.well GROUP BY c.well""", dated=False)
 def closeness(spark, sf):
-    return rounded(graph.closeness(t.coords(spark, sf), _edges(spark, sf), 2))
+    return rounded(graph.closeness(t.coords(spark, sf), _edges(spark, sf)))
 
 
 @query("dirs coords", """WITH w AS (SELECT src, dst, w / (SELECT max(w) FROM dirs) AS w FROM dirs), tri AS (SELECT a.src AS well, sum(cbrt(a.w * b.w * c.w)) AS t FROM w a JOIN w b ON a.src = b.src AND a.dst < b.dst JOIN w c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src),
