@@ -2,7 +2,8 @@
 
 Ordinary words compress well under a BPE vocabulary and random strings don't, so a
 long run of key characters with few characters per token is taken for a secret, unless
-it is a known digest (hex of a usual length, a UUID) or reads as an identifier.
+it is a known digest (hex of a usual length, a UUID) or reads as an identifier: its groups
+of letters compress like words. Runs of letters only are judged alike.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 RANDOM_CHARS = 20
 RANDOM = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", re.I)
+LETTERS = re.compile(r"[A-Za-z]+")
 IDENTIFIER = re.compile(r"[+/_=-]*(?:[A-Za-z]+|[0-9]{1,8})(?:[+/_=-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[+/_=-]*")
 
 
@@ -75,12 +77,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _efficient(s: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
+    return len(s) >= ratio * len(encoding.encode_ordinary(s))
+
+
+def wordlike(s: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
+    """All groups of letters are one token or compress like words."""
+    return all(_efficient(w, encoding, ratio) or len(encoding.encode_ordinary(w)) == 1 for w in LETTERS.findall(s))
+
+
 def random_spans(text: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int, int]]:
     found = []
     for m in RANDOM.finditer(text):
         s = m[0]
-        letters, digits = any(c.isalpha() for c in s), any(c.isdigit() for c in s)
-        if letters and digits and not DIGEST.fullmatch(s) and not IDENTIFIER.fullmatch(s) and len(s) < ratio * len(encoding.encode_ordinary(s)):
+        if not LETTERS.search(s) or DIGEST.fullmatch(s) or _efficient(s, encoding, ratio):
+            continue
+        if not (IDENTIFIER.fullmatch(s) and wordlike(s, encoding, ratio)):
             found.append((m.start(), m.end(), 3))
     return found
 

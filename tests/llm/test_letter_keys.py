@@ -1,0 +1,31 @@
+"""Random keys without a digit, or in groups joined like an identifier's."""
+
+import random
+import string
+
+import public_tokenizers
+import pytest
+
+from fluvion.llm import secrets
+
+
+@pytest.fixture(scope="module")
+def spans():
+    encoding = secrets._vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return lambda text: [text[a:b] for a, b, _ in secrets.random_spans(text, encoding, 2.2)]
+
+
+@pytest.mark.parametrize("key", ["XkqZpwVbnMrtYuioGhjL", "qzxvkjwpfhgtrbnmlcdy", "QZXVKJWPFHGTRBNMLCDYQ", "xkqZpwVb-nMrtYuio-GhjLqWz", "Xkq/ZpwVbnMr+tYuioGhjLq="])
+def test_letters_only(spans, key):
+    assert spans(f"so {key} it is") == [key]
+
+
+def test_random_letters_are_found(spans):
+    r = random.Random(5)
+    keys = ["".join(r.choices(string.ascii_letters, k=20)) for _ in range(200)]
+    assert sum(spans(k) == [k] for k in keys) >= 196
+
+
+@pytest.mark.parametrize("text", ["some_long_identifier_name_here", "version-2024-10-11-release", "internationalization_settings", "path/to/the/documents/folder", "counterrevolutionaries", "MAXIMUM_NUMBER_OF_CONNECTIONS", "a_of_the_in_to_is_it_as_at", "----------------------", "getElementsByClassName", "aaaaaaaaaaaaaaaaaaaaaaaa"])
+def test_words_are_none(spans, text):
+    assert spans(text) == []
