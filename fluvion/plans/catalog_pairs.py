@@ -373,8 +373,10 @@ def well_stats(spark, sf):
 
 @query("prod", "SELECT CAST(ds AS VARCHAR) AS ds, * EXCLUDE (ds) FROM (SELECT ds, round(sum(CASE WHEN well = '1' THEN wlpr END), 6) AS \"1__wlpr\", round(sum(CASE WHEN well = '2' THEN wlpr END), 6) AS \"2__wlpr\" FROM prod WHERE well IN ('1', '2') GROUP BY ds)", dated=False)
 def pivot_wide(spark, sf):
-    wide = t.producers(spark, sf).where("well in ('1', '2')").groupBy("ds").pivot("well", ["1", "2"]).agg(F.sum("wlpr"))
-    return rounded(wide.withColumnsRenamed({"1": "1__wlpr", "2": "2__wlpr"}))
+    rows = t.producers(spark, sf).select("well", "ds", "wlpr")
+    wells = sorted((r["well"] for r in rows.select("well").distinct().collect()), key=lambda w: (len(w), w))
+    wide = rows.groupBy("ds").pivot("well", wells).agg(F.sum("wlpr"))
+    return rounded(wide.withColumnsRenamed({w: f"{w}__wlpr" for w in wells}))
 
 
 @query("prod", "SELECT well, ds, feature, round(value, 6) AS value FROM (SELECT well, ds, wlpr, womr FROM prod) UNPIVOT (value FOR feature IN (wlpr, womr))")

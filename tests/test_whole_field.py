@@ -109,3 +109,13 @@ def test_dealt_pairs_equal_single_pairs(spark):
     assert st.all_warped_distances(df.limit(1)).collect() == []
     got = {(r["src"], r["dst"]): r["dtw"] for r in st.all_warped_distances(df, part=2).collect()}
     assert got == pytest.approx({(a, b): st.warped_distance(np.array(s[a]), np.array(s[b])) for a in s for b in s if a < b})
+
+
+def test_pivot_has_a_column_for_every_producer(spark, field):
+    from fluvion.sources import tables as t
+
+    got = {r["ds"]: r.asDict() for r in entry.queries()["pivot_wide"](spark, field).collect()}
+    want = {(str(r["ds"]), r["well"]): r["wlpr"] for r in t.producers(spark, field).collect()}
+    assert sorted(got) == sorted({ds for ds, _ in want}) and "2002-01-01" in got
+    for ds, row in got.items():
+        assert row == {"ds": ds, **{f"{w}__wlpr": want.get((ds, w)) for w in producers()}}
