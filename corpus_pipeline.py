@@ -37,8 +37,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that a smaller document has are cut out; documents of which
-    nothing is left go."""
-    cut = substring.dedup(docs)
+    nothing is left go. The others keep their lines and spaces but for
+    those at the two ends of a text."""
+    cut = substring.dedup(docs, layout=True)
     gone = (F.col("n_words") > 0) & (F.col("n_removed") == F.col("n_words"))
     return cut.where(~gone).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

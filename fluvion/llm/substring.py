@@ -17,6 +17,7 @@ third of all documents share is one entry per chunk, never a list of documents.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ from fluvion.llm.scratch import trim
 
 #: Bytes of text in a chunk, and bytes of text whose probes one owner sees.
 CHUNK_BYTES, OWNER_BYTES = 4 << 20, 48 << 20
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Probe fingerprints have this many bits; their gaps take three bytes.
 PROBE_BITS, GAP_MAX = 40, (1 << 24) - 1
 _ANCHOR, _WINDOW, _SECOND = Powers(U64(0xD1342543DE82EF95)), Powers(U64(0xAF251AF3B0F025B5)), Powers(U64(0xB564EF22EC7AECE5))
@@ -232,13 +234,29 @@ def removed_words(c: Chunk, prints: np.ndarray, seconds: np.ndarray) -> np.ndarr
     return np.cumsum(cover)[: len(c.words)] > 0
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def without(text: bytes, drop: np.ndarray) -> bytes:
+    """``text`` without the words marked, each cut up to the start of the next word; the
+    spaces behind the last word stay."""
+    if not drop.any():
+        return text
+    spans = [m.span() for m in WORD.finditer(text)]
+    starts = [a for a, _ in spans]
+    out = [text[: starts[0]]]
+    for d, a, b in zip(drop.tolist(), starts, [*starts[1:], spans[-1][1]]):
+        if not d:
+            out.append(text[a:b])
+    return b"".join([*out, text[spans[-1][1] :]])
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, layout: bool = False) -> DataFrame:
     """Remove every word covered by a window of ``length`` words (2 at least) whose words
     also stand in a document with a smaller id. Windows are judged on the input.
 
     Words are runs of other than 0x20, 0x09-0x0D, unchanged. Returns all columns, the text
     replaced by the kept words joined by one space, then n_words and n_removed (long);
-    existing columns of these names are replaced.
+    existing columns of these names are replaced. With ``layout`` the text keeps its own
+    spaces and lines but for those at its two ends: each run of removed words is cut out
+    with the spaces behind it.
 
     A null text has no words and stays null. Rows with a null id are neither searched nor
     searched in: they keep all words. Rows with one id are one document: they don't
@@ -281,6 +299,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
             drop = gone[c.first[k] : c.first[k + 1]]
             n_words.append(len(words))
             n_removed.append(int(drop.sum()))
+            if layout and here[k]:
+                texts.append(without(text.encode("utf-8"), drop).strip())
+                continue
             if n_removed[-1]:
                 words = [w for w, d in zip(words, drop.tolist()) if not d]
             texts.append(b" ".join(words) if here[k] else None)
