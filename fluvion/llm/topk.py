@@ -4,7 +4,8 @@ Every dimension's range is cut into 256 equal cells, and a vector's approximatio
 the cell of each component: one byte instead of eight. A scan of the approximations
 alone bounds every inner product from both sides. A vector is of interest to a query only
 if its upper bound reaches the query's k-th largest lower bound; exact vectors are read
-for these, from the largest bound down, until the k-th exact score beats all bounds left.
+for all of these. Only this filter is done: nothing is read in the order of bounds, and
+nothing stops at the k-th exact score, so the result is exact and more is read.
 
 Components are whole numbers here, so scores are exact. Queries and vectors meet in a
 grid of bounded blocks; only approximations travel there.
