@@ -2,8 +2,9 @@
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D. No byte of a multi-byte
 UTF-8 character lies there, so byte runs and character runs are the same.
-Fingerprints are sums of table values times powers of an odd number modulo 2**64,
-passed through an avalanche; a prefix sum gives them for all words of a batch at once.
+A word's fingerprint is a 128-bit hash of its bytes, computed once for each distinct
+word of a slice; runs of words get theirs by joining halves, with an avalanche at each
+step, so no sums of powers stand behind any of them.
 """
 
 from __future__ import annotations
@@ -13,15 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
-#: Text bytes handled at once: temporaries take about forty times as much memory.
+#: Text bytes handled at once: temporaries take about thirty times as much memory.
 SLICE_BYTES = 1 << 20
 
-_rng = np.random.default_rng(20240229)
-_TABLE = _rng.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
-_BASE = U64(0x9E3779B97F4A7C15)
-_BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -38,25 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """Powers of an odd base and of its inverse, extended when asked for more."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, U64(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            up, down = np.full(n, self.base), np.full(n, self.inverse)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self.up[:n], self.down[:n]
-
-
-_BYTES = Powers(_BASE)
-
-
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     """One array without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,51 +67,87 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = SLICE_BYTES)
         at, done = upto, int(ends[upto - 1])
 
 
-class Words:
-    """The words of a batch of texts.
+def _blocks(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive bytes, about ``most`` each, that cut no word: also the
+    inside of a long text is handled in parts."""
+    at, n = 0, len(data)
+    while at < n:
+        upto = min(n, at + most)
+        border = offsets[np.searchsorted(offsets, upto)]
+        while upto < border and not _SPACE[data[upto - 1]]:
+            step = np.flatnonzero(_SPACE[data[upto : min(border, upto + 4096)]])
+            upto = upto + int(step[0]) + 1 if len(step) else min(int(border), upto + 4096)
+        yield at, upto
+        at = upto
 
-    starts, ends: byte positions; first: index of each text's first word, one entry more.
-    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.offsets = data, offsets
-        full = offsets[:-1] < offsets[1:]
-        inside = ~_SPACE[data]
-        before = np.empty_like(inside)
-        before[1:] = inside[:-1]
-        after = np.empty_like(inside)
-        after[:-1] = inside[1:]
-        if len(data):
-            before[offsets[:-1][full]] = False
-            after[offsets[1:][full] - 1] = False
-        self.starts = np.flatnonzero(inside & ~before)
-        self.ends = np.flatnonzero(inside & ~after) + 1
-        self.first = np.searchsorted(self.starts, offsets)
+class Words:
+    """The words of a batch of texts: fingerprints, and with ``wide`` second ones
+    (both 64 bits); counts: words of each text; first: index of each text's first word,
+    one entry more."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, wide: bool = False):
+        prints, more, starts = [], [], []
+        for a, b in _blocks(data, offsets, SLICE_BYTES):
+            at, h, second = self._block(data[a:b], offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")] - a, lower, wide)
+            starts.append(at + a)
+            prints.append(h)
+            more.append(second)
+        none = [np.zeros(0, U64)]
+        self.prints = np.concatenate(prints or none)
+        self.seconds = np.concatenate(more or none) if wide else None
+        starts = np.concatenate(starts or [np.zeros(0, np.int64)])
+        self.first = np.searchsorted(starts, offsets)
         self.counts = np.diff(self.first)
 
-    def fingerprints(self, lower: bool = False) -> np.ndarray:
-        data = LOWER[self.data] if lower else self.data
-        up, down = _BYTES.upto(len(data) + 1)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U64) * _BASE)
-
-    def texts(self) -> np.ndarray:
-        """Of each word, the index of its text."""
-        return np.repeat(np.arange(len(self.counts)), self.counts)
-
-
-def runs(words: np.ndarray, length: int, powers: Powers) -> np.ndarray:
+    @staticmethod
+    def _block(data: np.ndarray, borders: np.ndarray, lower: bool, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Where words begin, and their fingerprints. borders: where texts begin inside."""
+        inside = ~_SPACE[data]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        begins[borders] = inside[borders]
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return starts, np.zeros(0, U64), np.zeros(0, U64)
+        letters = data[inside]  # words stand gapless here
+        if lower:
+            letters = LOWER[letters]
+        upto = np.cumsum(inside)
+        ends = np.append(upto[starts[1:]] - 1, len(letters))
+        bounds = np.concatenate(([0], ends)).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
+        coded = words.dictionary_encode()
+        _, at, held = coded.dictionary.buffers()
+        held, at = held.to_pybytes(), np.frombuffer(at, np.int64)[: len(coded.dictionary) + 1].tolist()
+        distinct = [held[i:j] for i, j in zip(at, at[1:])]
+        which = coded.indices.to_numpy()
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), ">u8").astype(U64).reshape(-1, 2)
+        return starts, both[which, 0], both[which, 1] if wide else None
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Fingerprints of what ``a`` and then ``b`` stand for."""
+    return mix(a * U64(0xD6E8FEB86659FD93) + b)
+
+
+def runs(words: np.ndarray, length: int) -> np.ndarray:
     """Fingerprint of the ``length`` words from each position on, over text borders too;
-    positions with fewer words after them are missing."""
-    n = len(words)
-    if n < length:
+    positions with fewer words after them are missing. Runs of 2, 4, 8... words are
+    joined from halves, and ``length`` from these."""
+    n = len(words) - length + 1
+    if n <= 0:
         return np.zeros(0, U64)
-    up, down = powers.upto(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(words * up[:n], out=sums[1:])
-    return mix((sums[length:] - sums[:-length]) * down[: n - length + 1])
+    out, done, power, width = None, 0, words, 1
+    while True:
+        if length & width:
+            part = power[done : done + n]
+            out = mix(part + U64(length)) if out is None else joined(out, part)
+            done += width
+        if 2 * width > length:
+            return out
+        power = joined(power[:-width], power[width:])
+        width *= 2
 
 
 def whole(first: np.ndarray, n_runs: int, length: int) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by star contraction."""
+"""Connected components of a table of links, by star contraction, and roots of a forest."""
 
 from __future__ import annotations
 
@@ -35,3 +35,16 @@ def components(edges: DataFrame) -> DataFrame:
         edges = scratch.keep(hung, "links")
     hubs = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(hubs)
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """From a forest (u, v; v < u is the parent of u, of which it has one) to (u, v: the root
+    of u's tree). Each round halves the ways left; a parent of very many is one side of a
+    join of two written tables, which can be split."""
+    parents = scratch.keep(parents.select("u", "v"), "parents")
+    while True:
+        above = parents.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        moved = scratch.keep(parents.join(above, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")), "parents")
+        parents = moved.select("u", "v")
+        if moved.where("moved").isEmpty():
+            return parents

@@ -5,12 +5,15 @@ pair, one key from each collection, so m keys a side make m * m tables for 2 * m
 work. Documents that share a table key are candidates; which of them are linked is
 decided on their full shingle sets.
 
-Copies with the same set are one class, of which the smallest id stands for all. The
-representatives that table keys connect form blocks; a block is cut into parts of
-bounded size, and each pair of parts is one unit of work. Within a unit, candidates go
-by falling estimated similarity, and a pair whose ends are already connected there
-needs no check, so a large group of near copies takes about as many checks as it has
-members and no pairs are ever written out.
+Rows with the same set are one node. Candidates are verified in three steps, of which the
+first two are linear in the rows of the tables. First each node meets the smallest
+candidate of all its tables; the links found make a forest, whose roots stand for
+their trees. Then every node meets the smallest of each of its tables, unless both hang on
+one root by now. What remains are tables of three nodes and more whose nodes are not all
+linked: the nodes of these are joined in units of bounded size, those of the largest
+class against the others and the others against each other, never the
+largest class against itself. So a group of near copies costs about as much as it has
+table rows, and only mutual candidates that are not linked cost a square.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluvion.llm import scratch
-from fluvion.llm.arrays import U64, Words, buffers, mix, slices
-from fluvion.llm.links import components
+from fluvion.llm.arrays import U64, Words, buffers, joined, mix, runs, slices
+from fluvion.llm.links import components, roots
 from fluvion.llm.scratch import map_batches
 
 #: Minhashes in a key, and the share of pairs at the threshold that may be missed.
 KEY_HASHES, MISSED = 4, 2e-5
-#: Documents, and shingles, in a part of a block.
+#: Nodes, and shingles, in a part of a block.
 PART_DOCS, PART_SHINGLES = 512, 400_000
 
 
@@ -51,23 +54,16 @@ class Signer:
 
     def sets(self, column: pa.Array) -> list[np.ndarray]:
         """Of each text, its distinct shingles' fingerprints, sorted."""
-        w = Words(*buffers(column))
-        h = w.fingerprints(lower=True)
-        out = []
-        joined = np.zeros(max(0, len(h) - self.words + 1), U64)
-        for k in range(self.words):
-            joined *= U64(0xD6E8FEB86659FD93)
-            joined += h[k : k + len(joined)]
-        joined = mix(joined)
+        w = Words(*buffers(column), lower=True)
+        out, shingles = [], runs(w.prints, self.words)
         for a, b in zip(w.first[:-1], w.first[1:]):
             if b - a >= self.words:
-                out.append(np.unique(joined[a : b - self.words + 1]))
+                out.append(np.unique(shingles[a : b - self.words + 1]))
             elif b > a:  # fewer words: the whole sequence is the one shingle
                 x = np.full(1, b - a, U64)
-                for word in h[a:b]:
-                    x *= U64(0xD6E8FEB86659FD93)
-                    x += word
-                out.append(mix(x))
+                for k in range(a, b):
+                    x = joined(x, w.prints[k : k + 1])
+                out.append(x)
             else:
                 out.append(np.zeros(0, U64))
         return out
@@ -118,17 +114,39 @@ def signed(df: DataFrame, id_col: str, text_col: str, signer: Signer) -> DataFra
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), run, "id long, n_shingles long, print binary, keys array<long>")
 
 
-def blocks(reps: DataFrame, keys: int) -> DataFrame:
-    """id, block: the representatives that table keys connect; single ones are absent."""
-    one = reps.select("id", F.posexplode("keys").alias("k", "key"))
+def tables(nodes: DataFrame, keys: int) -> DataFrame:
+    """node, t: the tables that hold a node, of those that two keys of other nodes reach."""
+    one = nodes.select("node", F.posexplode("keys").alias("k", "key"))
     shared = one.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1").select("k", "key")
-    mine = one.join(shared, ["k", "key"]).select("id", F.struct("k", "key").alias("x"), (F.col("k") < keys).alias("left"))
-    sides = mine.groupBy("id").agg(F.collect_list(F.when(F.col("left"), F.col("x"))).alias("a"), F.collect_list(F.when(~F.col("left"), F.col("x"))).alias("b"))
-    tables = sides.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b")).select("id", F.xxhash64("a", "b").alias("t"))
-    tables = scratch.keep(tables, "minhash-tables")
-    least = tables.groupBy("t").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").select("t", "v")
-    edges = tables.join(least, "t").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
-    return components(edges).withColumnRenamed("component_id", "block")
+    mine = one.join(shared, ["k", "key"]).select("node", F.struct("k", "key").alias("x"), (F.col("k") < keys).alias("left"))
+    sides = mine.groupBy("node").agg(F.collect_list(F.when(F.col("left"), F.col("x"))).alias("a"), F.collect_list(F.when(~F.col("left"), F.col("x"))).alias("b"))
+    return sides.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b")).select("node", F.xxhash64("a", "b").alias("t"))
+
+
+def full_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, signer: Signer) -> DataFrame:
+    """node, n, set (array of long) of the nodes in ``wanted`` (node, rep, print), from the
+    texts of their smallest ids."""
+    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(wanted, "rep").select("node", "print", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                sets = signer.sets(part.column("t"))
+                same = [a == b for a, b in zip(set_fingerprints(sets), part.column("print").to_pylist())]  # an id may have several texts
+                sets = [s for s, k in zip(sets, same) if k]
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
+                values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("node").filter(pa.array(same)), pa.ListArray.from_arrays(offsets, pa.array(values))], ["node", "set"])
+
+    return map_batches(texts, run, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")).select("node", F.size("set").alias("n"), "set")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) with 100 * intersection >= percent * union."""
+    a, b = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("set").alias("su")), sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("set").alias("sv"))
+    met = pairs.join(a, "u").join(b, "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    both = F.size(F.array_intersect("su", "sv"))
+    return met.where(100 * both >= percent * (F.col("nu") + F.col("nv") - both)).select("u", "v")
 
 
 def same_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -143,12 +161,14 @@ def same_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def unit_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def unit_links(ids: np.ndarray, sides: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect what is linked within a unit: a forest over verified pairs.
-    sides: 0 and 1 for the two parts (all 0: one part against itself)."""
+    sides: 0 and 1 for the two parts (all 0: one part against itself); labels: the
+    classes known before, within which no pair is looked at."""
     n, keys = len(ids), signatures.shape[1] // 2
     two = bool(sides.any())
     rows, cols = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if two else (np.arange(n), np.arange(n))
+    label = np.unique(labels, return_inverse=True)[1]
     found_a, found_b, found_e = [], [], []
     for at in range(0, len(rows), 256):
         r = rows[at : at + 256]
@@ -157,7 +177,7 @@ def unit_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], signa
         for k in range(keys):
             left += signatures[r, k][:, None] == signatures[cols, k]
             right += signatures[r, keys + k][:, None] == signatures[cols, keys + k]
-        hit = (left > 0) & (right > 0)
+        hit = (left > 0) & (right > 0) & (label[r][:, None] != label[cols])
         if not two:
             hit &= cols > r[:, None]
         i, j = np.nonzero(hit)
@@ -167,7 +187,7 @@ def unit_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], signa
     a, b, estimate = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b, found_e))
     order = np.argsort(-estimate, kind="stable")
     a, b = a[order], b[order]
-    label, links = np.arange(n), []
+    links = []
     while len(a):  # pairs connected by now go at once, the rest in order
         open_ = label[a] != label[b]
         a, b = a[open_], b[open_]
@@ -182,42 +202,32 @@ def unit_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], signa
     return links
 
 
-def verified(df: DataFrame, members: DataFrame, id_col: str, text_col: str, signer: Signer, percent: int) -> DataFrame:
-    """u, v: links of representatives within blocks. members: id, n_shingles, block."""
-    size = members.groupBy("block").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    parts = F.greatest(F.ceil(F.col("n") / PART_DOCS), F.ceil(F.col("s") / PART_SHINGLES)).cast("int")
-    placed = members.join(size.select("block", parts.alias("parts")), "block").select("id", "block", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(placed, "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    units = texts.withColumn("other", other).select("id", "t", "block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"))
-    units = units.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = None, []
-
-        def close() -> list[tuple[int, int]]:
-            if len(rows) < 2:
-                return []
-            sets = [r[2] for r in rows]
-            return unit_links(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), sets, signer.signatures(sets), percent)
-
-        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
-
-        for batch in batches:
-            for part in slices(batch, "t"):
-                names = list(zip(*(part.column(c).to_pylist() for c in ("block", "low", "high"))))
-                ids, sides = part.column("id").to_pylist(), part.column("side").to_pylist()
-                links = []
-                for k, s in enumerate(signer.sets(part.column("t"))):
-                    if names[k] != unit:
-                        links += close()
-                        unit, rows = names[k], []
-                    rows.append((ids[k], sides[k], s))
-                yield out(links)
-        yield out(close())
-
-    return map_batches(units, run, "u long, v long")
+def rest_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: links between nodes of a block that have different labels. members: node,
+    label, block, written."""
+    known = sets.join(members, "node")
+    by_label = known.groupBy("block", "label").agg(F.count("*").alias("n"), F.sum("n").alias("s"))
+    parts = lambda n, s: F.greatest(F.lit(1), F.ceil(n / PART_DOCS), F.ceil(s / PART_SHINGLES)).cast("int")
+    top = by_label.groupBy("block").agg(F.max(F.struct("n", "s", "label")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    plan = top.select("block", F.col("top.label").alias("main"), parts(F.col("top.n"), F.col("top.s")).alias("mains"), parts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("others"))
+    plan = scratch.keep(plan, "minhash-plan")
+    placed = members.join(plan, "block").withColumn("large", F.col("label") == F.col("main"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    unit = lambda low, high, kind, side: F.struct(low.alias("low"), high.alias("high"), F.lit(kind).alias("main"), side.cast("int").alias("side"))
+    against = F.transform(upto(F.col("others")), lambda i: unit(i, F.col("part"), 1, F.lit(1)))
+    facing = F.transform(upto(F.col("mains")), lambda j: unit(F.col("part"), j, 1, F.lit(0)))
+    among = F.transform(upto(F.col("others")), lambda i: unit(F.least("part", i), F.greatest("part", i), 0, F.col("part") > i))
+    dealt = placed.withColumn("unit", F.explode(F.when(F.col("large"), against).otherwise(F.concat(facing, among))))
+    units = dealt.select("node", "label", "block", "unit.*").join(sets.select("node", "set"), "node").join(nodes.select("node", "keys"), "node")
+
+    def join(table: pa.Table) -> pa.Table:
+        lists = lambda name: [np.asarray(x, np.int64).view(U64) for x in table.column(name).to_pylist()]
+        ids, sides, labels = (table.column(c).to_numpy() for c in ("node", "side", "label"))
+        found = unit_links(ids, sides, labels, lists("set"), np.stack(lists("keys")), percent)
+        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+
+    return units.groupBy("block", "main", "low", "high").applyInArrow(join, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -229,24 +239,68 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reachable, itself included) and kept (boolean: it is that id), one row for each row.
 
     Texts that are null or without words have no shingles and link with nothing, as do
-    rows with a null id (component null, kept true). Rows with the same id and
-    text all get the same answer; an id that several texts have is linked by each of them.
-    Other columns are not read. An empty table gives an empty result. Copies are found whatever their number;
-    a pair at exactly the threshold is missed with probability MISSED, a nearer one with
-    less.
+    rows with a null id (component null, kept true). An id on several rows is one document:
+    it is linked by each of its texts, and all its rows get the same component.
+    Other columns are not read. An empty table gives an empty result. Copies are found whatever
+    their number; a pair at exactly the threshold is missed with probability MISSED, a
+    nearer one with less. Shingles are compared by 64 bits, sets that are equal by 128,
+    made from hashes of the words. A text of any length is read whole; a task needs some 40
+    bytes a word of its longest text beside the text itself.
     """
     keys = collection_size(percent / 100)
     signer = Signer(words, keys)
     signs = scratch.keep(signed(df, id_col, text_col, signer), "minhash-signatures")
-    # Written, so that both sides of the join are plain shuffles and a large class can be split.
-    classes = signs.where("n_shingles > 0 and id is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    classes = scratch.keep(classes, "minhash-copies")
-    narrow = signs.select("id", "n_shingles", "print").where("id is not null")
-    copies = scratch.keep(narrow.join(classes, "print", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "minhash-classes")
-    reps = signs.where("n_shingles > 0").join(copies.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    members = blocks(reps.select("id", "keys"), keys).join(copies.where("id = rep").select("id", "n_shingles").dropDuplicates(["id"]), "id")
-    linked = components(verified(df, scratch.keep(members, "minhash-blocks"), id_col, text_col, signer, percent))
-    found = copies.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    found = found.withColumn("kept", F.col("id") == F.col("component_id"))
-    unnamed = signs.where("id is null").select("id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return found.unionByName(unnamed).withColumnRenamed("id", id_col)
+    full = signs.where("n_shingles > 0 and id is not null")
+    nodes = full.groupBy("print").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    # The numbers are facts once they are written. Joins below are of written tables, so
+    # that both sides are plain shuffles and a class with very many rows can be split.
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-sets")
+    copies = scratch.keep(full.select("id", "n_shingles", "print").join(nodes.select("print", "node", "rep"), "print").drop("print"), "minhash-copies")
+
+    table = scratch.keep(tables(nodes, keys), "minhash-tables")
+    least = table.groupBy("t").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
+    least = scratch.keep(least, "minhash-least")
+    edges = scratch.keep(table.join(least, "t").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "minhash-candidates")
+    wanted = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    sets = scratch.keep(full_sets(df, nodes.select("node", "rep", "print").join(wanted, "node", "left_semi"), id_col, text_col, signer), "minhash-full")
+
+    first = edges.groupBy("u").agg(F.min("v").alias("v"))
+    trees = roots(linked(first, sets, percent))
+    root = lambda c: trees.select(F.col("u").alias(c), F.col("v").alias(f"{c}_root"))
+    at_roots = lambda pairs: pairs.join(root("u"), "u", "left").join(root("v"), "v", "left").select("u", "v", F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b")).where("a <> b")
+    second = scratch.keep(linked(at_roots(edges.join(first, ["u", "v"], "left_anti")).select("u", "v"), sets, percent), "minhash-links")
+    several = scratch.keep(copies.groupBy("id").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most").select("id", "v"), "minhash-several")
+    same_id = copies.join(several, "id").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    labels = _labelled(trees, at_roots(second.unionByName(same_id)))
+
+    open_tables = table.join(least.where("n > 2").select("t"), "t").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_tables = scratch.keep(open_tables, "minhash-open")
+    mixed = scratch.keep(open_tables.groupBy("t").agg(F.min("node").alias("v"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("t", "v"), "minhash-mixed")
+    if not mixed.isEmpty():
+        rest = open_tables.join(mixed, "t")
+        block = components(rest.select(F.col("node").alias("u"), "v"))
+        members = scratch.keep(rest.select("node", "label").distinct().join(block.select(F.col("id").alias("node"), F.col("component_id").alias("block")), "node"), "minhash-blocks")
+        more = rest_links(members, nodes, sets, percent)
+        of = labels.select(F.col("node").alias("u"), F.col("label").alias("a")), labels.select(F.col("node").alias("v"), F.col("label").alias("b"))
+        more = more.join(of[0], "u", "left").join(of[1], "v", "left").select("u", "v", F.coalesce("a", "u").alias("a"), F.coalesce("b", "v").alias("b")).where("a <> b")
+        labels = _labelled(labels.select(F.col("node").alias("u"), F.col("label").alias("v")), more)
+
+    smallest = labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id"))
+    smallest = scratch.keep(smallest, "minhash-smallest")
+    component = scratch.keep(labels.join(smallest, "label").select("node", "component_id"), "minhash-components")
+    found = copies.join(component, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    empty = signs.where("n_shingles = 0 and id is not null").select("id", "n_shingles")
+    also = found.join(empty.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    found = found.unionByName(empty.join(also, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")))
+    unnamed = signs.where("id is null").select("id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    out = found.unionByName(unnamed).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    return out.withColumnRenamed("id", id_col)
+
+
+def _labelled(trees: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label: trees (u, v: its root) joined by links between roots (a, b). Nodes
+    without links are absent."""
+    classes = scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "minhash-roots")
+    hung = trees.join(classes.withColumnRenamed("id", "v"), "v", "left").select(F.col("u").alias("node"), F.coalesce("component_id", "v").alias("label"))
+    tops = hung.unionByName(classes.select(F.col("id").alias("node"), F.col("component_id").alias("label")))
+    return scratch.keep(tops.unionByName(hung.select(F.col("label").alias("node"), "label")).distinct(), "minhash-labels")

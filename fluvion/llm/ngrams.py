@@ -29,7 +29,7 @@ class Indicators:
         if self.lower:
             data = LOWER[data]
         words = Words(data, offsets)
-        prints = words.fingerprints()
+        prints = words.prints
         by_word = (prints >> U64(64 - BITS)).astype(np.int32)
         again = np.concatenate(([0, 0], np.cumsum(prints[1:] == prints[:-1])))[: len(prints) + 1]
         repeats = again[words.first[1:]] - again[np.minimum(words.first[:-1] + 1, words.first[1:])]

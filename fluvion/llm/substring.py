@@ -8,7 +8,7 @@ are compared, which extends the hit in both directions for as long as words agre
 union of the agreeing windows is the maximal exact repeat.
 
 Probes are many, so documents are dealt into chunks of a few MB and each chunk sends
-its distinct probes as sorted, gap-coded fingerprints, three bytes each, to the task that
+its distinct probes as sorted, gap-coded fingerprints, three or four bytes each, to the task that
 owns their range; the owner answers with those that met a foreign anchor. The windows
 around hits go the same way, with full fingerprints and the smallest document that has
 each, and come back where a smaller document elsewhere has them too. A passage that a
@@ -17,6 +17,7 @@ third of all documents share is one entry per chunk, never a list of documents.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,34 +27,54 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvion.llm.arrays import U64, Powers, Words, buffers, runs, slices, whole
-from fluvion.llm.scratch import trim
+from fluvion.llm.arrays import U64, Words, buffers, runs, slices, whole
+from fluvion.llm.scratch import map_batches, trim
 
 #: Bytes of text in a chunk, and bytes of text whose probes one owner sees.
 CHUNK_BYTES, OWNER_BYTES = 4 << 20, 48 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Probe fingerprints have this many bits; their gaps take three bytes.
-PROBE_BITS, GAP_MAX = 40, (1 << 24) - 1
-_ANCHOR, _WINDOW, _SECOND = Powers(U64(0xD1342543DE82EF95)), Powers(U64(0xAF251AF3B0F025B5)), Powers(U64(0xB564EF22EC7AECE5))
+#: The fewest bits of a probe, and the most: their number follows the input, so that the share
+#: of windows that a chance meeting makes look at stays below one in CHANCE.
+PROBE_BITS, MOST_BITS, CHANCE = 40, 52, 64
+#: Partitions up to which each holds one chunk, and chunks of a partition beyond.
+PARTITIONS, CHUNKS_EACH = 4000, 16
 _NO_DOC = np.iinfo(np.int64).max
 
 
-def gap_coded(values: np.ndarray) -> bytes:
-    """Sorted distinct values as three-byte gaps, the first counted from -1; a gap of 0
-    stands for GAP_MAX without a value after it."""
-    gaps = np.diff(values.astype(np.int64), prepend=-1)
-    skips = (gaps - 1) // GAP_MAX
-    out = np.zeros(len(values) + int(skips.sum()), np.int64)
-    out[np.arange(len(values)) + np.cumsum(skips)] = gaps - skips * GAP_MAX
-    return out.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def probe_bits(total: int, length: int) -> int:
+    """Bits of a probe for a corpus of so many bytes, at six bytes a word: a window asks
+    for half its words' probes and meets an anchor for every ``length // 2`` words."""
+    anchors, asked = total / 6 / (length // 2), length - length // 2 + 1
+    return min(MOST_BITS, max(PROBE_BITS, math.ceil(math.log2(max(1.0, anchors * asked * CHANCE)))))
 
 
-def gap_decoded(data: bytes) -> np.ndarray:
-    gaps = np.zeros((len(data) // 3, 4), np.uint8)
-    gaps[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+def _gap_bytes(bits: int) -> int:
+    return 3 if bits <= 42 else 4
+
+
+def gap_coded(values: np.ndarray, size: int = 3) -> bytes:
+    """Sorted distinct values: the first in eight bytes, then the gaps in ``size`` bytes
+    each; a gap of 0 stands for the largest gap without a value after it."""
+    if not len(values):
+        return b""
+    most = (1 << 8 * size) - 1
+    gaps = np.diff(values.astype(np.int64))
+    skips = (gaps - 1) // most
+    out = np.zeros(len(gaps) + int(skips.sum()), np.int64)
+    out[np.arange(len(gaps)) + np.cumsum(skips)] = gaps - skips * most
+    return values[:1].astype("<u8").tobytes() + out.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].tobytes()
+
+
+def gap_decoded(data: bytes, size: int = 3) -> np.ndarray:
+    if not data:
+        return np.zeros(0, U64)
+    first = np.frombuffer(data, "<u8", 1).astype(np.int64)
+    gaps = np.zeros(((len(data) - 8) // size, 4), np.uint8)
+    gaps[:, :size] = np.frombuffer(data, np.uint8, offset=8).reshape(-1, size)
     gaps = gaps.view("<u4").ravel().astype(np.int64)
     skip = gaps == 0
-    return (np.cumsum(np.where(skip, GAP_MAX, gaps)) - 1)[~skip].astype(U64)
+    later = np.cumsum(np.where(skip, (1 << 8 * size) - 1, gaps))[~skip]
+    return np.concatenate((first, first + later)).astype(U64)
 
 
 def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -66,35 +87,32 @@ def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """The documents of one chunk. Rows without an id keep their place without words."""
+    """The documents of one chunk. Rows without an id keep their place without words.
+    ``wide``: windows are asked for too."""
 
-    def __init__(self, table: pa.Table, id_col: str, text_col: str, length: int):
+    def __init__(self, table: pa.Table, id_col: str, text_col: str, length: int, wide: bool = True):
         named = table.column(id_col).is_valid()
         texts = pc.if_else(named, table.column(text_col).cast(pa.large_string()), pa.scalar("", pa.large_string()))
         self.ids = pc.fill_null(table.column(id_col).cast(pa.int64()), _NO_DOC).to_numpy()
         self.length, self.block = length, length // 2
-        prints, counts = [], []
-        for part in slices(pa.table({"t": texts}), "t"):
-            w = Words(*buffers(part.column("t")))
-            prints.append(w.fingerprints())
-            counts.append(w.counts)
-        self.words = np.concatenate(prints) if prints else np.zeros(0, U64)
-        self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        found = [Words(*buffers(part.column("t")), wide=wide) for part in slices(pa.table({"t": texts}), "t")]
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.words, self.counts = join([w.prints for w in found], U64), join([w.counts for w in found], np.int64)
+        self.seconds = join([w.seconds for w in found], U64) if wide else None
         self.first = np.concatenate(([0], np.cumsum(self.counts))).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def probes(self) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Position and fingerprint of every rolling window of a block's length."""
-        h = runs(self.words, self.block, _ANCHOR)
+        h = runs(self.words, self.block)
         at = np.flatnonzero(whole(self.first, len(h), self.block))
-        return at, h[at] >> U64(64 - PROBE_BITS)
+        return at, h[at] >> U64(64 - bits)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position and 96-bit fingerprint (64 and 32 bits) of every full window."""
-        h = runs(self.words, self.length, _WINDOW)
+        """Position and 128-bit fingerprint (two of 64) of every full window."""
+        h = runs(self.words, self.length)
         at = np.flatnonzero(whole(self.first, len(h), self.length))
-        second = runs(self.words, self.length, _SECOND)[at]
-        return at, h[at], (second >> U64(32)).astype(np.uint32)
+        return at, h[at], runs(self.seconds, self.length)[at]
 
 
 def _rows(**columns) -> pa.Table:
@@ -112,10 +130,10 @@ def _cut(values: np.ndarray, owners: int, bits: int) -> list[tuple[int, int, int
     return [(p, int(a), int(b)) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
 
 
-def send_probes(c: Chunk, chunk: int, owners: int) -> pa.Table:
+def send_probes(c: Chunk, chunk: int, owners: int, bits: int) -> pa.Table:
     """chunk, owner, probes, anchors, several: the chunk's distinct probes, its anchors,
     and the anchors that more than one of its documents have as a probe."""
-    at, h = c.probes()
+    at, h = c.probes(bits)
     order = np.argsort(h, kind="stable")
     sorted_h, doc = h[order], c.doc[at][order]
     new = np.ones(len(h), bool)
@@ -130,16 +148,16 @@ def send_probes(c: Chunk, chunk: int, owners: int) -> pa.Table:
     several = distinct[shared]
     several = several[among(several, anchors)] if len(several) else several
     out = {k: [] for k in ("owner", "probes", "anchors", "several")}
-    for (p, a, b), (_, d, e), (_, f, g) in zip(*(_cut(x, owners, PROBE_BITS) for x in (distinct, anchors, several))):
+    for (p, a, b), (_, d, e), (_, f, g) in zip(*(_cut(x, owners, bits) for x in (distinct, anchors, several))):
         if a < b:
             out["owner"].append(p)
-            out["probes"].append(gap_coded(distinct[a:b]))
+            out["probes"].append(gap_coded(distinct[a:b], _gap_bytes(bits)))
             out["anchors"].append(anchors[d:e].tobytes())
             out["several"].append(several[f:g].tobytes())
     return _rows(chunk=pa.array([chunk] * len(out["owner"]), pa.int64()), owner=pa.array(out["owner"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("probes", "anchors", "several")})
 
 
-def answer_probes(table: pa.Table) -> pa.Table:
+def answer_probes(table: pa.Table, bits: int) -> pa.Table:
     """chunk, hits: of one owner's probes, those that meet an anchor and that two
     documents have, for each chunk that sent them."""
     u64 = lambda name: [np.frombuffer(x, U64) for x in table.column(name).to_pylist()]
@@ -147,7 +165,7 @@ def answer_probes(table: pa.Table) -> pa.Table:
     index = np.unique(np.concatenate(anchors)) if anchors else np.zeros(0, U64)
     count, met = np.zeros(len(index), np.int64), []
     for data, several in zip(table.column("probes").to_pylist(), u64("several")):
-        h = gap_decoded(data)
+        h = gap_decoded(data, _gap_bytes(bits))
         met.append(np.searchsorted(index, h[among(h, index)]))
         count[met[-1]] += 1
         count[np.searchsorted(index, several)] += 1
@@ -157,10 +175,10 @@ def answer_probes(table: pa.Table) -> pa.Table:
     return _rows(chunk=table.column("chunk"), hits=pa.array([x.tobytes() for x in hits], pa.binary())).filter(keep)
 
 
-def send_windows(c: Chunk, hits: np.ndarray, chunk: int, owners: int) -> pa.Table:
+def send_windows(c: Chunk, hits: np.ndarray, chunk: int, owners: int, bits: int) -> pa.Table:
     """chunk, owner, prints, seconds, docs: the chunk's distinct windows around hits, and
     the smallest id that has each."""
-    at, h = c.probes()
+    at, h = c.probes(bits)
     live = np.zeros(len(c.words) + 1, np.int64)
     live[at[among(h, hits)] + 1] = 1
     upto = np.cumsum(live)  # hits before a position
@@ -186,9 +204,9 @@ def answer_windows(table: pa.Table) -> pa.Table:
     """chunk, prints, seconds: of one owner's windows, those that a smaller document of
     another chunk has, for each chunk that has them."""
     read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    prints, seconds, docs = read("prints", U64), read("seconds", np.uint32), read("docs", np.int64)
+    prints, seconds, docs = read("prints", U64), read("seconds", U64), read("docs", np.int64)
     sizes = [len(x) for x in prints]
-    h, second, ids = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((prints, U64), (seconds, np.uint32), (docs, np.int64)))
+    h, second, ids = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((prints, U64), (seconds, U64), (docs, np.int64)))
     order = np.lexsort((second, h))
     hs, ss = h[order], second[order]
     new = np.ones(len(h), bool)
@@ -248,6 +266,26 @@ def without(text: bytes, drop: np.ndarray) -> bytes:
     return b"".join([*out, text[spans[-1][1] :]])
 
 
+def rewritten(table: pa.Table, text_col: str, gone: np.ndarray | None, first: np.ndarray | None, layout: bool) -> pa.Table:
+    """The rows with what is left of their texts, n_words and n_removed. gone: of all
+    words, whose texts begin at ``first``; None: none is."""
+    texts, n_words, n_removed = [], [], []
+    for k, text in enumerate(table.column(text_col).to_pylist()):
+        data = b"" if text is None else text.encode("utf-8")
+        words = data.split()
+        drop = np.zeros(len(words), bool) if gone is None else gone[first[k] : first[k + 1]]
+        n_words.append(len(words))
+        n_removed.append(int(drop.sum()))
+        if text is None:
+            texts.append(None)
+        elif layout:
+            texts.append(without(data, drop).strip())
+        else:
+            texts.append(b" ".join([w for w, d in zip(words, drop.tolist()) if not d] if n_removed[-1] else words))
+    out = table.set_column(table.column_names.index(text_col), text_col, pa.array(texts, pa.binary()).cast(pa.string()))
+    return out.append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))
+
+
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, layout: bool = False) -> DataFrame:
     """Remove every word covered by a window of ``length`` words (2 at least) whose words
     also stand in a document with a smaller id. Windows are judged on the input.
@@ -261,29 +299,35 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     A null text has no words and stays null. Rows with a null id are neither searched nor
     searched in: they keep all words. Rows with one id are one document: they don't
     remove each other's words, though each loses what a smaller id has. An empty table
-    gives an empty result. Window fingerprints have 96 bits.
+    gives an empty result. Windows are compared by 128 bits, made from 128-bit hashes of the
+    words. A text of any length is read whole; a task needs some 70 bytes a word of its
+    longest text beside the text itself.
     """
     if length < 2:
         raise ValueError("a window has two words at least")
     rows = df.drop("n_words", "n_removed")
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    chunks, owners = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // OWNER_BYTES))
-    names = list(rows.columns)
-    dealt = rows.withColumn("__chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks)))
+    chunks, owners, bits = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // OWNER_BYTES)), probe_bits(total, length)
+    names, named = list(rows.columns), rows.where(F.col(id_col).isNotNull())
+    # The text is dealt by as well, so that one id on very many rows fills no chunk.
+    dealt = named.withColumn("__chunk", F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)))
     # One shuffle serves all three passes over the texts.
-    dealt = dealt.repartition(min(chunks, 4000), "__chunk")
+    dealt = dealt.repartition(max(min(chunks, PARTITIONS), chunks // CHUNKS_EACH), "__chunk")
     by_chunk = lambda: dealt.groupBy("__chunk")
 
     def first_pass(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         trim()
-        return send_probes(Chunk(table, id_col, text_col, length), key[0].as_py(), owners)
+        return send_probes(Chunk(table, id_col, text_col, length, wide=False), key[0].as_py(), owners, bits)
+
+    def answer(table: pa.Table) -> pa.Table:
+        return answer_probes(table, bits)
 
     def second_pass(key: tuple[pa.Scalar, ...], table: pa.Table, hits: pa.Table) -> pa.Table:
         if not table.num_rows or not hits.num_rows:
             return send_windows_schema.empty_table()
         trim()
         found = np.sort(np.concatenate([np.frombuffer(x, U64) for x in hits.column("hits").to_pylist()]))
-        return send_windows(Chunk(table, id_col, text_col, length), found, key[0].as_py(), owners)
+        return send_windows(Chunk(table, id_col, text_col, length), found, key[0].as_py(), owners, bits)
 
     send_windows_schema = pa.schema([("chunk", pa.int64()), ("owner", pa.int64()), ("prints", pa.binary()), ("seconds", pa.binary()), ("docs", pa.binary())])
 
@@ -291,26 +335,16 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
         trim()
         c = Chunk(table, id_col, text_col, length)
         read = lambda name, kind: np.frombuffer(b"".join(found.column(name).to_pylist()), kind)
-        gone = removed_words(c, read("prints", U64), read("seconds", np.uint32))
-        texts, n_words, n_removed = [], [], []
-        here = table.column(text_col).is_valid().to_pylist()
-        for k, text in enumerate(table.column(text_col).to_pylist()):
-            words = text.encode("utf-8").split() if here[k] else []
-            drop = gone[c.first[k] : c.first[k + 1]]
-            n_words.append(len(words))
-            n_removed.append(int(drop.sum()))
-            if layout and here[k]:
-                texts.append(without(text.encode("utf-8"), drop).strip())
-                continue
-            if n_removed[-1]:
-                words = [w for w, d in zip(words, drop.tolist()) if not d]
-            texts.append(b" ".join(words) if here[k] else None)
-        out = table.select(names).set_column(names.index(text_col), text_col, pa.array(texts, pa.binary()).cast(pa.string()))
-        return out.append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))
+        return rewritten(table.select(names), text_col, removed_words(c, read("prints", U64), read("seconds", U64)), c.first, layout)
+
+    def unsearched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from rewritten(pa.Table.from_batches([batch]), text_col, None, None, layout).to_batches()
 
     probes = by_chunk().applyInArrow(first_pass, "chunk long, owner long, probes binary, anchors binary, several binary")
-    hits = probes.groupBy("owner").applyInArrow(answer_probes, "chunk long, hits binary")
+    hits = probes.groupBy("owner").applyInArrow(answer, "chunk long, hits binary")
     windows = by_chunk().cogroup(hits.groupBy("chunk")).applyInArrow(second_pass, "chunk long, owner long, prints binary, seconds binary, docs binary")
     found = windows.groupBy("owner").applyInArrow(answer_windows, "chunk long, prints binary, seconds binary")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", n_words long, n_removed long"
-    return by_chunk().cogroup(found.groupBy("chunk")).applyInArrow(third_pass, schema)
+    searched = by_chunk().cogroup(found.groupBy("chunk")).applyInArrow(third_pass, schema)
+    return searched.unionByName(map_batches(rows.where(F.col(id_col).isNull()), unsearched, schema))

@@ -292,3 +292,74 @@ def test_query_digests(spark, tmp_path, reference):
         assert coded[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
         base = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_secrets(t or ""))
         assert found[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_words_that_defeat_sums_of_powers(spark):
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, [(1, one), (2, two), (3, one)]), words=3, percent=85).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+    cut = {r["doc_id"]: r["n_removed"] for r in substring.dedup(table(spark, [(1, f"{one} " * 50), (2, f"{two} " * 50), (3, f"{one} " * 50)])).collect()}
+    assert cut == {1: 0, 2: 0, 3: 50}
+    words = ["x" if bin(k).count("1") % 2 else "y" for k in range(64)]
+    other = ["y" if w == "x" else "x" for w in words]
+    cut = {r["doc_id"]: r["n_removed"] for r in substring.dedup(table(spark, [(1, " ".join(words)), (2, " ".join(other))]), length=64).collect()}
+    assert cut == {1: 0, 2: 0}
+
+
+def test_words_of_long_texts_are_read_in_blocks(monkeypatch):
+    import pyarrow as pa
+
+    from fluvion.llm import arrays
+
+    r = random.Random(8)
+    rows = ["".join(r.choice(["a", "bé", " ", "\n ", "ccc"]) for _ in range(r.randrange(400))) for _ in range(30)] + ["x" * 9000 + " y", "", " "]
+    whole = arrays.Words(*arrays.buffers(pa.array(rows)), wide=True)
+    monkeypatch.setattr(arrays, "SLICE_BYTES", 7)
+    parts = arrays.Words(*arrays.buffers(pa.array(rows)), wide=True)
+    assert (whole.prints == parts.prints).all() and (whole.seconds == parts.seconds).all() and (whole.first == parts.first).all()
+    words = [w for t in rows for w in t.encode().split()]
+    assert len(words) == len(whole.prints) and len(set(words)) == len(set(whole.prints.tolist()))
+    assert whole.counts.tolist() == [len(t.encode().split()) for t in rows]
+
+
+def test_probe_bits_follow_the_input():
+    assert substring.probe_bits(10**9, 50) == substring.PROBE_BITS < substring.probe_bits(10**12, 50) < substring.probe_bits(10**14, 50) <= substring.MOST_BITS
+    r = np.random.default_rng(2)
+    values = np.unique(r.integers(0, 1 << 50, 3000, dtype=np.uint64))
+    assert (substring.gap_decoded(substring.gap_coded(values, 4), 4) == values).all()
+
+
+def test_minhash_links_every_text_of_an_id(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (8, None), (5, ""), (9, "")]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(table(spark, rows)).collect()))
+    assert got == [(5, 5, True)] * 3 + [(6, 5, False), (7, 5, False), (8, 8, True), (9, 9, True)]
+
+
+@pytest.mark.parametrize("part", [16, 512])
+def test_minhash_large_group_with_members_apart(spark, monkeypatch, part):
+    monkeypatch.setattr(minhash, "PART_DOCS", part)
+    r = random.Random(part)
+    base = [f"w{r.randrange(500)}" for _ in range(100)]
+    rows = []
+    for i in range(150):  # shares of changed words from few to so many that the links break
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+            w[r.randrange(100)] = f"n{r.randrange(10**6)}"
+        rows.append((r.randrange(10**6) * 200 + i, " ".join(w)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(table(spark, rows), words=3, percent=85).collect()}
+    want = brute_near(rows, 3, 85)
+    assert got == want and len({c for _, c, _ in want.values()}) > 5
+
+
+def test_roots(spark):
+    from fluvion.llm.links import roots
+
+    parents = [(k, k - 1) for k in range(1, 40)] + [(k, 50) for k in range(51, 90)] + [(101, 100)]
+    got = {x["u"]: x["v"] for x in roots(spark.createDataFrame(parents, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(1, 40)} | {k: 50 for k in range(51, 90)} | {101: 100}
+    assert roots(spark.createDataFrame([], "u long, v long")).count() == 0
