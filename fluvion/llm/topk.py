@@ -3,9 +3,9 @@
 Every dimension's range is cut into 256 equal cells, and a vector's approximation is
 the cell of each component: one byte instead of eight. A scan of the approximations
 alone bounds every inner product from both sides. A vector is of interest to a query only
-if its upper bound reaches the query's k-th largest lower bound; exact vectors are read
-for all of these. Only this filter is done: nothing is read in the order of bounds, and
-nothing stops at the k-th exact score, so the result is exact and more is read.
+if its upper bound reaches the query's k-th largest lower bound. Exact vectors are then read
+by falling upper bound, in rounds that double, until the k-th best exact score of a query
+beats the bound of whatever it has not read.
 
 Components are whole numbers here, so scores are exact. Queries and vectors meet in a
 grid of bounded blocks; only approximations travel there.
@@ -26,6 +26,8 @@ from fluvion.llm.scratch import map_batches
 #: Vectors and queries in a block of the grid.
 VECTOR_ROWS, QUERY_ROWS = 8192, 1024
 CELLS = 256
+#: Vectors that the first round reads for each of the k that are asked for.
+FIRST_READS = 2
 
 
 def whole_numbers(vector: Column, scale: int) -> Column:
@@ -60,6 +62,32 @@ def bounded_scan(q: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.nd
     return i, j, score[i, j] - room[i], score[i, j] + room[i]
 
 
+def read_in_order(near: DataFrame, vectors: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """The k best of each query and how many exact vectors were read for them. near:
+    query_id, id, lower, upper, written."""
+    by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"))
+    kth = near.withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("lower").alias("least"), F.count("*").alias("n"))
+    wanted = near.join(kth, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("least"))).select("query_id", "id", "upper")
+    unread = scratch.keep(wanted.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "id"))), "topk-order")
+    score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best, done, width, reads = None, 0, FIRST_READS * k, 0
+    while True:
+        # Of each query what stands next, if its bound can still beat the k-th best.
+        part = unread.where(F.col("place") <= done + width)
+        pairs = part.join(vectors.select("id", "v"), "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        scores = scratch.keep(pairs.select("query_id", F.col("id").alias("vec_id"), score.alias("score")), "topk-scores")
+        reads += scores.count()
+        found = scores if best is None else best.select("query_id", "vec_id", "score").unionByName(scores)
+        best = scratch.keep(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "topk-best")
+        last = best.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
+        unread = unread.where(F.col("place") > done + width).join(last, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).drop("kth", "n")
+        unread = scratch.keep(unread, "topk-order")
+        if unread.isEmpty():
+            return best, reads
+        done, width = done + width, 2 * width
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """The k highest inner products of each row of ``queries`` with the rows of ``df`` that
     have another id, over components floor(scale * x).
@@ -120,11 +148,5 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
 
     near = left.cogroup(right).applyInArrow(scan, "query_id long, id long, lower double, upper double")
     near = scratch.keep(near, "topk-candidates")
-    by_bound = Window.partitionBy("query_id").orderBy(F.desc("lower"))
-    kth = near.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("lower").alias("least"), F.count("*").alias("n"))
-    wanted = near.join(kth, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("least"))).select("query_id", "id")
-    pairs = wanted.join(vectors.select("id", "v"), "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    scores = pairs.select("query_id", F.col("id").alias("vec_id"), score.alias("score"))
-    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, _ = read_in_order(near, vectors, asked, k)
+    return best.select("query_id", "rank", "vec_id", "score")

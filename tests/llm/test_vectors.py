@@ -91,3 +91,40 @@ def test_top_odd_tables(spark):
     assert topk.search(empty, empty).count() == 0 and topk.search(some, empty).count() == 0
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(some, some.where("vec_id = 1")).collect())
     assert got == [(1, 1, 2, 1024 * 512 - 512 * 512), (1, 2, 3, 0)]
+
+
+def test_an_id_with_several_vectors(spark):
+    a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    rows = [(1, a, 0), (1, b, 0), (2, [1.0, 0.01, 0.1], 0), (3, [0.0, 1.0, 0.12], 0), (4, [0.01, 1.0, 0.1], 0), (1, a, 5), (5, a, 5)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectorjoin.near_duplicates(table(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 1, 1)]
+
+
+def test_pivots_are_taken_where_they_part_clusters():
+    r = np.random.default_rng(2)
+    centres = vectorjoin.scaled(r.normal(size=(8, 64)))
+    clustered = vectorjoin.scaled(centres[r.integers(0, 8, 400)] + 0.01 * r.normal(size=(400, 64)))
+    spread = vectorjoin.scaled(r.normal(size=(400, 64)))
+    few = vectorjoin.pivots_for(clustered, 10_000, 0.2)
+    assert few is not None and len(few) >= 8
+    for x in (clustered, spread):
+        p = vectorjoin.pivots_for(x, 10_000, 0.2)
+        if p is not None:
+            assert sum(len(row) for row, _, _ in vectorjoin.assignments(x, p, 0.2)) <= vectorjoin.MOST_VISITS * len(x)
+
+
+def test_reading_stops_when_the_kth_is_certain(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=16).tolist(), 0) for i in range(3000)]
+    df = table(spark, rows)
+    vectors = df.selectExpr("vec_id AS id", "transform(embedding, x -> CAST(floor(1024 * x) AS BIGINT)) AS v").cache()
+    asked = vectors.where("id < 5")
+    exact = {q: sorted((-int(np.dot(np.floor(1024 * np.array(v)), np.floor(1024 * np.array(rows[q][1])))), i) for i, v, _ in rows if i != q) for q in range(5)}
+    # Wide bounds around the true scores: all 2999 are candidates, few must be read.
+    near = spark.createDataFrame([(q, i, float(-s) - 1e8, float(-s) + 1e5 * (1 + i % 3)) for q, found in exact.items() for s, i in found], "query_id long, id long, lower double, upper double").cache()
+    best, reads = topk.read_in_order(near, vectors, asked, 10)
+    got = {}
+    for x in sorted(best.collect(), key=lambda x: (x["query_id"], x["rank"])):
+        got.setdefault(x["query_id"], []).append((-x["score"], x["vec_id"]))
+    assert got == {q: found[:10] for q, found in exact.items()}
+    assert 5 * 10 <= reads <= 5 * 200
