@@ -1,9 +1,11 @@
 """Secret scans: key patterns, and a token-efficiency test for random strings.
 
 Ordinary words compress well under a BPE vocabulary and random strings don't, so a
-long run of key characters with few characters per token is taken for a secret, unless
-it is a known digest (hex of a usual length, a UUID) or reads as an identifier: its groups
-of letters compress like words. Runs of letters only are judged alike.
+run of key characters with few characters per token is taken for a secret, unless
+it is a known digest (hex of a usual length or cut short, a UUID) or reads as an identifier: its
+groups of letters compress like words. The shorter a run, the fewer characters a token must
+have; runs of letters of one case are judged more strictly than mixed ones.
+The test looks at every run, also where a pattern has found a span.
 """
 
 from __future__ import annotations
@@ -28,9 +30,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
-#: Candidates of the token-efficiency test: runs of key characters of this length on.
-RANDOM_CHARS = 20
-RANDOM = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Candidates of the token-efficiency test, runs of key characters of this length on, and the
+#: characters per token below which they are secrets: long runs; shorter ones of digits and letters
+#: or capitals inside words; shorter ones that are cased like words.
+RANDOM_CHARS, LONG_CHARS, PLAIN_CHARS = 12, 20, 16
+LONG_RATIO, MIXED_RATIO, PLAIN_RATIO = 2.2, 1.8, 1.6
+RANDOM = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+SHORT_HEX = re.compile(r"[0-9a-f]{12,15}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", re.I)
 LETTERS = re.compile(r"[A-Za-z]+")
 IDENTIFIER = re.compile(r"[+/_=-]*(?:[A-Za-z]+|[0-9]{1,8})(?:[+/_=-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[+/_=-]*")
@@ -86,13 +93,22 @@ def wordlike(s: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
     return all(_efficient(w, encoding, ratio) or len(encoding.encode_ordinary(w)) == 1 for w in LETTERS.findall(s))
 
 
+def ratio_of(s: str, long: float) -> float:
+    """Characters per token below which a run counts as random."""
+    if len(s) >= LONG_CHARS:
+        return long
+    if not PLAIN.fullmatch(s):
+        return min(long, MIXED_RATIO)
+    return min(long, PLAIN_RATIO) if len(s) >= PLAIN_CHARS else 0.0
+
+
 def random_spans(text: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int, int]]:
     found = []
     for m in RANDOM.finditer(text):
         s = m[0]
-        if not LETTERS.search(s) or DIGEST.fullmatch(s) or _efficient(s, encoding, ratio):
+        if not LETTERS.search(s) or DIGEST.fullmatch(s) or SHORT_HEX.fullmatch(s) or _efficient(s, encoding, ratio_of(s, ratio)):
             continue
-        if not (IDENTIFIER.fullmatch(s) and wordlike(s, encoding, ratio)):
+        if not (IDENTIFIER.fullmatch(s) and not PLAIN.fullmatch(s) and wordlike(s, encoding, ratio)):
             found.append((m.start(), m.end(), 3))
     return found
 
@@ -107,20 +123,22 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[done:]]) if out else text
 
 
-def scan(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ratio: float = 2.2, redact: str | None = None) -> DataFrame:
+def scan(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ratio: float = LONG_RATIO, redact: str | None = None, spans_col: str = "spans") -> DataFrame:
     """Find secrets in whole texts.
 
-    Returns all columns of ``df`` but the text, plus spans (array of struct kind, start,
-    end; characters, end exclusive; by start, then by kind as in KINDS). With ``redact``
-    the text stays, with that mark in place of every span.
+    Returns all columns of ``df`` but the text, plus ``spans_col`` (array of struct kind, start,
+    end; characters, end exclusive; by start, then by kind as in KINDS). Spans of different
+    kinds may overlap: what the token test finds is listed as ``random`` whether or not a
+    pattern finds it too. With ``redact`` the text stays, with that mark in place of every
+    span, or once for spans that overlap.
 
     A null text has no spans and stays null. Null ids, repeated rows and ties pass
-    through: one row out for each row in. Columns called like the scan's own (spans)
-    are replaced. An empty table gives an empty result.
+    through: one row out for each row in. A column called ``spans_col`` is replaced. An empty
+    table gives an empty result. A text of any length is read whole.
     """
-    rest = [f for f in df.schema if f.name not in (text_col, "spans")]
+    rest = [f for f in df.schema if f.name not in (text_col, spans_col)]
     keeps = [*(f.name for f in rest)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *([f"`{text_col}` string"] if redact is not None else []), "spans array<struct<kind:string,start:int,end:int>>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *([f"`{text_col}` string"] if redact is not None else []), f"`{spans_col}` array<struct<kind:string,start:int,end:int>>"])
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,15 +154,14 @@ def scan(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
                     if hexes[k]:
                         found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
                     if keys[k]:
-                        base = list(found)
-                        found += [x for x in random_spans(text, encoding, ratio) if all(x[1] <= b[0] or b[1] <= x[0] for b in base)]
+                        found += random_spans(text, encoding, ratio)
                     spans.append(sorted(found, key=lambda x: (x[0], x[2])))
                 out = [part.column(c) for c in keeps]
                 if redact is not None:
                     here = column.is_valid().to_pylist()
                     out.append(pa.array([redacted(t, s, redact) if h else None for t, s, h in zip(texts, spans, here)], pa.string()))
                 out.append(pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in s] for s in spans], pa.list_(span)))
-                yield pa.RecordBatch.from_arrays(out, [*keeps, *([text_col] if redact is not None else []), "spans"])
+                yield pa.RecordBatch.from_arrays(out, [*keeps, *([text_col] if redact is not None else []), spans_col])
 
     return map_batches(df.select(*keeps, text_col), run, schema)
 
