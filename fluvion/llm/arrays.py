@@ -20,8 +20,8 @@ U64 = np.uint64
 #: Text bytes handled at once: temporaries take about thirty times as much memory.
 SLICE_BYTES = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -74,8 +74,8 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[
     while at < n:
         upto = min(n, at + most)
         border = offsets[np.searchsorted(offsets, upto)]
-        while upto < border and not _SPACE[data[upto - 1]]:
-            step = np.flatnonzero(_SPACE[data[upto : min(border, upto + 4096)]])
+        while upto < border and not SPACE[data[upto - 1]]:
+            step = np.flatnonzero(SPACE[data[upto : min(border, upto + 4096)]])
             upto = upto + int(step[0]) + 1 if len(step) else min(int(border), upto + 4096)
         yield at, upto
         at = upto
@@ -103,7 +103,7 @@ class Words:
     @staticmethod
     def _block(data: np.ndarray, borders: np.ndarray, lower: bool, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Where words begin, and their fingerprints. borders: where texts begin inside."""
-        inside = ~_SPACE[data]
+        inside = ~SPACE[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         begins[borders] = inside[borders]

@@ -1,5 +1,5 @@
-"""Hashed n-gram indicators of whole texts: words, byte 3-grams and 6-grams, and how
-large a share of the word pairs repeat one word."""
+"""Hashed n-gram indicators of whole texts: words, byte 3-grams and 6-grams, how large a
+share of the word pairs repeat one word, and, where asked for, how often words begin alike."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from fluvion.llm.arrays import LOWER, U64, Words, buffers, slices
+from fluvion.llm.arrays import LOWER, SPACE, U64, Words, buffers, slices
 
 #: Hashed features are numbered below 2**BITS; those of repeated words follow.
 BITS = 20
@@ -17,10 +17,12 @@ SIZE = (1 << BITS) + len(SHARES)
 
 
 class Indicators:
-    """Distinct features of each text of a batch; ``lower`` folds A-Z first."""
+    """Distinct features of each text of a batch; ``lower`` folds A-Z first. ``beginnings``
+    adds the first 6 bytes of words that have as many, and of these whether 2, 3, 4 or 6 words
+    of the text begin so."""
 
-    def __init__(self, lower: bool = False):
-        self.lower = lower
+    def __init__(self, lower: bool = False, beginnings: bool = False):
+        self.lower, self.beginnings = lower, beginnings
         self.place = np.zeros(SIZE, np.int32)
         self.count = np.arange(1 << 16, dtype=np.int32)
 
@@ -43,15 +45,40 @@ class Indicators:
         six += three[3:]
         six *= np.uint32(0xC2B2AE3D)
         by_six = (six >> np.uint32(32 - BITS)).astype(np.int32)
+        more, upto = self._begun(data, offsets, six) if self.beginnings else (by_six[:0], np.zeros(len(offsets), np.int64))
         for k in range(len(offsets) - 1):
             at, end = offsets[k], offsets[k + 1]
-            f = np.concatenate((by_word[words.first[k] : words.first[k + 1]], by_three[at : max(at, end - 2)], by_six[at : max(at, end - 5)], by_share[passed[k]]))
+            f = np.concatenate((more[upto[k] : upto[k + 1]], by_word[words.first[k] : words.first[k + 1]], by_three[at : max(at, end - 2)], by_six[at : max(at, end - 5)], by_share[passed[k]]))
             if len(f) > len(self.count):
                 self.count = np.arange(2 * len(f), dtype=np.int32)
             count = self.count[: len(f)]
             self.place[f] = count
             yield f[self.place[f] == count]  # of equal features the last stays
 
+    @staticmethod
+    def _begun(data: np.ndarray, offsets: np.ndarray, six: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of words' beginnings, by text, and where each text's are."""
+        inside = np.append(~SPACE[data], False)
+        begins = inside[:-1].copy()
+        begins[1:] &= ~inside[:-2]
+        opens = offsets[:-1][offsets[:-1] < offsets[1:]]
+        begins[opens] = inside[opens]
+        starts = np.flatnonzero(begins)
+        text = np.searchsorted(offsets, starts, "right") - 1
+        ok = starts + 6 <= offsets[text + 1]
+        for k in range(1, 6):
+            ok[ok] &= inside[starts[ok] + k]
+        keys = np.sort(text[ok].astype(U64) << U64(32) | six[starts[ok]].astype(U64))
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(new)
+        many, keys = np.diff(np.append(at, len(keys))), keys[at]
+        out = [(keys >> U64(32), keys, 0)] + [(keys[many >= n] >> U64(32), keys[many >= n], n) for n in (2, 3, 4, 6)]
+        owner = np.concatenate([t for t, _, _ in out]).astype(np.int64)
+        made = np.concatenate([(x & U64(0xFFFFFFFF)).astype(np.uint32) * np.uint32(0x9E3779B1) ^ np.uint32(0x7F4A7C15 * (n + 1) & 0xFFFFFFFF) for _, x, n in out])
+        made = (made * np.uint32(0x85EBCA77) >> np.uint32(32 - BITS)).astype(np.int32)
+        order = np.argsort(owner, kind="stable")
+        return made[order], np.searchsorted(owner[order], np.arange(len(offsets)))
 
     def each(self, texts: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
         """The same for any number of texts, of which a bounded part is in work."""

@@ -170,7 +170,8 @@ def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
 
     A null or empty text is one piece of one token. Null ids and repeated rows are
     documents of their own. Equal lengths may be exchanged between sequences from run to
-    run. Other columns are not read. An empty table gives an empty result.
+    run. Other columns are not read. An empty table gives an empty result. A text of any
+    length is encoded whole.
     """
     kept = scratch.keep(pieces(df, path, pattern, id_col, text_col, capacity, end_id, digest_only), "packing-pieces")
     return place(kept, capacity).withColumnRenamed("i", id_col)

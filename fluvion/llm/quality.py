@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluvion.llm.ngrams import SIZE, Indicators, platt, sigmoid
-from fluvion.llm.samples import bounded, doubles, remainder, scored, with_texts
+from fluvion.llm.samples import bounded, doubles, fitted, remainder, scored, with_texts
 
 #: Bound of the labelled rows that the fit reads.
 TRAIN_ROWS = 4000
@@ -23,13 +23,19 @@ TRAIN_ROWS = 4000
 
 @dataclass
 class Model:
-    weights: np.ndarray  # float32, by feature: model weight times log-count ratio
+    features: np.ndarray  # int32, the numbers of the features in use
+    weights: np.ndarray  # float32: model weight times log-count ratio
     bias: float
     slope: float
     offset: float
 
-    def margins(self, column: pa.Array, indicators: Indicators) -> np.ndarray:
-        return np.array([self.weights[f].sum(dtype=np.float64) + self.bias for f in indicators.of(column)])
+    def table(self) -> np.ndarray:
+        table = np.zeros(SIZE, np.float32)
+        table[self.features] = self.weights
+        return table
+
+    def margins(self, column: pa.Array, indicators: Indicators, table: np.ndarray) -> np.ndarray:
+        return np.array([table[f].sum(dtype=np.float64) + self.bias for f in indicators.of(column)])
 
 
 def log_count_ratios(counts: np.ndarray, alpha: float = 1.0) -> np.ndarray:
@@ -68,44 +74,47 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost:
 
 
 def fit(texts: pa.Array | pa.ChunkedArray, y: np.ndarray, cost: float = 0.01, rounds: int = 15, least: int = 3, seed: int = 7) -> Model:
-    """Fit on the driver, in memory of some kB a text. Features in fewer than ``least``
+    """Fit in memory of some kB a text. Features in fewer than ``least``
     texts are left out. Every fifth row sets the scores' scale instead of the weights."""
     y = np.asarray(y)
     order = np.random.default_rng(seed).permutation(len(y))
-    fitted = np.ones(len(y), bool)
-    fitted[order[: len(order) // 5]] = False
-    if len(set(y[fitted].tolist())) < 2:
-        return Model(np.zeros(SIZE, np.float32), 0.0, *platt(np.zeros(len(y)), y))
+    fits = np.ones(len(y), bool)
+    fits[order[: len(order) // 5]] = False
+    if len(set(y[fits].tolist())) < 2:
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, *platt(np.zeros(len(y)), y))
     indicators = Indicators()
-    counts = indicators.counts(pa.chunked_array([texts]).filter(pa.array(fitted)) if isinstance(texts, pa.Array) else texts.filter(pa.array(fitted)), y[fitted])
+    counts = indicators.counts(pa.chunked_array([texts]).filter(pa.array(fits)) if isinstance(texts, pa.Array) else texts.filter(pa.array(fits)), y[fits])
     common = np.flatnonzero(counts.sum(axis=0) >= least)
     ratios = log_count_ratios(counts)[common]
     number = np.full(SIZE, -1, np.int32)
     number[common] = np.arange(len(common))
     rows = [f[f >= 0] for f in (number[f] for f in indicators.each(texts))]
-    w, bias = dual_descent([r for r, k in zip(rows, fitted) if k], ratios, y[fitted], cost, rounds, seed)
-    margins = np.array([(w[r] * ratios[r]).sum() + bias for r, k in zip(rows, fitted) if not k])
-    weights = np.zeros(SIZE, np.float32)
-    weights[common] = w * ratios
-    return Model(weights, float(bias), *platt(margins, y[~fitted]))
+    w, bias = dual_descent([r for r, k in zip(rows, fits) if k], ratios, y[fits], cost, rounds, seed)
+    margins = np.array([(w[r] * ratios[r]).sum() + bias for r, k in zip(rows, fits) if not k])
+    used = w != 0
+    return Model(common[used].astype(np.int32), (w * ratios)[used].astype(np.float32), float(bias), *platt(margins, y[~fits]))
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """All columns (the text only with ``keep_text``), plus score (double, 0 to 1). A null text counts as
-    empty and scores as the model's bias; one row out for each row in; an existing
-    score column is replaced."""
+def score(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False, out_col: str = "score") -> DataFrame:
+    """All columns (the text only with ``keep_text``), plus ``out_col`` (double, 0 to 1). A null
+    text counts as empty and scores as the model's bias; null ids and repeated rows pass
+    through, one row out for each row in; equal texts score alike; an existing column of that
+    name is replaced. A text of any length is read whole; a task needs some 40 bytes for each
+    byte of its longest text."""
 
     def make():
-        indicators = Indicators()
-        return lambda column: {"score": doubles(sigmoid(model.slope * model.margins(column, indicators) + model.offset))}
+        indicators, table = Indicators(), model.table()
+        return lambda column: {out_col: doubles(sigmoid(model.slope * model.margins(column, indicators, table) + model.offset))}
 
-    return scored(df, text_col, make, "score double", keep_text)
+    return scored(df, text_col, make, f"`{out_col}` double", keep_text)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0, most: int = TRAIN_ROWS) -> Model:
-    """Fit to at most ``most`` labelled rows outside the held-out fold. Null labels and
-    ids are not rows to learn from; an id labelled twice counts once, with its highest
-    label. Without two classes every text scores the smoothed rate."""
+    """Fit to at most ``most`` labelled rows outside the held-out fold, in one task. Null labels
+    and ids are not rows to learn from; an id labelled twice counts once, with its highest
+    label, and one with several texts once, with the first in the order of strings.
+    Null texts are empty ones. Without two classes every text scores the smoothed rate.
+    The bytes that are read are bounded too (samples.with_texts)."""
     known = labels.where(F.col(label_col).isin(0, 1) & (remainder(id_col, folds) != held_out)).groupBy(id_col).agg(F.max(label_col).alias("__y"))
-    table = with_texts(docs, bounded(known, id_col, most), id_col, text_col)
-    return fit(table.column("__text"), table.column("__y").to_numpy())
+    sample = with_texts(docs, bounded(known, id_col, most), id_col, text_col)
+    return fitted(sample, id_col, lambda t: fit(t.column("__text"), np.array(t.column("__y").to_pylist(), np.int64)))

@@ -1,8 +1,7 @@
 """Intermediate tables that every executor can read.
 
-They are Parquet folders below ``spark.checkpoint.dir``; where the session names
-none (tests, notebooks) a temporary folder of the driver stands in, which is right
-for local mode only.
+They are Parquet folders below ``spark.checkpoint.dir``. Where the session names none, a
+temporary folder of the driver stands in on a local master, and nothing does on a cluster.
 """
 
 from __future__ import annotations
@@ -20,9 +19,12 @@ BATCH_BYTES = 4 << 20
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder; the session's own setting always wins."""
+    """The shared folder; the session's own setting always wins. A cluster must have one:
+    executors there don't share the driver's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="fluvion-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -54,13 +56,19 @@ def trim() -> None:
         pass
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of bounded bytes, whatever the rows' lengths. The bound is a
-    setting of the session and stays on it."""
-    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+def configure(spark: SparkSession) -> None:
+    """Bound the bytes of batches that go to Python workers, unless the session has a bound.
+    The setting belongs to the session and stays; operators call this themselves, since
+    it must still hold when their result is computed."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, BATCH_BYTES)
 
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in batches of bounded bytes (see configure), whatever the rows' lengths."""
+    configure(df.sparkSession)
+
     def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch

@@ -266,8 +266,8 @@ def without(text: bytes, drop: np.ndarray) -> bytes:
     return b"".join([*out, text[spans[-1][1] :]])
 
 
-def rewritten(table: pa.Table, text_col: str, gone: np.ndarray | None, first: np.ndarray | None, layout: bool) -> pa.Table:
-    """The rows with what is left of their texts, n_words and n_removed. gone: of all
+def rewritten(table: pa.Table, text_col: str, counts: tuple[str, str], gone: np.ndarray | None, first: np.ndarray | None, layout: bool) -> pa.Table:
+    """The rows with what is left of their texts, and both counts. gone: of all
     words, whose texts begin at ``first``; None: none is."""
     texts, n_words, n_removed = [], [], []
     for k, text in enumerate(table.column(text_col).to_pylist()):
@@ -283,16 +283,16 @@ def rewritten(table: pa.Table, text_col: str, gone: np.ndarray | None, first: np
         else:
             texts.append(b" ".join([w for w, d in zip(words, drop.tolist()) if not d] if n_removed[-1] else words))
     out = table.set_column(table.column_names.index(text_col), text_col, pa.array(texts, pa.binary()).cast(pa.string()))
-    return out.append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))
+    return out.append_column(counts[0], pa.array(n_words, pa.int64())).append_column(counts[1], pa.array(n_removed, pa.int64()))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, layout: bool = False) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, layout: bool = False, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """Remove every word covered by a window of ``length`` words (2 at least) whose words
     also stand in a document with a smaller id. Windows are judged on the input.
 
     Words are runs of other than 0x20, 0x09-0x0D, unchanged. Returns all columns, the text
-    replaced by the kept words joined by one space, then n_words and n_removed (long);
-    existing columns of these names are replaced. With ``layout`` the text keeps its own
+    replaced by the kept words joined by one space, then the ``counts`` of words before and of
+    those removed (long); existing columns of these names are replaced. With ``layout`` the text keeps its own
     spaces and lines but for those at its two ends: each run of removed words is cut out
     with the spaces behind it.
 
@@ -305,7 +305,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     """
     if length < 2:
         raise ValueError("a window has two words at least")
-    rows = df.drop("n_words", "n_removed")
+    rows = df.drop(*counts)
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks, owners, bits = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // OWNER_BYTES)), probe_bits(total, length)
     names, named = list(rows.columns), rows.where(F.col(id_col).isNotNull())
@@ -335,16 +335,16 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
         trim()
         c = Chunk(table, id_col, text_col, length)
         read = lambda name, kind: np.frombuffer(b"".join(found.column(name).to_pylist()), kind)
-        return rewritten(table.select(names), text_col, removed_words(c, read("prints", U64), read("seconds", U64)), c.first, layout)
+        return rewritten(table.select(names), text_col, counts, removed_words(c, read("prints", U64), read("seconds", U64)), c.first, layout)
 
     def unsearched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from rewritten(pa.Table.from_batches([batch]), text_col, None, None, layout).to_batches()
+            yield from rewritten(pa.Table.from_batches([batch]), text_col, counts, None, None, layout).to_batches()
 
     probes = by_chunk().applyInArrow(first_pass, "chunk long, owner long, probes binary, anchors binary, several binary")
     hits = probes.groupBy("owner").applyInArrow(answer, "chunk long, hits binary")
     windows = by_chunk().cogroup(hits.groupBy("chunk")).applyInArrow(second_pass, "chunk long, owner long, prints binary, seconds binary, docs binary")
     found = windows.groupBy("owner").applyInArrow(answer_windows, "chunk long, prints binary, seconds binary")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", n_words long, n_removed long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", `{c}` long" for c in counts)
     searched = by_chunk().cogroup(found.groupBy("chunk")).applyInArrow(third_pass, schema)
     return searched.unionByName(map_batches(rows.where(F.col(id_col).isNull()), unsearched, schema))

@@ -80,3 +80,23 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert out.schema == docs.schema or [f.name for f in out.schema] == docs.columns
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "repeats", "secrets", "packing"]
+
+
+def test_stages_with_null_ids_clashing_columns_and_several_texts_of_an_id(spark, tmp_path):
+    rows, labels = corpus()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd = [(None, rows[1][1]), (None, None), (500, "first text " * 20), (500, rows[2][1]), (500, "first text " * 20)]
+    extra = "score double, n_words int, n_removed string, spans string, set int, kept string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7.5, -1, "r", "s", 3, "k") for i, t in [*rows[:60], *odd]], f"{SCHEMA}, {extra}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and {(r["score"], r["n_words"], r["n_removed"], r["spans"], r["set"], r["kept"]) for r in got} == {(7.5, -1, "r", "s", 3, "k")}
+        if name != "quality":
+            assert sum(r["doc_id"] is None for r in got) == 2
+        if name == "near_copies":
+            assert not any(r["doc_id"] == 500 for r in got)
+        if name in ("repeats", "secrets"):
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").collect()} >= {None, 500}
