@@ -20,16 +20,26 @@ REDACTED = "[SECRET]"
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts score as the model's bias, whatever it decides; rows with a null id
+    are scored like others but never learned from; repeated rows and ties are decided alike.
+    Texts of any length are scored whole. Extra columns of any name pass unchanged.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model, keep_text=True)
-    return scored.where(F.col("score") >= QUALITY_LEAST).select(*docs.columns)
+    scored = quality.score(docs, model, keep_text=True, out_col="__quality")
+    return scored.where(F.col("__quality") >= QUALITY_LEAST).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies. Of rows
-    that repeat its id and text one stays."""
-    found = minhash.near_duplicates(docs, words=5, percent=80)
+    that repeat its id and text one stays.
+
+    Null and empty texts are nobody's copies; rows with a null id stay as they are. An id on
+    rows with several texts is one document, which stays or goes with all of them. Texts of
+    any length are compared whole. Extra columns of any name pass unchanged.
+    """
+    found = minhash.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80)
     keep = found.where("kept").select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
@@ -38,23 +48,45 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that a smaller document has are cut out; documents of which
     nothing is left go. The others keep their lines and spaces but for
-    those at the two ends of a text."""
-    cut = substring.dedup(docs, layout=True)
-    gone = (F.col("n_words") > 0) & (F.col("n_removed") == F.col("n_words"))
-    return cut.where(~gone).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    those at the two ends of a text.
+
+    Null texts stay null and empty ones empty. Rows with a null id stay whole, and nothing is
+    cut because of them. Rows of one id don't cut each other. Texts of any length are read whole.
+    n_chars follows the text; extra columns of any name pass unchanged.
+    """
+    cut = substring.dedup(docs, layout=True, counts=("__words", "__removed"))
+    gone = (F.col("__words") > 0) & (F.col("__removed") == F.col("__words"))
+    return _counted(cut.where(~gone), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
-    clean = secrets.scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, redact=REDACTED)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Secrets are replaced by a mark.
+
+    Null texts stay null. Null ids, repeated rows and ties pass through. Texts of any length
+    are read whole. n_chars follows the text; extra columns of any name pass unchanged.
+    """
+    clean = secrets.scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, redact=REDACTED, spans_col="__spans")
+    return _counted(clean, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their ids and their place in sequences of 1024 tokens."""
+    """Pieces of documents with their ids and their place in sequences of 1024 tokens.
+
+    A null or empty text is one piece of one token. Null ids and repeated rows are documents
+    of their own; equal lengths may change places. Texts of any length are cut. Extra columns
+    are not read.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def _counted(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, n_chars by the text that there is now."""
+    kinds = dict(docs.dtypes)
+    if "n_chars" in kinds:
+        found = found.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
+    return found.select(*docs.columns)
+
+
 STAGES = [
     ("quality", filter_quality),
     ("near_copies", drop_near_copies),
