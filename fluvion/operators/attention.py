@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.operators import features
 from fluvion.operators.statistics import positive_elastic_net
 
 
@@ -33,63 +34,91 @@ def geology_prior(pairs: DataFrame, medians: DataFrame, columns: list[str], base
     return mixed.select(*pairs.columns, "geo_prior")
 
 
-def regimes(series: DataFrame, key: str, time: str, value: str, cutoff) -> DataFrame:
-    """0, 1, 2 by the terciles of the training values, 3 for a step at or above their
-    80th percentile, 4 for one at or below the 20th, which wins. Fewer than five: 0."""
-    w = Window.partitionBy(key).orderBy(time)
-    stepped = series.withColumn("__d", F.col(value) - F.coalesce(F.lag(value).over(w), F.col(value)))
-    train = stepped.where(F.col(time) <= cutoff)
+def _stepped(series: DataFrame, key: str, time: str, value: str, change: str | None) -> DataFrame:
+    """``__d``: the column ``change``, or the step from the row before."""
+    step = F.col(change) if change else F.col(value) - F.coalesce(F.lag(value).over(Window.partitionBy(key).orderBy(time)), F.col(value))
+    return series.withColumn("__d", step)
+
+
+def regimes(series: DataFrame, key: str, time: str, value: str, cutoff, change: str | None = None) -> DataFrame:
+    """Numbers of regimes: by the terciles of the training values, then one for changes at or
+    above the training changes' 80th percentile and one for those at or below the 20th, which
+    wins. Regimes of training rows are numbered from 0 without gaps; a row of any other takes
+    the most frequent one's number, the smallest of equals. Fewer than five training rows: 0."""
+    stepped = _stepped(series, key, time, value, change).withColumn("__train", F.col(time) <= cutoff)
+    train = stepped.where("__train")
     q = train.groupBy(key).agg(F.count(value).alias("__n"), F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("__q"), F.percentile("__d", F.array(F.lit(0.2), F.lit(0.8))).alias("__e"))
     third = F.when(F.col(value) < F.col("__q")[0], 0).when(F.col(value) < F.col("__q")[1], 1).otherwise(2)
-    label = F.when(F.coalesce(F.col("__n"), F.lit(0)) < 5, 0).when(F.col("__d") <= F.col("__e")[0], 4).when(F.col("__d") >= F.col("__e")[1], 3).otherwise(third)
-    return stepped.join(q, key, "left").withColumn("regime_id", label).drop("__d", "__n", "__q", "__e")
+    apart = F.col("__e")[1] > F.col("__e")[0]
+    raw = F.when(F.coalesce(F.col("__n"), F.lit(0)) < 5, 0).when(apart & (F.col("__d") <= F.col("__e")[0]), 4).when(apart & (F.col("__d") >= F.col("__e")[1]), 3).otherwise(third)
+    labelled = stepped.join(q, key, "left").withColumn("__r", raw)
+    counts = labelled.where("__train").groupBy(key, "__r").agg(F.count("*").alias("__c"))
+    seen = counts.groupBy(key).agg(F.array_sort(F.collect_set("__r")).alias("__seen"), (-F.max(F.struct(F.col("__c"), (-F.col("__r")).alias("r")))["r"]).alias("__mode"))
+    known = labelled.join(seen, key, "left")
+    at = F.array_position("__seen", F.col("__r"))
+    number = F.coalesce(F.when(at > 0, at), F.array_position("__seen", F.col("__mode"))) - 1
+    return known.withColumn("regime_id", F.coalesce(number, F.lit(0)).cast("int")).select(*series.columns, "regime_id")
+
+
+def smoothed(df: DataFrame, keys: list[str], time: str, column: str, share: float) -> DataFrame:
+    """a(t) = (1 - s) a(t) + s a(t-1) over each series, from its first value on."""
+    if not share:
+        return df
+    key = "__series"
+    named = df.withColumn(key, F.concat_ws("|", *keys))
+    made = features.ema(named.select(key, time, column), key, time, column, share).select(key, time, F.col(f"{column}_ema").alias("__a"))
+    return named.join(made, [key, time]).withColumn(column, F.col("__a")).drop(key, "__a")
 
 
 #: Shares of the regime and the static part by stage.
 STAGE_MIX = ((0.55, 0.45), (0.70, 0.30), (0.80, 0.20))
 
 
-def stage_mix(series: DataFrame, key: str, time: str, value: str, cutoff, base: tuple[float, float] = (0.70, 0.30)) -> DataFrame:
+def stage_mix(series: DataFrame, key: str, time: str, value: str, cutoff, base: tuple[float, float] = (0.70, 0.30), change: str | None = None, smooth: float = 0.0) -> DataFrame:
     """stage_id by the training values' 33rd and 66th percentiles, and mix, the share of
-    the regime part: the stage's, shifted by the size of the step, times the base."""
-    w = Window.partitionBy(key).orderBy(time)
-    stepped = series.withColumn("__d", F.col(value) - F.coalesce(F.lag(value).over(w), F.col(value)))
-    q = stepped.where(F.col(time) <= cutoff).groupBy(key).agg(F.percentile(value, F.array(F.lit(0.33), F.lit(0.66))).alias("__q"), F.percentile(F.abs("__d"), 0.9).alias("__s"))
-    j = stepped.join(q, key, "left")
-    stage = F.when(F.col(value) < F.col("__q")[0], 0).when(F.col(value) < F.col("__q")[1], 1).otherwise(2)
+    the regime part: the stage's, shifted by the size of the change, times the base, smoothed
+    over time. Fewer than five training rows: stage 0 and the base itself."""
+    stepped = _stepped(series, key, time, value, change)
+    q = stepped.where(F.col(time) <= cutoff).groupBy(key).agg(F.count(value).alias("__n"), F.percentile(value, F.array(F.lit(0.33), F.lit(0.66))).alias("__q"), F.percentile(F.abs("__d"), 0.9).alias("__s"))
+    j = stepped.join(q, key, "left").withColumn("__few", F.coalesce(F.col("__n"), F.lit(0)) < 5)
+    stage = F.when(F.col("__few"), 0).when(F.col(value) < F.col("__q")[0], 0).when(F.col(value) < F.col("__q")[1], 1).otherwise(2)
     j = j.withColumn("stage_id", F.coalesce(stage, F.lit(0)))
     shift = 0.15 * F.least(F.coalesce(F.try_divide(F.abs("__d"), F.col("__s")), F.lit(0.0)), F.lit(1.0))
     share = lambda k: F.when(F.col("stage_id") == 0, STAGE_MIX[0][k]).when(F.col("stage_id") == 1, STAGE_MIX[1][k]).otherwise(STAGE_MIX[2][k])
     a, b = F.greatest(share(0) + shift, F.lit(1e-4)) * base[0], F.greatest(share(1) - shift, F.lit(1e-4)) * base[1]
-    return j.withColumn("mix", a / (a + b)).drop("__d", "__q", "__s")
+    mixed = j.withColumn("mix", F.when(F.col("__few"), base[0] / sum(base)).otherwise(a / (a + b)))
+    return smoothed(mixed.select(*series.columns, "stage_id", "mix"), [key], time, "mix", smooth)
 
 
-def regime_weights(rows: DataFrame, shrink: float = 0.3, cutoff=None) -> DataFrame:
-    """prod_id, regime_id, inj_id, learned: for each producer and regime with enough rows
-    the weights of a non-negative elastic net of y on the injectors' rates, as shares,
-    blended with the prior. rows: prod_id, ds, regime_id, inj_id, y, x, prior."""
+def regime_weights(rows: DataFrame, shrink: float = 0.2, cutoff=None, blocks: tuple[str, ...] = ("x",)) -> DataFrame:
+    """prod_id, regime_id, inj_id, learned: for each producer and regime with at least twelve
+    rows, and two for each injector, the weights of a non-negative elastic net of y on the
+    injectors' columns, as shares, blended with the prior. The ``blocks`` of columns are stacked
+    under each other, each against the same y. rows: prod_id, ds, regime_id, inj_id, y, prior
+    and the blocks; a group is one producer's rows of a regime."""
     train = rows if cutoff is None else rows.where(F.col("ds") <= cutoff)
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot_table(index="ds", columns="inj_id", values="x", aggfunc="first").fillna(0.0).sort_index()
+        wide = [frame.pivot_table(index="ds", columns="inj_id", values=b, aggfunc="first").fillna(0.0).sort_index() for b in blocks]
         y = frame.groupby("ds")["y"].first().sort_index().to_numpy()
-        prior = frame.groupby("inj_id")["prior"].first().reindex(wide.columns).to_numpy()
+        names = wide[0].columns
+        prior = frame.groupby("inj_id")["prior"].first().reindex(names).to_numpy()
         prior = prior / prior.sum() if prior.sum() > 0 else np.full(len(prior), 1 / len(prior))
-        n, p = wide.shape
+        n, p = wide[0].shape
         learned = prior
-        if n >= max(12, 2 * p):
-            w = positive_elastic_net(wide.to_numpy(), y, max(1e-5, 1e-3 * (1 - shrink)), 0.7)
+        if p > 1 and n >= max(12, 2 * p):
+            w = positive_elastic_net(np.vstack([x.to_numpy() for x in wide]), np.tile(y, len(wide)), max(1e-5, 1e-3 * (1 - shrink)), 0.7)
             if w.sum() > 0:
                 learned = (1 - shrink) * w / w.sum() + shrink * prior
-        return pd.DataFrame({"prod_id": key[0], "regime_id": key[1], "inj_id": wide.columns, "learned": learned})
+        return pd.DataFrame({"prod_id": key[0], "regime_id": key[1], "inj_id": names, "learned": learned})
 
-    return train.select("prod_id", "ds", "regime_id", "inj_id", "y", "x", "prior").groupBy("prod_id", "regime_id").applyInPandas(one, "prod_id string, regime_id int, inj_id string, learned double")
+    return train.select("prod_id", "ds", "regime_id", "inj_id", "y", *blocks, "prior").groupBy("prod_id", "regime_id").applyInPandas(one, "prod_id string, regime_id int, inj_id string, learned double")
 
 
 def assemble(rows: DataFrame, cutoff, anchor: float = 0.25, last: int = 3) -> DataFrame:
     """alpha = mix * learned + (1 - mix) * prior; after the cutoff pulled by ``anchor``
     to its mean over the last training rows. rows: prod_id, inj_id, ds, mix, learned,
-    prior."""
+    prior, of which the last two sum to 1 over a producer's injectors."""
     w = Window.partitionBy("prod_id", "inj_id")
     made = rows.withColumn("alpha", F.col("mix") * F.coalesce("learned", "prior") + (1 - F.col("mix")) * F.col("prior")).withColumn("is_train", F.col("ds") <= cutoff)
     back = F.row_number().over(Window.partitionBy("prod_id", "inj_id", "is_train").orderBy(F.desc("ds")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -113,20 +113,22 @@ def decline(df: DataFrame, key: str, time: str, rate: str, cumulative: str) -> D
 
 
 def production_stage(df: DataFrame, key: str, time: str, rate: str) -> DataFrame:
-    """0 plateau, 1 build-up, 2 decline, from the change of a centred mean over five rows
-    against half its deviation; 0 for series under fifteen rows."""
+    """0 plateau, 1 build-up, 2 decline, from the change of a centred mean against half its
+    deviation. The mean is over five rows, or a third of a series under fifteen; with an even
+    number of rows it reaches one further back. 0 for series under five rows."""
     w = _order(key, time)
-    n = F.count("*").over(_all(key))
-    inner = F.avg(rate).over(w.rowsBetween(-2, 2))
-    at = F.row_number().over(w)
-    smooth = df.withColumns({"__n": n, "__at": at, "__m": inner})
-    # A full window reaches from the third row to the third last; ends repeat the nearest.
-    full = F.when((F.col("__at") > 2) & (F.col("__at") <= F.col("__n") - 2), F.col("__m"))
+    mean = lambda size: F.avg(rate).over(w.rowsBetween(-(size // 2), (size - 1) // 2))
+    smooth = df.withColumns({"__n": F.count("*").over(_all(key)), "__at": F.row_number().over(w)})
+    size = F.least(F.lit(5), F.floor(F.col("__n") / 3))
+    smooth = smooth.withColumn("__size", size).withColumn("__m", F.when(F.col("__size") == 5, mean(5)).when(F.col("__size") == 4, mean(4)).when(F.col("__size") == 3, mean(3)).when(F.col("__size") == 2, mean(2)).otherwise(F.col(rate)))
+    # Rows whose window is not full take the nearest full one's mean.
+    inside = (F.col("__at") > F.floor(F.col("__size") / 2)) & (F.col("__at") <= F.col("__n") - F.floor((F.col("__size") - 1) / 2))
+    full = F.when(inside, F.col("__m"))
     smooth = smooth.withColumn("__m", F.coalesce(F.last(full, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(full, True).over(w.rowsBetween(0, Window.unboundedFollowing))))
     change = smooth.withColumn("__d", F.col("__m") - F.coalesce(F.lag("__m").over(w), F.col("__m")))
     spread = F.stddev_pop("__d").over(_all(key))
-    stage = F.when(F.col("__n") < 15, 0).when(F.col("__d") > 0.5 * spread, 1).when(F.col("__d") < -0.5 * spread, 2).otherwise(0)
-    return change.withColumn("stage", stage).drop("__n", "__at", "__m", "__d")
+    stage = F.when(F.col("__n") < 5, 0).when(F.col("__d") > 0.5 * spread, 1).when(F.col("__d") < -0.5 * spread, 2).otherwise(0)
+    return change.withColumn("stage", stage).drop("__n", "__at", "__m", "__d", "__size")
 
 
 def savgol_weights(window: int, order: int) -> list[float]:
@@ -164,35 +166,47 @@ def bilateral(df: DataFrame, key: str, time: str, column: str, half: int = 7, si
     return scaled.withColumn(f"{column}_bilateral", near[0] / near[1]).drop("__step", "__s")
 
 
-def _fold(df: DataFrame, key: str, time: str, column: str, name: str, fold) -> DataFrame:
-    """Replace a series by what ``fold`` makes of its ordered array of structs (t, x)."""
-    series = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(column).alias("x")))).alias("s"))
-    out = series.select(key, F.explode(F.arrays_zip(F.col("s.t").alias(time), fold(F.col("s.x")).alias(name))).alias("r")).select(key, f"r.{time}", f"r.{name}")
-    return df.join(out, [key, time])
+#: Rows that a recurrence takes at once; what a block leaves over goes to the next.
+BLOCK = 64
 
 
-def crm_filter(df: DataFrame, key: str, time: str, column: str, tau: float, step: float = 1.0, input_delay: int = 2) -> DataFrame:
+def _recurrence(df: DataFrame, key: str, time: str, name: str, keep: Column, inflow: Column) -> DataFrame:
+    """y(t) = keep y(t-1) + inflow(t), y of the first row its inflow. keep must not change
+    within a series. A series is cut into blocks: within one, y is a sum of the block's inflows
+    times powers of keep; blocks are joined by what each leaves over, in an array as long as a
+    series has blocks. So no array holds a whole series, and no power vanishes."""
+    w = _order(key, time)
+    rows = df.withColumns({"__t": F.row_number().over(w) - 1, "__keep": keep, "__in": inflow})
+    rows = rows.withColumns({"__b": F.floor(F.col("__t") / BLOCK), "__k": F.col("__t") % BLOCK})
+    block = Window.partitionBy(key, "__b").orderBy("__t")
+    # keep may be so small that its powers vanish within a block: terms are summed one by one.
+    own = F.aggregate(F.collect_list("__in").over(block.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0), lambda acc, v: acc * F.col("__keep") + v)
+    rows = rows.withColumn("__own", own)
+    ends = rows.groupBy(key, "__b").agg(F.max_by("__own", "__t").alias("e"), F.max("__k").alias("k"), F.first("__keep").alias("__keep"))
+    chain = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("__b").alias("b"), "e", "k"))).alias("s"), F.first("__keep").alias("__keep"))
+    left = F.aggregate("s", F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) * F.pow(F.col("__keep"), x["k"] + 1) + x["e"])))
+    before = chain.select(key, F.posexplode(left).alias("__b", "__left"))
+    out = rows.join(before, [key, "__b"]).withColumn(name, F.col("__own") + F.col("__left") * F.pow(F.col("__keep"), F.col("__k") + 1))
+    return out.select(*df.columns, name)
+
+
+def crm_filter(df: DataFrame, key: str, time: str, column: str, tau: float | Column, step: float = 1.0, input_delay: int = 2) -> DataFrame:
     """Exponential filter y(t) = d y(t-1) + (1 - d) x(t - input_delay), d = exp(-step/tau),
-    y(0) = x(0); indices below 0 count as 0. Keys and times must be unique."""
-    d = float(np.exp(-step / tau))
-
-    def fold(x):
-        start = F.array(F.element_at(x, 1))
-        later = F.when(F.size(x) > 1, F.sequence(F.lit(2), F.size(x))).otherwise(F.array().cast("array<int>"))
-        at = lambda i: F.element_at(x, F.greatest(i - input_delay, F.lit(1)))
-        return F.aggregate(later, start, lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) * d + at(i) * (1 - d))))
-
-    return _fold(df, key, time, column, f"{column}_crm", fold)
+    y(0) = x(0); indices below 0 count as 0. Keys and times must be unique; a ``tau`` by column
+    must not change within a series."""
+    w = _order(key, time)
+    d = F.exp(-step / tau) if isinstance(tau, Column) else F.lit(float(np.exp(-step / tau)))
+    first = F.first(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    delayed = F.coalesce(F.lag(column, input_delay).over(w), first)
+    inflow = F.when(F.row_number().over(w) == 1, F.col(column)).otherwise((1 - d) * delayed)
+    return _recurrence(df, key, time, f"{column}_crm", d, inflow)
 
 
 def ema(df: DataFrame, key: str, time: str, column: str, smooth: float) -> DataFrame:
     """a(t) = (1 - s) a(t) + s a(t-1), from the first value on. Keys and times unique."""
-
-    def fold(x):
-        rest = F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
-        return F.aggregate(rest, F.array(F.element_at(x, 1)), lambda acc, v: F.concat(acc, F.array(v * (1 - smooth) + F.element_at(acc, -1) * smooth)))
-
-    return _fold(df, key, time, column, f"{column}_ema", fold)
+    w = _order(key, time)
+    inflow = F.when(F.row_number().over(w) == 1, F.col(column)).otherwise((1 - smooth) * F.col(column))
+    return _recurrence(df, key, time, f"{column}_ema", F.lit(float(smooth)), inflow)
 
 
 def windowed_matrix(df: DataFrame, key: str, time: str, column: str, lags: int = 12) -> DataFrame:
@@ -209,15 +223,16 @@ def impute_linear_monotone(df: DataFrame, key: str, time: str, column: str) -> D
     fewer than two known rows: last value, then 0."""
     w = _order(key, time)
     t = F.unix_timestamp(F.col(time).cast("timestamp")).cast("double")
-    point = F.when(F.col(column).isNotNull(), F.struct(t.alias("t"), F.col(column).alias("v")))
+    known = F.col(column).isNotNull()
+    point = F.when(known, F.struct(t.alias("t"), F.col(column).alias("v")))
     upto, after, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    points = F.collect_list(point).over(whole)
-    d = df.withColumns({"__t": t, "__p": F.last(point, True).over(upto), "__q": F.first(point, True).over(after), "__all": points})
-    n = F.size("__all")
+    d = df.withColumns({"__t": t, "__p": F.last(point, True).over(upto), "__q": F.first(point, True).over(after), "__n": F.count(column).over(whole), "__r": F.count(column).over(upto)})
+    # The two outermost known rows of each end, each on every row once.
+    at = lambda k: F.first(F.when(known & (F.col("__r") == k), F.struct(F.col("__t").alias("t"), F.col(column).alias("v"))), True).over(whole)
+    d = d.withColumns({"__a": at(1), "__b": at(2), "__y": at(F.col("__n") - 1), "__z": at(F.col("__n"))})
     line = lambda a, b: a["v"] + (F.col("__t") - a["t"]) * F.try_divide(b["v"] - a["v"], b["t"] - a["t"])
-    at = lambda k: F.try_element_at(F.col("__all"), F.lit(k))
-    between = line(F.col("__p"), F.col("__q"))
-    value = F.when(F.col("__p").isNull(), line(at(1), at(2))).when(F.col("__q").isNull(), line(at(-2), at(-1))).otherwise(between)
-    filled = F.when(n < 2, F.coalesce(F.col("__p.v"), F.lit(0.0))).otherwise(F.coalesce(F.col(column), value))
+    col = F.col
+    value = F.when(col("__p").isNull(), line(col("__a"), col("__b"))).when(col("__q").isNull(), line(col("__y"), col("__z"))).otherwise(line(col("__p"), col("__q")))
+    filled = F.when(col("__n") < 2, F.coalesce(F.col("__p.v"), F.lit(0.0))).otherwise(F.coalesce(F.col(column), value))
     d = d.withColumn("__f", filled)
-    return d.withColumn(f"{column}_filled", F.coalesce(F.col(column), F.max("__f").over(upto))).drop("__t", "__p", "__q", "__all", "__f")
+    return d.withColumn(f"{column}_filled", F.coalesce(F.col(column), F.max("__f").over(upto))).drop("__t", "__p", "__q", "__n", "__r", "__a", "__b", "__y", "__z", "__f")

@@ -7,7 +7,7 @@ the nearest few (``nearest``) before anything that has a row for each month.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,24 @@ def pair_table(producers: DataFrame, injectors: DataFrame) -> DataFrame:
     return both.select("prod_id", "inj_id", "dx", "dy", "dz", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2).alias("d"))
 
 
+def metric_matrix(config: Mapping | Sequence[Sequence[float]]) -> np.ndarray:
+    """The matrix A of an anisotropy: ``matrix`` itself, the inverse of ``inverse``, or the
+    squares of ``scale`` (by axis, 1 where it has none) on the diagonal. A bare matrix is an
+    inverse."""
+    if not isinstance(config, Mapping):
+        return np.linalg.inv(np.asarray(config, float))
+    if "inverse" in config:
+        return np.linalg.inv(np.asarray(config["inverse"], float))
+    if "matrix" in config:
+        return np.asarray(config["matrix"], float)
+    if "scale" in config:
+        scales = [float(config["scale"].get(axis, 1.0)) for axis in "xyz"]
+        if min(scales) <= 0:
+            raise ValueError("scales must be positive")
+        return np.diag([v * v for v in scales])
+    raise ValueError("an anisotropy has a matrix, an inverse or a scale")
+
+
 def metric_distance(pairs: DataFrame, matrix: Sequence[Sequence[float]], name: str = "metric_d") -> DataFrame:
     """sqrt(v' A^-1 v) for a positive definite 3 x 3 matrix A."""
     a = np.asarray(matrix, float)
@@ -69,9 +87,9 @@ def kernel(name: str, d: Column, **p: float) -> Column:
     raise ValueError(f"no kernel {name} with {p}")
 
 
-def normalised(df: DataFrame, group: str, value: str, name: str = "weight") -> DataFrame:
+def normalised(df: DataFrame, group: str | Sequence[str], value: str, name: str = "weight") -> DataFrame:
     """Shares of a group's sum; equal shares where the sum is 0."""
-    w = Window.partitionBy(group)
+    w = Window.partitionBy(*([group] if isinstance(group, str) else group))
     total = F.sum(value).over(w)
     return df.withColumn(name, F.when(total > 0, F.col(value) / total).otherwise(1.0 / F.count("*").over(w)))
 
@@ -87,13 +105,20 @@ PERMEABILITY_MD, POROSITY, VISCOSITY_CP, COMPRESSIBILITY = 150.0, 0.18, 1.2, 8e-
 _MD, _MPA, _DAY = 9.869233e-16, 1e6, 86400.0
 
 
-def lag_window(pairs: DataFrame, permeability: float = PERMEABILITY_MD, porosity: float = POROSITY, viscosity: float = VISCOSITY_CP, compressibility: float = COMPRESSIBILITY, multiple: float = 1.5, period_days: int = 30) -> DataFrame:
-    """Days that pressure takes over the distance, and the window of lags in periods."""
-    diffusivity = permeability * _MD / (porosity * viscosity * 1e-3 * (compressibility / _MPA))
-    t = F.col("d") * F.col("d") / (4 * diffusivity) / _DAY
-    timed = pairs.withColumn("t_diff", t).withColumn("t_front", F.greatest(multiple * F.col("t_diff"), F.col("t_diff") + 30))
+def lag_window(pairs: DataFrame, permeability: float = PERMEABILITY_MD, porosity: float = POROSITY, viscosity: float = VISCOSITY_CP, compressibility: float = COMPRESSIBILITY, multiple: float = 1.5, period_days: int = 30, front_velocity: float | None = None, distance: str = "d") -> DataFrame:
+    """Days that pressure takes over the distance, days of the front, and the window of lags
+    in periods. The front has a velocity in metres a period, or comes after at least 1.5 times
+    the pressure's days, and thirty. A distance that is not above 0 fails the job."""
+    permeability, viscosity, compressibility = max(permeability, 1e-6), max(viscosity, 1e-4), max(compressibility, 1e-6)
+    porosity = min(max(porosity, 1e-4), 0.5)
+    diffusivity = max(permeability * _MD / (porosity * viscosity * 1e-3 * (compressibility / _MPA)), 1e-16)
+    d = F.when((F.col(distance) > 0) & (F.col(distance) < float("inf")), F.col(distance)).otherwise(F.raise_error(F.lit("a lag needs a positive finite distance")).cast("double"))
+    timed = pairs.withColumn("t_diff", d * d / (4 * diffusivity) / _DAY)
+    front = F.col(distance) / front_velocity * period_days if front_velocity and front_velocity > 0 else F.greatest(max(multiple, 1.5) * F.col("t_diff"), F.col("t_diff") + 30)
+    timed = timed.withColumn("t_front", front)
     periods = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / period_days)).cast("long")
-    return timed.withColumns({"lower_bound": periods("t_diff"), "upper_bound": periods("t_front")})
+    timed = timed.withColumn("lower_bound", periods("t_diff"))
+    return timed.withColumn("upper_bound", F.greatest(periods("t_front"), "lower_bound"))
 
 
 def correlation(x: Column, y: Column, ridge: float = 0.0) -> Column:
@@ -177,6 +202,7 @@ def static_prior(df: DataFrame) -> DataFrame:
 
 
 def connectivity(wells: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sum, largest and count of weights and mean lag of each well; zeros without pairs."""
-    g = pairs.groupBy(F.col("prod_id").alias("well")).agg(F.sum("weight").alias("crm_sum"), F.max("weight").alias("crm_max"), F.count("*").alias("crm_count"), F.avg("lag").alias("crm_lag"))
-    return wells.select("well").join(g, "well", "left").fillna(0, ["crm_sum", "crm_max", "crm_count", "crm_lag"])
+    """Sum, largest and count of weights, mean lag and mean tau of each well; zeros without
+    pairs."""
+    g = pairs.groupBy(F.col("prod_id").alias("well")).agg(F.sum("weight").alias("crm_sum"), F.max("weight").alias("crm_max"), F.count("*").alias("crm_count"), F.avg("lag").alias("crm_lag"), F.avg("tau").alias("crm_tau"))
+    return wells.select("well").join(g, "well", "left").fillna(0, ["crm_sum", "crm_max", "crm_count", "crm_lag", "crm_tau"])

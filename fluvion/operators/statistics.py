@@ -23,16 +23,16 @@ def _grouped(df: DataFrame, keys: list[str], columns: list[str], order: list[str
 
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     """Nearest-neighbour estimate of mutual information over ln(n + 1), 0 to 1; NaN for
-    fewer than eight rows. A fixed small jitter parts equal values."""
+    fewer than eight rows. Equal values are parted by 1e-10 times the parts behind the point
+    of multiples of an irrational number, one for x and one for y."""
     ok = np.isfinite(x) & np.isfinite(y)
     x, y, n = x[ok], y[ok], int(ok.sum())
     if n < 8:
         return float("nan")
-    rng = np.random.default_rng(0)
     scaled = []
-    for v in (x, y):
+    for v, irrational in ((x, 0.6180339887498949), (y, 0.41421356237309515)):
         v = v / (v.std() or 1.0)
-        scaled.append(v + 1e-10 * max(1.0, np.abs(v).mean()) * rng.standard_normal(n))
+        scaled.append(v + 1e-10 * max(1.0, np.abs(v).mean()) * (np.arange(1, n + 1) * irrational % 1.0))
     dx, dy = (np.abs(v[:, None] - v) for v in scaled)
     both = np.maximum(dx, dy)
     np.fill_diagonal(both, np.inf)
@@ -78,16 +78,19 @@ def conditional_information(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> floa
     return mutual_information(*left)
 
 
-def pair_statistics(rows: DataFrame) -> DataFrame:
-    """prod_id, inj_id, mi, psd_corr, cmi. rows: prod_id, inj_id, ds, y, x; a pair's
-    condition is y one row before."""
+def pair_statistics(rows: DataFrame, parts: tuple[str, ...] = ("mi", "psd_corr", "cmi")) -> DataFrame:
+    """prod_id, inj_id and those of mi, psd_corr, cmi that are asked for. rows: prod_id,
+    inj_id, ds, y, x, and c, the condition; without c it is y one row before. A group is one
+    pair's rows."""
+    given = "c" in rows.columns
 
-    def one(y, x):
+    def one(y, x, *c):
         y, x = y.astype(float), x.astype(float)
-        past = np.concatenate(([np.nan], y[:-1]))
-        return {"mi": mutual_information(x, y), "psd_corr": spectral_correlation(x, y), "cmi": conditional_information(x, y, past)}
+        condition = c[0].astype(float) if given else np.concatenate(([np.nan], y[:-1]))
+        made = {"mi": lambda: mutual_information(x, y), "psd_corr": lambda: spectral_correlation(x, y), "cmi": lambda: conditional_information(x, y, condition)}
+        return {n: made[n]() for n in parts}
 
-    return _grouped(rows, ["prod_id", "inj_id"], ["y", "x"], ["ds"], one, "prod_id string, inj_id string, mi double, psd_corr double, cmi double")
+    return _grouped(rows, ["prod_id", "inj_id"], ["y", "x", *(["c"] if given else [])], ["ds"], one, "prod_id string, inj_id string, " + ", ".join(f"{n} double" for n in parts))
 
 
 def cubic_fill(t: np.ndarray, v: np.ndarray, least: float = 0.0) -> np.ndarray:

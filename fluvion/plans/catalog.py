@@ -186,15 +186,31 @@ def decline_features(spark, sf):
     return rounded(features.decline(df, "well", "ds", "wlpr", "cum").select("well", "ds", "peak_rate", "time_since_peak", "decline_rate", "cum_share"))
 
 
-@query("prod", f"""WITH a AS (SELECT well, ds, wlpr, row_number() {_W} AS k, count(*) {_ALL} AS n, avg(wlpr) OVER (PARTITION BY well ORDER BY ds ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM prod),
-  b AS (SELECT *, CASE WHEN k > 2 AND k <= n - 2 THEN m END AS f FROM a),
+def _stage(pred: str, size: str) -> str:
+    means = " ".join(f"WHEN 5 THEN avg(wlpr) OVER (PARTITION BY {pred} ORDER BY ds ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)" if k == 5 else f"WHEN {k} THEN avg(wlpr) OVER (PARTITION BY {pred} ORDER BY ds ROWS BETWEEN {k // 2} PRECEDING AND {(k - 1) // 2} FOLLOWING)" for k in (5, 4, 3, 2))
+    return f"CASE {size} {means} ELSE wlpr END"
+
+
+def _stage_sql(source: str) -> str:
+    return f"""WITH a AS (SELECT well, ds, wlpr, row_number() {_W} AS k, count(*) {_ALL} AS n, least(5, count(*) {_ALL} // 3) AS size FROM {source}),
+  b AS (SELECT *, CASE WHEN k > size // 2 AND k <= n - (size - 1) // 2 THEN {_stage("well", "size")} END AS f FROM a),
   c AS (SELECT *, coalesce(last_value(f IGNORE NULLS) {_W}, first_value(f IGNORE NULLS) OVER (PARTITION BY well ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS g FROM b),
   d AS (SELECT *, g - coalesce(lag(g) {_W}, g) AS delta FROM c), e AS (SELECT *, stddev_pop(delta) {_ALL} AS s FROM d)
-  SELECT well, ds, CAST(CASE WHEN n < 15 THEN 0 WHEN delta > 0.5 * s THEN 1 WHEN delta < -0.5 * s THEN 2 ELSE 0 END AS INTEGER) AS stage FROM e""")
+  SELECT well, ds, CAST(CASE WHEN n < 5 THEN 0 WHEN delta > 0.5 * s THEN 1 WHEN delta < -0.5 * s THEN 2 ELSE 0 END AS INTEGER) AS stage FROM e"""
+
+
+@query("prod", _stage_sql("prod"))
 def production_stage(spark, sf):
     return features.production_stage(t.producers(spark, sf), "well", "ds", "wlpr").select("well", "ds", "stage")
 
 
+@query("prod", _stage_sql("(SELECT * FROM prod WHERE ds >= DATE '2000-06-01' AND (CAST(well AS INTEGER) + 2 * (year(ds) * 12 + month(ds))) % 5 < 3)"))
+def production_stage_short(spark, sf):
+    """Series of few rows, some under fifteen, where the window is a third of them."""
+    short = (F.col("well").cast("int") + 2 * (F.year("ds") * 12 + F.month("ds"))) % 5 < 3
+    return features.production_stage(t.producers(spark, sf).where((F.col("ds") >= F.to_date(F.lit("2000-06-01"))) & short), "well", "ds", "wlpr").select("well", "ds", "stage")
+
+
 _SG = " + ".join(f"({w!r}) * coalesce({'lag' if k < 3 else 'lead'}(wlpr, {abs(k - 3)}) {_W}, {'first' if k < 3 else 'last'}_value(wlpr) OVER (PARTITION BY well ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))" for k, w in enumerate(features.savgol_weights(7, 2)))
 
 

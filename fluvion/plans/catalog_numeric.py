@@ -12,26 +12,11 @@ from fluvion.functions import html
 from fluvion.operators import attention, features, forecasting, graph, panel, pairs
 from fluvion.operators import statistics as st
 from fluvion.plans.catalog import query, rounded
-from fluvion.plans.catalog_pairs import _CUT, _cut, _edges, _lagged, _shifted, _weighted
+from fluvion.plans.catalog_pairs import _CUT, _cut, _shifted, _weighted
 from fluvion.sources import tables as t
 from fluvion.sources.lineage import cut
 
 
-@query()
-def mutual_info(spark, sf):
-    return st.pair_statistics(_shifted(spark, sf)).select("prod_id", "inj_id", "mi")
-
-
-@query()
-def psd_corr(spark, sf):
-    return st.pair_statistics(_shifted(spark, sf)).select("prod_id", "inj_id", "psd_corr")
-
-
-@query()
-def cond_mi(spark, sf):
-    return st.pair_statistics(_shifted(spark, sf)).select("prod_id", "inj_id", "cmi")
-
-
 @query()
 def impute_spline(spark, sf):
     return st.impute_spline(panel.reindex(t.user_day(spark, sf), "unique_id", "ds", "day"), "unique_id", "ds", "y")
@@ -124,16 +109,18 @@ def _weighted_rate(spark, sf) -> DataFrame:
 _RATE = "rate AS (SELECT prod_id, s.ds, sum(weight * x) AS v FROM shifted s JOIN lagged l USING (prod_id, inj_id) GROUP BY prod_id, s.ds), step AS (SELECT *, v - coalesce(lag(v) OVER (PARTITION BY prod_id ORDER BY ds), v) AS d FROM rate)"
 
 
-@query("shifted lagged", f"""WITH {_RATE}, q AS (SELECT prod_id, count(*) AS n, quantile_cont(v, 1.0 / 3) AS a, quantile_cont(v, 2.0 / 3) AS b, quantile_cont(d, 0.2) AS lo, quantile_cont(d, 0.8) AS hi FROM step WHERE ds <= {_CUT} GROUP BY prod_id)
-  SELECT prod_id, ds, CAST(CASE WHEN coalesce(n, 0) < 5 THEN 0 WHEN d <= lo THEN 4 WHEN d >= hi THEN 3 WHEN v < a THEN 0 WHEN v < b THEN 1 ELSE 2 END AS INTEGER) AS regime_id FROM step LEFT JOIN q USING (prod_id)""")
+@query("shifted lagged", f"""WITH {_RATE}, q AS (SELECT prod_id, count(*) AS n, quantile_cont(v, 1.0 / 3) AS a, quantile_cont(v, 2.0 / 3) AS b, quantile_cont(d, 0.2) AS lo, quantile_cont(d, 0.8) AS hi FROM step WHERE ds <= {_CUT} GROUP BY prod_id),
+  raw AS (SELECT step.*, CASE WHEN coalesce(n, 0) < 5 THEN 0 WHEN hi > lo AND d <= lo THEN 4 WHEN hi > lo AND d >= hi THEN 3 WHEN v < a THEN 0 WHEN v < b THEN 1 ELSE 2 END AS r FROM step LEFT JOIN q USING (prod_id)),
+  seen AS (SELECT prod_id, r, row_number() OVER (PARTITION BY prod_id ORDER BY r) - 1 AS k, row_number() OVER (PARTITION BY prod_id ORDER BY count(*) DESC, r) AS o FROM raw WHERE ds <= {_CUT} GROUP BY prod_id, r)
+  SELECT raw.prod_id, ds, CAST(coalesce(s.k, m.k, 0) AS INTEGER) AS regime_id FROM raw LEFT JOIN seen s ON s.prod_id = raw.prod_id AND s.r = raw.r LEFT JOIN seen m ON m.prod_id = raw.prod_id AND m.o = 1""")
 def regime_labels(spark, sf):
     return attention.regimes(_weighted_rate(spark, sf), "prod_id", "ds", "v", _cut()).select("prod_id", "ds", "regime_id")
 
 
-@query("shifted lagged", f"""WITH {_RATE}, q AS (SELECT prod_id, quantile_cont(v, 0.33) AS a, quantile_cont(v, 0.66) AS b, quantile_cont(abs(d), 0.9) AS s FROM step WHERE ds <= {_CUT} GROUP BY prod_id),
-  g AS (SELECT *, CASE WHEN v < a THEN 0 WHEN v < b THEN 1 ELSE 2 END AS stage, 0.15 * least(abs(d) / s, 1) AS shift FROM step JOIN q USING (prod_id)),
+@query("shifted lagged", f"""WITH {_RATE}, q AS (SELECT prod_id, quantile_cont(v, 0.33) AS a, quantile_cont(v, 0.66) AS b, quantile_cont(abs(d), 0.9) AS s, count(v) AS n FROM step WHERE ds <= {_CUT} GROUP BY prod_id),
+  g AS (SELECT *, CASE WHEN n < 5 THEN 0 WHEN v < a THEN 0 WHEN v < b THEN 1 ELSE 2 END AS stage, 0.15 * least(abs(d) / s, 1) AS shift FROM step JOIN q USING (prod_id)),
   m AS (SELECT *, 0.7 * greatest(CASE stage WHEN 0 THEN 0.55 WHEN 1 THEN 0.70 ELSE 0.80 END + shift, 1e-4) AS x, 0.3 * greatest(CASE stage WHEN 0 THEN 0.45 WHEN 1 THEN 0.30 ELSE 0.20 END - shift, 1e-4) AS y FROM g)
-  SELECT prod_id, ds, CAST(stage AS INTEGER) AS stage_id, round(x / (x + y), 6) AS mix FROM m""")
+  SELECT prod_id, ds, CAST(stage AS INTEGER) AS stage_id, round(CASE WHEN n < 5 THEN 0.7 ELSE x / (x + y) END, 6) AS mix FROM m""")
 def stage_mix(spark, sf):
     return rounded(attention.stage_mix(_weighted_rate(spark, sf), "prod_id", "ds", "v", _cut()).select("prod_id", "ds", "stage_id", "mix"))
 
@@ -145,25 +132,6 @@ def geo_prior(spark, sf):
     return rounded(attention.geology_prior(base, t.coords(spark, sf), ["z"]).select("prod_id", "inj_id", "geo_prior"))
 
 
-def _alpha_rows(spark, sf) -> DataFrame:
-    labels = attention.regimes(_weighted_rate(spark, sf), "prod_id", "ds", "v", _cut()).select("prod_id", "ds", "regime_id")
-    return _shifted(spark, sf).join(labels, ["prod_id", "ds"]).withColumn("prior", F.col("weight"))
-
-
-@query()
-def regime_attention(spark, sf):
-    return attention.regime_weights(_alpha_rows(spark, sf), cutoff=_cut())
-
-
-@query()
-def alpha_assembly(spark, sf):
-    rows = _alpha_rows(spark, sf)
-    learned = attention.regime_weights(rows, cutoff=_cut())
-    mixes = attention.stage_mix(_weighted_rate(spark, sf), "prod_id", "ds", "v", _cut()).select("prod_id", "ds", "mix")
-    joined = rows.join(learned, ["prod_id", "regime_id", "inj_id"], "left").join(mixes, ["prod_id", "ds"])
-    return attention.assemble(joined, _cut()).select("prod_id", "inj_id", "ds", "regime_id", "alpha", "is_train")
-
-
 @query("prod", f"""WITH indexed AS (SELECT well, ds, wlpr, row_number() OVER (PARTITION BY well ORDER BY ds) - 1 AS k FROM prod), base AS (SELECT min(m) + 1 - 6 - 6 * 2 AS b FROM (SELECT max(k) AS m FROM indexed GROUP BY well)),
   cut AS (SELECT f AS fold, b + 6 * f AS c FROM base, unnest([0, 1, 2]) AS g(f)), last AS (SELECT well, fold, wlpr AS y_hat FROM indexed JOIN cut ON k = c - 1)
   SELECT i.well, i.ds, CAST(fold AS INTEGER) AS fold, CAST(k - c + 1 AS INTEGER) AS h_step, wlpr AS y, y_hat FROM indexed i JOIN cut ON k >= c AND k < c + 6 JOIN last USING (well, fold)""")

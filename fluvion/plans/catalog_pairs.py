@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvion.operators import graph, metrics, panel, pairs, quality
+from fluvion.operators import conformal, graph, metrics, panel, pairs, quality
 from fluvion.plans.catalog import query, rounded
 from fluvion.sources import tables as t
 
@@ -117,46 +117,6 @@ def xcorr_best_lag(spark, sf):
     return rounded(best.select("prod_id", "inj_id", "lag", "tau", "corr", "overlap"))
 
 
-_GRANGER = """WITH p AS (SELECT *, lag(y) OVER (PARTITION BY prod_id, inj_id ORDER BY ds) AS p FROM shifted),
-  g AS (SELECT prod_id, inj_id, count(*) AS n, var_pop(y) AS yy, var_pop(p) AS pp, var_pop(x) AS xx, covar_pop(y, p) AS yp, covar_pop(y, x) AS yx, covar_pop(p, x) AS px FROM p WHERE p IS NOT NULL GROUP BY prod_id, inj_id),
-  f AS (SELECT *, yy - yp * yp / pp AS base, yy - (yp * (xx * yp - px * yx) + yx * (pp * yx - px * yp)) / (pp * xx - px * px) AS whole FROM g),
-  granger AS (SELECT prod_id, inj_id, CASE WHEN n < 10 THEN NULL ELSE least(greatest((base - whole) / base, 0), 1) END AS granger FROM f)"""
-
-
-@query("shifted", f"{_GRANGER} SELECT prod_id, inj_id, round(granger, 6) AS granger FROM granger", dated=False)
-def granger(spark, sf):
-    return rounded(pairs.granger(_shifted(spark, sf)))
-
-
-def _scored(spark, sf) -> DataFrame:
-    best = pairs.best_lag(_lagged(spark, sf), _target(spark, sf), _rates(spark, sf), _cut())
-    joined = best.join(pairs.granger(_shifted(spark, sf)), ["prod_id", "inj_id"], "left")
-    positive = F.greatest(F.col("corr"), F.lit(0.0))
-    return pairs.causal_score(joined.withColumn("mi", positive).withColumn("cmi", F.lit(None).cast("double")), {"granger": 0.35, "mi": 0.30, "cmi": 0.15})
-
-
-_SCORED = f"""{_GRANGER}, {_BEST}, scored AS (SELECT l.*, coalesce(b.lag, lower_bound) AS lag, coalesce(b.corr, 0) AS corr, least(greatest((coalesce(0.35 * granger, 0) + 0.30 * greatest(coalesce(b.corr, 0), 0)) / (CASE WHEN granger IS NULL THEN 0 ELSE 0.35 END + 0.30), 0), 1) AS causal_score
-  FROM lagged l LEFT JOIN best b USING (prod_id, inj_id) LEFT JOIN granger USING (prod_id, inj_id))"""
-
-
-@query("shifted lagged prod rates", f"{_SCORED} SELECT prod_id, inj_id, round(causal_score, 6) AS causal_score FROM scored", dated=False)
-def causal_score(spark, sf):
-    return rounded(_scored(spark, sf).select("prod_id", "inj_id", "causal_score"))
-
-
-@query("shifted lagged prod rates", f"""{_SCORED}, a AS (SELECT *, weight * (0.6 * greatest(corr, 0) + 0.4 * greatest(causal_score, 0)) AS aw FROM scored), b AS (SELECT *, sum(aw) OVER (PARTITION BY prod_id) AS total FROM a)
-  SELECT prod_id, inj_id, round(CASE WHEN total > 0 THEN aw / total ELSE aw END, 6) AS adjusted_weight FROM b""", dated=False)
-def causal_adjust(spark, sf):
-    return rounded(pairs.causal_adjust(_scored(spark, sf)).select("prod_id", "inj_id", "adjusted_weight"))
-
-
-@query("shifted lagged prod rates", f"""{_SCORED}, m AS (SELECT *, greatest(lag, lower_bound) AS tau, median(d) OVER (PARTITION BY prod_id) AS md FROM scored),
-  e AS (SELECT *, greatest(corr, 0) AS c, exp(-d / greatest(md, 1e-9)) AS near, 1.0 / (1 + lag) AS il, 1.0 / (1 + tau) AS it FROM m), s AS (SELECT *, sum(weight) OVER w AS sw, sum(c) OVER w AS sc, sum(near) OVER w AS sn, sum(il) OVER w AS sl, sum(it) OVER w AS st, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY prod_id))
-  SELECT prod_id, inj_id, round(0.45 * weight / sw + 0.25 * coalesce(c / nullif(sc, 0), 1.0 / n) + 0.20 * near / sn + 0.05 * il / sl + 0.05 * it / st, 6) AS prior FROM s""", dated=False)
-def static_prior(spark, sf):
-    return rounded(pairs.static_prior(_scored(spark, sf)).select("prod_id", "inj_id", "prior"))
-
-
 @query("shifted lagged", """SELECT prod_id, s.ds, round(sum(weight * x), 6) + 0 AS inj_wwir_lag_weighted, round(sum(weight * dx), 6) + 0 AS inj_wwit_diff_lag_weighted,
   round(sum(CASE WHEN rk = 1 THEN weight * x ELSE 0 END), 6) AS inj_top1_contribution, round(sum(CASE WHEN rk = 2 THEN weight * x ELSE 0 END), 6) AS inj_top2_contribution, round(sum(CASE WHEN rk = 3 THEN weight * x ELSE 0 END), 6) AS inj_top3_contribution
   FROM shifted s JOIN lagged l USING (prod_id, inj_id) GROUP BY prod_id, s.ds""")
@@ -164,26 +124,10 @@ def injection_features(spark, sf):
     return rounded(pairs.injection_features(_shifted(spark, sf)))
 
 
-@query("coords lagged", """SELECT c.well, round(coalesce(sum(weight), 0), 6) AS crm_sum, round(coalesce(max(weight), 0), 6) AS crm_max, count(weight) AS crm_count, round(coalesce(avg(lower_bound), 0), 6) AS crm_lag
+@query("coords lagged", """SELECT c.well, round(coalesce(sum(weight), 0), 6) AS crm_sum, round(coalesce(max(weight), 0), 6) AS crm_max, count(weight) AS crm_count, round(coalesce(avg(lower_bound), 0), 6) AS crm_lag, round(coalesce(avg(lower_bound), 0), 6) AS crm_tau
   FROM coords c LEFT JOIN lagged l ON l.prod_id = c.well GROUP BY c.well""", dated=False)
 def crm_connectivity(spark, sf):
-    return rounded(pairs.connectivity(t.coords(spark, sf), _lagged(spark, sf).withColumn("lag", F.col("lower_bound"))))
-
-
-_CANDIDATES = (("idw_1", "idw", {"p": 1.0}), ("idw_2", "idw", {"p": 2.0}), ("gauss", "gaussian", {"scale": 800.0}))
-_CAND_SQL = "SELECT prod_id, inj_id, 'idw_1' AS cand, pow(d, -1) AS k FROM near UNION ALL SELECT prod_id, inj_id, 'idw_2', pow(d, -2) FROM near UNION ALL SELECT prod_id, inj_id, 'gauss', exp(-0.5 * (d / 800) ** 2) FROM near"
-
-
-@query("shifted near", f"""WITH c AS (SELECT *, k / sum(k) OVER (PARTITION BY cand, prod_id) AS cw FROM ({_CAND_SQL})), f AS (SELECT cand, s.prod_id, s.ds, any_value(y) AS y, sum(cw * x) AS v FROM shifted s JOIN c USING (prod_id, inj_id) WHERE s.ds <= {_CUT} GROUP BY cand, s.prod_id, s.ds),
-  r AS (SELECT cand, prod_id, abs(covar_pop(v, y) / (stddev_pop(v) * stddev_pop(y))) AS r FROM f GROUP BY cand, prod_id) SELECT cand, round(sum(r), 6) AS score FROM r GROUP BY cand""", dated=False)
-def kernel_calibration(spark, sf):
-    near = pairs.nearest(_pairs(spark, sf), 5)
-    each = near.select("prod_id", "inj_id", F.explode(F.array(*(F.struct(F.lit(n).alias("cand"), pairs.kernel(k, F.col("d"), **p).alias("k")) for n, k, p in _CANDIDATES))).alias("c")).select("prod_id", "inj_id", "c.*")
-    weights = each.withColumn("cw", F.col("k") / F.sum("k").over(Window.partitionBy("cand", "prod_id"))).drop("k")
-    rows = _shifted(spark, sf).where(F.col("ds") <= _cut()).join(weights, ["prod_id", "inj_id"])
-    series = rows.groupBy("cand", "prod_id", "ds").agg(F.first("y").alias("y"), F.sum(F.col("cw") * F.col("x")).alias("v"))
-    r = series.groupBy("cand", "prod_id").agg(F.abs(pairs.correlation(F.col("v"), F.col("y"))).alias("r"))
-    return rounded(r.groupBy("cand").agg(F.sum("r").alias("score")))
+    return rounded(pairs.connectivity(t.coords(spark, sf), _lagged(spark, sf).withColumns({"lag": F.col("lower_bound"), "tau": F.col("lower_bound")})))
 
 
 def _edges(spark, sf) -> DataFrame:
@@ -245,9 +189,9 @@ _METRICS = """count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)
   round(100 * sum(e) / nullif(sum(y), 0), 6) AS pbias, round(avg(e), 6) AS mbe, round(r, 6) AS correlation"""
 
 
-def _metrics_sql(by: str) -> str:
+def _metrics_sql(by: str, least: int = 1) -> str:
     keys = f"{by}, " if by else ""
-    group = f"GROUP BY {by}, r, a, b" if by else "GROUP BY r, a, b"
+    group = f"GROUP BY {by}, r, a, b HAVING count(*) >= {least}" if by else "GROUP BY r, a, b"
     using = f"USING ({by})" if by else "ON true"
     return f"""WITH s AS (SELECT {keys}covar_pop(y, y_hat) / nullif(stddev_pop(y) * stddev_pop(y_hat), 0) AS r, stddev_samp(y_hat) / nullif(stddev_samp(y), 0) AS a, avg(y_hat) / nullif(avg(y), 0) AS b FROM forecast {f'GROUP BY {by}' if by else ''}),
       j AS (SELECT f.*, y_hat - y AS e, r, a, b FROM forecast f JOIN s {using}) SELECT {keys}{_METRICS} FROM j {group}"""
@@ -263,9 +207,10 @@ def metrics_by_well(spark, sf):
     return rounded(metrics.evaluate(t.forecast(spark, sf), ["unique_id"]))
 
 
-@query("forecast", _metrics_sql("h_step"), dated=False)
+@query("forecast", _metrics_sql("h_step", 2), dated=False)
 def metrics_by_horizon(spark, sf):
-    return rounded(metrics.evaluate(t.forecast(spark, sf), ["h_step"]))
+    """Steps with one row only have no spread and are left out."""
+    return rounded(metrics.evaluate(t.forecast(spark, sf), ["h_step"], least=2))
 
 
 @query("forecast", "SELECT unique_id, ds, round(y, 6) AS y, round(y_hat, 6) AS y_hat, h_step FROM forecast")
@@ -310,7 +255,7 @@ _RES = "res AS (SELECT *, abs(y - y_hat) AS abs_err FROM forecast)"
 @query("forecast", f"""WITH {_RES}, n AS (SELECT *, count(*) OVER (PARTITION BY h_step) AS n, row_number() OVER (PARTITION BY h_step ORDER BY abs_err) AS k FROM res)
   SELECT h_step, round(abs_err, 6) AS eps FROM n WHERE k = least(greatest(ceil(least(1, ceil((n + 1) * 0.9) / n) * n), 1), n)""", dated=False)
 def conformal_icp(spark, sf):
-    return rounded(metrics.finite_sample_quantile(_residuals(spark, sf), 0.1, ["h_step"]))
+    return rounded(conformal.epsilon(_residuals(spark, sf), "icp", by=["h_step"]))
 
 
 def _weighted_sql(weight: str) -> str:
@@ -320,14 +265,12 @@ def _weighted_sql(weight: str) -> str:
 
 @query("forecast", _weighted_sql("pow(0.97, n - k)"), dated=False)
 def conformal_wcp_exp(spark, sf):
-    weighted = metrics.conformal_weights(_residuals(spark, sf), ["ds", "unique_id"], "wcp_exp", 0.97, ["h_step"])
-    return rounded(metrics.weighted_quantile(weighted, 0.9, ["h_step"]))
+    return rounded(conformal.epsilon(_residuals(spark, sf), "wcp_exp", by=["h_step"]))
 
 
 @query("forecast", _weighted_sql("k"), dated=False)
 def conformal_wcp_linear(spark, sf):
-    weighted = metrics.conformal_weights(_residuals(spark, sf), ["ds", "unique_id"], "wcp_linear", by=["h_step"])
-    return rounded(metrics.weighted_quantile(weighted, 0.9, ["h_step"]))
+    return rounded(conformal.epsilon(_residuals(spark, sf), "wcp_linear", by=["h_step"]))
 
 
 _EPS = f"""{_RES}, n AS (SELECT *, count(*) OVER (PARTITION BY h_step) AS n, row_number() OVER (PARTITION BY h_step ORDER BY abs_err) AS k FROM res), eps AS (SELECT h_step, abs_err AS eps FROM n WHERE k = least(greatest(ceil(least(1, ceil((n + 1) * 0.9) / n) * n), 1), n))"""
@@ -335,12 +278,7 @@ _EPS = f"""{_RES}, n AS (SELECT *, count(*) OVER (PARTITION BY h_step) AS n, row
 
 def _intervals(spark, sf) -> DataFrame:
     res = _residuals(spark, sf)
-    return res.join(metrics.finite_sample_quantile(res, 0.1, ["h_step"]), "h_step").withColumns({"cp_lo": F.col("y_hat") - F.col("eps"), "cp_hi": F.col("y_hat") + F.col("eps")})
-
-
-@query("forecast", f"WITH {_EPS} SELECT unique_id, ds, round(y_hat - eps, 6) AS cp_lo, round(y_hat + eps, 6) AS cp_hi FROM res JOIN eps USING (h_step)")
-def conformal_apply(spark, sf):
-    return rounded(_intervals(spark, sf).select("unique_id", "ds", "cp_lo", "cp_hi"))
+    return res.join(conformal.epsilon(res, "icp", by=["h_step"]), "h_step").withColumns({"cp_lo": F.col("y_hat") - F.col("eps"), "cp_hi": F.col("y_hat") + F.col("eps")})
 
 
 @query("forecast", f"WITH {_EPS}, i AS (SELECT *, CASE WHEN y BETWEEN y_hat - eps AND y_hat + eps THEN 1.0 ELSE 0 END AS c FROM res JOIN eps USING (h_step)) SELECT round(avg(c), 6) AS picp, round(avg(c) - 0.9, 6) + 0 AS deviation, round(avg(2 * eps), 6) AS mpiw FROM i", dated=False)

@@ -136,40 +136,6 @@ def inj_multiscale(spark, sf):
     return rounded(rows.groupBy("prod_id", "ds", F.col("lag").alias("months")).agg(F.sum(F.col("weight") * F.col("x")).alias("v")))
 
 
-@query("lagged", "SELECT prod_id, inj_id, rk, round(d, 6) AS distance_m, round(weight, 6) AS weight, lower_bound, upper_bound, round(t_diff, 6) AS t_diff_days, round(greatest(1.5 * t_diff, t_diff + 30), 6) AS t_front_days FROM lagged", dated=False)
-def pair_summary(spark, sf):
-    return rounded(_lagged(spark, sf).select("prod_id", "inj_id", "rk", F.col("d").alias("distance_m"), "weight", "lower_bound", "upper_bound", F.col("t_diff").alias("t_diff_days"), F.col("t_front").alias("t_front_days")))
-
-
-@query("forecast", f"""WITH {_RES}, f AS (SELECT h_step, avg(abs_err) AS mae, count(*) AS n FROM res GROUP BY h_step) SELECT round(sum(mae * n) / sum(n), 6) AS mae, CAST(sum(n) AS BIGINT) AS n FROM f""", dated=False)
-def cv_aggregate(spark, sf):
-    folds = _residuals(spark, sf).groupBy("h_step").agg(F.avg("abs_err").alias("mae"), F.count("*").alias("n"))
-    return rounded(folds.agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("mae"), F.sum("n").alias("n")))
-
-
-@query("prod forecast", """WITH w AS (SELECT f.unique_id, f.ds, least(greatest(p.wlpr - p.womr, 0) / greatest(abs(p.wlpr), 1e-6), 1) AS cut, coalesce(lag(least(greatest(p.wlpr - p.womr, 0) / greatest(abs(p.wlpr), 1e-6), 1)) OVER (PARTITION BY f.unique_id ORDER BY f.ds), 0) AS before FROM forecast f JOIN prod p ON p.well = f.unique_id AND p.ds = f.ds)
-  SELECT unique_id, round(avg(abs(cut - before)), 6) AS watercut_mae, round(sqrt(avg((cut - before) ** 2)), 6) AS watercut_rmse FROM w GROUP BY unique_id""", dated=False)
-def waterflood_metrics(spark, sf):
-    cut = panel.watercut(t.producers(spark, sf)).select(F.col("well").alias("unique_id"), "ds", "watercut")
-    rows = t.forecast(spark, sf).select("unique_id", "ds").join(cut, ["unique_id", "ds"])
-    step = F.col("watercut") - F.coalesce(F.lag("watercut").over(Window.partitionBy("unique_id").orderBy("ds")), F.lit(0.0))
-    return rounded(rows.withColumn("e", step).groupBy("unique_id").agg(F.avg(F.abs("e")).alias("watercut_mae"), F.sqrt(F.avg(F.col("e") ** 2)).alias("watercut_rmse")))
-
-
-@query("shifted lagged", """WITH f AS (SELECT prod_id, s.ds, any_value(y) AS y, sum(weight * x) AS v FROM shifted s JOIN lagged l USING (prod_id, inj_id) GROUP BY prod_id, s.ds)
-  SELECT prod_id, round(sum(y) / nullif(sum(v), 0), 6) AS vrr, round(covar_samp(v, y) / nullif(var_pop(v), 0), 6) AS efficiency FROM f GROUP BY prod_id""", dated=False)
-def injection_metrics(spark, sf):
-    v = pairs.injection_features(_shifted(spark, sf)).select("prod_id", "ds", F.col("inj_wwir_lag_weighted").alias("v"))
-    rows = v.join(_target(spark, sf).withColumnRenamed("well", "prod_id"), ["prod_id", "ds"])
-    return rounded(rows.groupBy("prod_id").agg(F.try_divide(F.sum("y"), F.sum("v")).alias("vrr"), F.try_divide(F.covar_samp("v", "y"), F.var_pop("v")).alias("efficiency")))
-
-
-@query("prod", f"""SELECT well, round(max(wthp) - avg(wthp), 6) AS drawdown, round(avg(abs(wlpr / greatest(200 - wthp, 1))), 6) AS pi_mean FROM prod GROUP BY well""", dated=False)
-def pressure_metrics(spark, sf):
-    pi = F.abs(F.col("wlpr") / F.greatest(F.lit(200.0) - F.col("wthp"), F.lit(1.0)))
-    return rounded(t.producers(spark, sf).groupBy("well").agg((F.max("wthp") - F.avg("wthp")).alias("drawdown"), F.avg(pi).alias("pi_mean")))
-
-
 @query("prod", """SELECT feature, round(covar_pop(value, wlpr) / (stddev_pop(value) * stddev_pop(wlpr)), 6) AS r FROM (SELECT wlpr, womr AS value, 'womr' AS feature FROM prod UNION ALL SELECT wlpr, wthp, 'wthp' FROM prod) GROUP BY feature""", dated=False)
 def feature_correlation(spark, sf):
     long = t.producers(spark, sf).select("wlpr", "womr", "wthp").unpivot("wlpr", ["womr", "wthp"], "feature", "value")

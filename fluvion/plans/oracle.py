@@ -31,10 +31,31 @@ VIEWS = {
       JOIN rates r ON r.well = l.inj_id AND r.ds = CAST(p.ds - to_months(CAST(l.lower_bound AS INTEGER)) AS DATE)""",
     "edges": """SELECT a.well AS src, b.well AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM coords a JOIN coords b ON a.well < b.well
       WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1000000.0""",
+    "dates": "SELECT DISTINCT ds FROM prod",
+    "ys": """SELECT w.well, d.ds, coalesce(last_value(p.wlpr IGNORE NULLS) OVER b, 0) AS y, coalesce(last_value(p.wthp IGNORE NULLS) OVER b, first_value(p.wthp IGNORE NULLS) OVER a) AS c
+      FROM (SELECT DISTINCT well FROM prod) w CROSS JOIN dates d LEFT JOIN prod p ON p.well = w.well AND p.ds = d.ds
+      WINDOW b AS (PARTITION BY w.well ORDER BY d.ds), a AS (PARTITION BY w.well ORDER BY d.ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
+    "xs": """SELECT well, ds, x, x - coalesce(lag(x) OVER (PARTITION BY well ORDER BY ds), x) AS dx FROM (SELECT w.well, d.ds, coalesce(i.wwir, 0) AS x
+      FROM (SELECT DISTINCT well FROM panel WHERE type = 'INJ') w CROSS JOIN dates d LEFT JOIN panel i ON i.well = w.well AND i.ds = d.ds)""",
+    "found": """SELECT l.prod_id, l.inj_id, l.d, l.rk, l.t_diff, l.lower_bound, l.upper_bound, coalesce(b.lag, l.lower_bound) AS lag, greatest(coalesce(b.lag, l.lower_bound), l.lower_bound) AS tau, coalesce(b.corr, 0) AS corr, coalesce(b.overlap, 0) AS overlap
+      FROM lagged l LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY prod_id, inj_id ORDER BY corr DESC, lag) AS n FROM (
+        SELECT g.prod_id, g.inj_id, g.lag, covar_pop(x, y) / sqrt((var_pop(x) + 1e-6) * (var_pop(y) + 1e-6)) AS corr, count(*) AS overlap
+        FROM (SELECT prod_id, inj_id, unnest(generate_series(lower_bound, upper_bound)) AS lag FROM lagged) g JOIN ys ON ys.well = g.prod_id AND ys.ds <= DATE '2001-04-01'
+        JOIN xs ON xs.well = g.inj_id AND xs.ds = CAST(ys.ds - to_months(CAST(g.lag AS INTEGER)) AS DATE) GROUP BY g.prod_id, g.inj_id, g.lag HAVING count(*) >= 6)) b
+      ON b.prod_id = l.prod_id AND b.inj_id = l.inj_id AND b.n = 1""",
+    "lagrows": """SELECT f.prod_id, f.inj_id, f.rk, f.d, f.lag, f.tau, ys.ds, ys.y, ys.c, coalesce(xs.x, 0) AS x, coalesce(xs.dx, 0) AS dx, xs.x IS NOT NULL AS known
+      FROM found f JOIN ys ON ys.well = f.prod_id LEFT JOIN xs ON xs.well = f.inj_id AND xs.ds = CAST(ys.ds - to_months(CAST(f.lag AS INTEGER)) AS DATE)""",
+    "trained": """SELECT *, row_number() OVER (PARTITION BY prod_id, inj_id ORDER BY ds) AS k, count(*) OVER (PARTITION BY prod_id, inj_id) AS n
+      FROM lagrows WHERE ds <= DATE '2001-04-01' AND known QUALIFY count(*) OVER (PARTITION BY prod_id, inj_id) >= 12""",
+    "inflow": "SELECT prod_id, s.ds, sum(weight * x) AS x FROM shifted s JOIN lagged l USING (prod_id, inj_id) GROUP BY prod_id, s.ds",
+    "predicted": """SELECT unique_id, ds, t, y, y_hat, oil, oil_hat, p, p_hat, cut, cut_hat, x, 0.7 * y_hat AS low, 1.3 * y_hat AS high FROM (
+      SELECT c.well AS unique_id, c.ds, row_number() OVER w - 1 AS t, wlpr AS y, avg(wlpr) OVER b AS y_hat, womr AS oil, avg(womr) OVER b AS oil_hat, wthp AS p, avg(wthp) OVER b AS p_hat, cut, avg(cut) OVER b AS cut_hat, coalesce(i.x, 0) AS x
+      FROM (SELECT *, least(greatest(wlpr - womr, 0) / greatest(abs(wlpr), 1e-6), 1) AS cut FROM prod) c LEFT JOIN inflow i ON i.prod_id = c.well AND i.ds = c.ds
+      WINDOW w AS (PARTITION BY c.well ORDER BY c.ds), b AS (PARTITION BY c.well ORDER BY c.ds ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE t >= 3""",
     "dirs": "SELECT src, dst, d, 1 / d AS w FROM edges WHERE d > 0 UNION ALL SELECT dst, src, d, 1 / d FROM edges WHERE d > 0",
 }
 
-_USES = {"prod": ["panel"], "spine": ["user_day"], "forecast": ["prod"], "pairs": ["coords"], "near": ["pairs"], "weighted": ["near"], "lagged": ["weighted"], "rates": ["panel"], "shifted": ["lagged", "prod", "rates"], "edges": ["coords"], "dirs": ["edges"]}
+_USES = {"prod": ["panel"], "spine": ["user_day"], "forecast": ["prod"], "pairs": ["coords"], "near": ["pairs"], "weighted": ["near"], "lagged": ["weighted"], "rates": ["panel"], "shifted": ["lagged", "prod", "rates"], "inflow": ["shifted", "lagged"], "predicted": ["prod", "inflow"], "dates": ["prod"], "ys": ["prod", "dates"], "xs": ["panel", "dates"], "found": ["lagged", "ys", "xs"], "lagrows": ["found", "ys", "xs"], "trained": ["lagrows"], "edges": ["coords"], "dirs": ["edges"]}
 
 
 def over(views: str, select: str) -> str:
