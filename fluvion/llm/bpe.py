@@ -29,7 +29,7 @@ from fluvion.llm.arrays import slices, strings
 from fluvion.llm.scratch import map_batches
 
 #: Words that each of a worker's memos holds before it is emptied, and the longest such word.
-MEMO_WORDS, MEMO_CHARS = 900_000, 64
+MEMO_WORDS, MEMO_CHARS = 400_000, 64
 
 
 def byte_characters() -> str:
