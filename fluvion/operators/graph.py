@@ -20,6 +20,19 @@ def edges_within(places: DataFrame, radius: float) -> DataFrame:
     return both.where(flat <= radius * radius).select(F.col("well").alias("src"), "dst", F.sqrt(flat + (F.col("z") - F.col("oz")) ** 2).alias("d"))
 
 
+def edges_all(places: DataFrame) -> DataFrame:
+    """All pairs of wells with src < dst, for fields of which every edge is wanted; their number
+    is the square of the wells'. Wells are dealt into parts and parts meet each other, so no
+    task has more than two parts' wells."""
+    at = places.select("well", "x", "y", "z").withColumn("part", F.pmod(F.xxhash64("well"), F.lit(16)).cast("int"))
+    upto = F.sequence(F.lit(0), F.lit(15))
+    left = at.select(F.struct("well", "x", "y", "z").alias("a"), F.col("part").alias("p"), F.explode(upto).alias("q"))
+    right = at.select(F.struct("well", "x", "y", "z").alias("b"), F.col("part").alias("q"), F.explode(upto).alias("p"))
+    both = left.join(right, ["p", "q"]).where("a.well < b.well")
+    d = F.sqrt(sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    return both.select(F.col("a.well").alias("src"), F.col("b.well").alias("dst"), d.alias("d")).where("d > 0 and not isnan(d)")
+
+
 def directed(edges: DataFrame) -> DataFrame:
     """Both directions with the weight 1 / d; edges of length 0 are none."""
     e = edges.where("d > 0").withColumn("w", 1 / F.col("d"))

@@ -90,8 +90,7 @@ def spine(rows: DataFrame, dates: DataFrame, values: Mapping[str, str], fill: st
 def pair_windows(producers: DataFrame, injectors: DataFrame, settings: Settings) -> DataFrame:
     """The nearest injectors of each producer by the metric distance, with the direction's
     factor and the window of lags. producers, injectors: well, x, y, z."""
-    made = pairs.metric_distance(pairs.pair_table(producers, injectors), pairs.metric_matrix(settings.anisotropy)) if settings.anisotropy else pairs.pair_table(producers, injectors).withColumn("metric_d", F.col("d"))
-    near = pairs.nearest(made, settings.top, by="metric_d")
+    near = pairs.nearest_pairs(producers, injectors, settings.top, pairs.metric_matrix(settings.anisotropy) if settings.anisotropy else None)
     if settings.direction:
         d = settings.direction
         near = pairs.direction_factor(near, d.vector, d.mode, d.floor, d.kappa)

@@ -1,7 +1,8 @@
 """Producer-injector pairs: distances, kernels, lags, and what injection adds up to.
 
-Pairs of all producers with all injectors are what the operators are about; cut them to
-the nearest few (``nearest``) before anything that has a row for each month.
+``pair_table`` has all pairs, for results that are about all of them. ``nearest_pairs`` finds
+the nearest few of each producer without them, and is what anything with a row for each month
+begins with.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.sources.lineage import cut
+
 
 def pair_table(producers: DataFrame, injectors: DataFrame) -> DataFrame:
     """prod_id, inj_id, dx, dy, dz, d: every producer with every injector."""
@@ -100,6 +103,55 @@ def nearest(pairs: DataFrame, k: int, group: str = "prod_id", by: str = "d", tie
     return ranked.where(F.col("rk") <= k) if k else ranked
 
 
+def nearest_pairs(producers: DataFrame, injectors: DataFrame, k: int, matrix: Sequence[Sequence[float]] | None = None, cell: float | None = None) -> DataFrame:
+    """The k nearest injectors of each producer, with dx, dy, dz, d, metric_d and rk, without
+    meeting all pairs: wells meet in cells of a grid and their neighbours, and producers that
+    find fewer than k injectors within a cell's width go on with cells twice as wide. Distances
+    are by ``matrix`` (see metric_distance) where it is given. ``cell``: the first width; by
+    default one that holds about k injectors if they are spread evenly.
+
+    Injectors without a place are nobody's; the rounds are few, since widths double until they
+    span the field.
+    """
+    root = np.eye(3) if matrix is None else np.linalg.cholesky(np.linalg.inv(np.asarray(matrix, float))).T
+    axes = lambda c: {f"__m{n}": sum((F.col(v) * float(root[n, m]) for m, v in enumerate("xyz")), F.lit(0.0)) for n in range(3)}
+    placed = lambda t: cut(t.where("x is not null and y is not null and z is not null").select("well", "x", "y", "z").withColumns(axes(t)))
+    p, i = placed(producers), placed(injectors)
+    span = i.agg(F.count("*").alias("n"), *(f(F.col(f"__m{n}")).alias(f"{name}{n}") for n in (0, 1) for name, f in (("low", F.min), ("high", F.max)))).first()
+    reach = p.agg(*(f(F.col(f"__m{n}")).alias(f"{name}{n}") for n in (0, 1) for name, f in (("low", F.min), ("high", F.max)))).first()
+    columns = ("x", "y", "z")
+    shown = lambda t: t.select("prod_id", "inj_id", "dx", "dy", "dz", "d", "metric_d", "rk")
+    if not span["n"] or reach["low0"] is None:
+        return shown(p.select(F.col("well").alias("prod_id")).where("false").withColumns({"inj_id": F.lit(""), **{c: F.lit(0.0) for c in ("dx", "dy", "dz", "d", "metric_d")}, "rk": F.lit(0).cast("long")}))
+    whole = max(max(span[f"high{n}"], reach[f"high{n}"]) - min(span[f"low{n}"], reach[f"low{n}"]) for n in (0, 1)) + 1.0
+    width = cell or max(whole * math.sqrt(k / span["n"]), whole / 1024)
+    left, parts = p, []
+    while True:
+        at = lambda t: t.withColumns({"__i": F.floor(F.col("__m0") / width), "__j": F.floor(F.col("__m1") / width)})
+        around = F.explode(F.array(*(F.struct((F.col("__i") + a).alias("__i"), (F.col("__j") + b).alias("__j")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+        here = at(left).select(F.col("well").alias("prod_id"), *(F.col(c).alias(f"p{c}") for c in columns), *(F.col(f"__m{n}").alias(f"q{n}") for n in range(3)), "__i", "__j")
+        there = at(i).select(F.col("well").alias("inj_id"), *(F.col(c).alias(f"i{c}") for c in columns), *(F.col(f"__m{n}").alias(f"r{n}") for n in range(3)), around.alias("__c")).select("*", "__c.*").drop("__c")
+        met = here.join(there, ["__i", "__j"]).withColumn("metric_d", F.sqrt(sum(((F.col(f"r{n}") - F.col(f"q{n}")) ** 2 for n in range(3)), F.lit(0.0))))
+        met = met.withColumns({f"d{c}": F.col(f"i{c}") - F.col(f"p{c}") for c in columns}).withColumn("d", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2))
+        last = width >= whole
+        ranked = nearest(met if last else met.where(F.col("metric_d") <= width), k, by="metric_d")
+        if last:
+            parts.append(shown(ranked))
+            break
+        # All injectors within the width are known, so k of them are the k nearest.
+        ranked = cut(shown(ranked))
+        full = cut(ranked.groupBy("prod_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("prod_id").alias("well")))
+        parts.append(ranked.join(full.withColumnRenamed("well", "prod_id"), "prod_id", "left_semi"))
+        left = cut(left.join(full, "well", "left_anti"))
+        if left.isEmpty():
+            break
+        width *= 2
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 #: Default rock and fluid, in the units of the parameters of lag_window.
 PERMEABILITY_MD, POROSITY, VISCOSITY_CP, COMPRESSIBILITY = 150.0, 0.18, 1.2, 8e-4
 _MD, _MPA, _DAY = 9.869233e-16, 1e6, 86400.0

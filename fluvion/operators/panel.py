@@ -87,9 +87,10 @@ def target_wells(df: DataFrame, key: str, time: str, kind: str = "type", least:
 
 def split(df: DataFrame, key: str, time: str, horizon: int) -> DataFrame:
     """Adds ``part``: test from the month that leaves ``horizon`` months up to the
-    earliest of the keys' ends, train before."""
-    end = df.groupBy(key).agg(F.max(time).alias("e")).agg(F.min("e").alias("e"))
-    start = end.select(F.add_months("e", 1 - horizon).alias("__start"))
+    earliest of the keys' ends, train before; and train_cutoff, the month before that, but
+    not before the first row."""
+    end = df.groupBy(key).agg(F.max(time).alias("e"), F.min(time).alias("f")).agg(F.min("e").alias("e"), F.min("f").alias("f"))
+    start = end.select(F.add_months("e", 1 - horizon).alias("__start"), F.greatest(F.add_months("e", -horizon), F.col("f").cast("date")).alias("train_cutoff"))
     return df.crossJoin(F.broadcast(start)).withColumn("part", F.when(F.col(time) < F.col("__start"), "train").otherwise("test")).drop("__start")
 
 

@@ -1,4 +1,4 @@
-"""Validation and quality counts of a panel, each in one pass over it."""
+"""Validation and quality counts of a panel, each in one pass over it; and what fails on them."""
 
 from __future__ import annotations
 
@@ -51,3 +51,42 @@ def coordinate_validation(df: DataFrame, key: str) -> DataFrame:
     bad = df.agg(F.sum((F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()).cast("int")).alias("v")).select(F.lit("null_coordinates").alias("check"), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("value"))
     twice = df.groupBy(key).count().where("count > 1").agg(F.count("*").alias("v")).select(F.lit("repeated_wells").alias("check"), F.col("v").cast("double").alias("value"))
     return bad.unionByName(twice)
+
+
+class ValidationError(ValueError):
+    """Rows break the rules; ``failures`` lists all of them."""
+
+    def __init__(self, failures: list[tuple[str, str, float]]):
+        self.failures = failures
+        super().__init__("; ".join(f"{check} {column}: {value:g} rows" for check, column, value in failures))
+
+
+def require_valid(df: DataFrame, required: Sequence[str], kinds: Sequence[str], kind: str = "type", nonnegative: Sequence[str] = ()) -> DataFrame:
+    """``df`` itself; raises ValidationError with every rule that a row breaks."""
+    broken = [(r["check"], r["column"], r["value"]) for r in schema_violations(df, required, kinds, kind, nonnegative).collect() if r["value"]]
+    if broken:
+        raise ValidationError(broken)
+    return df
+
+
+def require_places(df: DataFrame, key: str) -> DataFrame:
+    """``df`` itself; raises where a column is missing or a key stands more than once. Null
+    coordinates are let through."""
+    if missing := [c for c in (key, "x", "y", "z") if c not in df.columns]:
+        raise ValidationError([("missing", c, 1) for c in missing])
+    twice = {r["check"]: r["value"] for r in coordinate_validation(df, key).collect()}["repeated_wells"]
+    if twice:
+        raise ValidationError([("repeated", key, twice)])
+    return df
+
+
+def series_report(df: DataFrame, key: str, time: str, cumulative: Sequence[str], kind: str, columns: Sequence[str]) -> DataFrame:
+    """check, column, value: keys whose cumulative column falls somewhere, rows of each type, and
+    1 for each column of which more than half is null."""
+    w = Window.partitionBy(key).orderBy(time)
+    falls = df.select(key, *((F.col(c) < F.lag(c).over(w)).alias(c) for c in cumulative))
+    per_key = falls.groupBy(key).agg(*(F.max(F.coalesce(F.col(c), F.lit(False)).cast("int")).alias(c) for c in cumulative))
+    decreasing = _long(per_key.agg(*(F.sum(c).alias(c) for c in cumulative)), [("non_monotonic", c, c) for c in cumulative])
+    empty = _long(df.agg(*((F.avg(F.col(c).isNull().cast("double")) > 0.5).cast("int").alias(c) for c in columns)), [("mostly_null", c, c) for c in columns])
+    types = df.groupBy(kind).agg(F.count("*").cast("double").alias("value")).select(F.lit("type").alias("check"), F.coalesce(F.col(kind), F.lit("")).alias("column"), "value")
+    return decreasing.unionByName(empty).unionByName(types)

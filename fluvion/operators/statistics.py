@@ -93,6 +93,11 @@ def pair_statistics(rows: DataFrame, parts: tuple[str, ...] = ("mi", "psd_corr",
     return _grouped(rows, ["prod_id", "inj_id"], ["y", "x", *(["c"] if given else [])], ["ds"], one, "prod_id string, inj_id string, " + ", ".join(f"{n} double" for n in parts))
 
 
+def information_by(rows: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """keys (strings), mi: ``mutual_information`` of y and x over each group's rows, by ds."""
+    return _grouped(rows, keys, ["y", "x"], ["ds"], lambda y, x: {"mi": mutual_information(x.astype(float), y.astype(float), k)}, ", ".join(f"{c} string" for c in keys) + ", mi double")
+
+
 def cubic_fill(t: np.ndarray, v: np.ndarray, least: float = 0.0) -> np.ndarray:
     """Missing values from the natural cubic spline through the known ones, at least
     ``least``; beyond the ends its end slopes go on. Fewer than four known: the last value

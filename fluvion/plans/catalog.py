@@ -108,11 +108,6 @@ def target_wells(spark, sf):
     return panel.target_wells(t.panel(spark, sf), "well", "ds")
 
 
-@query("prod", """SELECT well, ds, CASE WHEN ds < (SELECT min(e) - INTERVAL 5 MONTH FROM (SELECT max(ds) AS e FROM prod GROUP BY well)) THEN 'train' ELSE 'test' END AS part FROM prod""")
-def train_test_split(spark, sf):
-    return panel.split(t.producers(spark, sf), "well", "ds", 6).select("well", "ds", "part")
-
-
 @query("prod", f"""WITH indexed AS (SELECT well, ds, CAST(row_number() {_W} - 1 AS INTEGER) AS time_idx FROM prod),
   base AS (SELECT min(m) + 1 - 6 - 6 * 2 AS b FROM (SELECT max(time_idx) AS m FROM indexed GROUP BY well))
   SELECT well, ds, time_idx, CAST(f AS INTEGER) AS fold, CASE WHEN time_idx < b + 6 * f THEN 'train' ELSE 'val' END AS part

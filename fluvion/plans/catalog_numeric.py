@@ -148,7 +148,7 @@ def forecast_baselines(spark, sf):
 @query("forecast", """WITH l AS (SELECT *, lag(y_hat) OVER w AS p, lead(y_hat) OVER w AS n FROM forecast WINDOW w AS (PARTITION BY unique_id ORDER BY ds))
   SELECT unique_id, round(avg(coalesce((n - 2 * y_hat + p) ** 2, 0)), 6) AS smoothness, round(avg(CASE WHEN y_hat < 0 THEN y_hat * y_hat ELSE 0 END), 6) AS boundary, round(avg(coalesce((y_hat - p) ** 2, 0)), 6) AS balance FROM l GROUP BY unique_id""", dated=False)
 def physics_penalties(spark, sf):
-    return rounded(forecasting.physics_penalties(t.forecast(spark, sf), "unique_id", "ds"))
+    return rounded(forecasting.physics_penalties(t.forecast(spark, sf), "unique_id", "ds").drop("diffusion"))
 
 
 @query()

@@ -43,8 +43,13 @@ def _pairs(spark, sf) -> DataFrame:
     return pairs.pair_table(places.where("type = 'PROD'"), places.where("type = 'INJ'"))
 
 
+def _near(spark, sf) -> DataFrame:
+    places = t.coords(spark, sf)
+    return pairs.nearest_pairs(places.where("type = 'PROD'"), places.where("type = 'INJ'"), 5)
+
+
 def _weighted(spark, sf) -> DataFrame:
-    near = pairs.nearest(_pairs(spark, sf), 5)
+    near = _near(spark, sf)
     return pairs.normalised(near.withColumn("w", pairs.kernel("idw", F.col("d"), p=2.0)), "prod_id", "w")
 
 
@@ -96,7 +101,7 @@ def kernel_weights(spark, sf):
 
 @query("near", "SELECT prod_id, inj_id, round(d, 6) AS d, rk FROM near", dated=False)
 def topk_neighbors(spark, sf):
-    return rounded(pairs.nearest(_pairs(spark, sf), 5).select("prod_id", "inj_id", "d", "rk"))
+    return rounded(_near(spark, sf).select("prod_id", "inj_id", "d", "rk"))
 
 
 @query("lagged", "SELECT prod_id, inj_id, round(t_diff, 6) AS t_diff, lower_bound, upper_bound FROM lagged", dated=False)
@@ -144,19 +149,25 @@ def degree(spark, sf):
     return rounded(graph.degree_centrality(t.coords(spark, sf), _edges(spark, sf)))
 
 
-@query("dirs coords", """WITH RECURSIVE p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM dirs), n AS (SELECT count(*) AS n FROM coords),
-  r0 AS (SELECT well, 1.0 / n AS r, NOT EXISTS (SELECT 1 FROM dirs WHERE src = well) AS loose FROM coords, n),
-  r1 AS (SELECT well, loose, 0.15 / n + 0.85 * (coalesce((SELECT sum(q.r * p.p) FROM p JOIN r0 q ON q.well = p.src WHERE p.dst = r0.well), 0) + (SELECT coalesce(sum(r), 0) FROM r0 WHERE loose) / n) AS r FROM r0, n),
-  r2 AS (SELECT well, loose, 0.15 / n + 0.85 * (coalesce((SELECT sum(q.r * p.p) FROM p JOIN r1 q ON q.well = p.src WHERE p.dst = r1.well), 0) + (SELECT coalesce(sum(r), 0) FROM r1 WHERE loose) / n) AS r FROM r1, n),
-  r3 AS (SELECT well, loose, 0.15 / n + 0.85 * (coalesce((SELECT sum(q.r * p.p) FROM p JOIN r2 q ON q.well = p.src WHERE p.dst = r2.well), 0) + (SELECT coalesce(sum(r), 0) FROM r2 WHERE loose) / n) AS r FROM r2, n)
-  SELECT well, round(r, 6) AS rank FROM r3""", dated=False)
+@query("dirs coords", """WITH RECURSIVE p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM dirs), n AS (SELECT count(*)::DOUBLE AS n FROM coords), linked AS (SELECT DISTINCT src FROM dirs),
+  r AS (SELECT 0 AS k, well, 1.0::DOUBLE / n AS r FROM coords, n
+    UNION ALL SELECT k, well, 0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) FROM (
+      SELECT (SELECT max(k) FROM r) + 1 AS k, c.well, n, (SELECT sum(r.r * p.p) FROM r JOIN p ON p.src = r.well WHERE p.dst = c.well) AS got, (SELECT coalesce(sum(r.r), 0) FROM r WHERE well NOT IN (SELECT src FROM linked)) AS loose FROM coords c, n) WHERE k <= 150)
+  SELECT well, round(r, 6) AS rank FROM r WHERE k = 150""", dated=False)
 def pagerank(spark, sf):
-    return rounded(graph.pagerank(t.coords(spark, sf), _edges(spark, sf)))
+    """Until the ranks change by less than 1e-9 in all; 150 rounds bring the SQL below that."""
+    return rounded(graph.pagerank(t.coords(spark, sf), _edges(spark, sf), tolerance=1e-9))
+
+
+def _doubled(k: int) -> str:
+    """Shortest paths of up to 2**k edges."""
+    return ", ".join(f"p{n} AS MATERIALIZED (SELECT src, dst, min(d) AS d FROM (SELECT src, dst, d FROM p{n - 1} UNION ALL SELECT a.src, b.dst, a.d + b.d FROM p{n - 1} a JOIN p{n - 1} b ON a.dst = b.src WHERE a.src <> b.dst) GROUP BY src, dst)" for n in range(1, k + 1))
 
 
-@query("dirs coords", """WITH two AS (SELECT src, dst, min(d) AS d FROM (SELECT src, dst, d FROM dirs UNION ALL SELECT a.src, b.dst, a.d + b.d FROM dirs a JOIN dirs b ON a.dst = b.src WHERE a.src <> b.dst) GROUP BY src, dst)
-  SELECT c.well, round(coalesce(count(src) * count(src) / (sum(d) * ((SELECT count(*) FROM coords) - 1)), 0), 6) AS closeness FROM coords c LEFT JOIN two ON src = c.well GROUP BY c.well""", dated=False)
+@query("dirs coords", f"""WITH p0 AS (SELECT src, dst, d FROM dirs), {_doubled(5)}
+  SELECT c.well, round(coalesce(count(src) * count(src) / (sum(d) * ((SELECT count(*) FROM coords) - 1)), 0), 6) AS closeness FROM coords c LEFT JOIN p5 ON src = c.well GROUP BY c.well""", dated=False)
 def closeness(spark, sf):
+    """Paths of any number of edges; no shortest path of this field has more than the SQL's 32."""
     return rounded(graph.closeness(t.coords(spark, sf), _edges(spark, sf)))
 
 
@@ -309,7 +320,7 @@ def well_stats(spark, sf):
     return rounded(t.panel(spark, sf).groupBy("well").agg(F.count("*").alias("n"), F.avg("wlpr").alias("mean"), F.median("wlpr").alias("median"), F.percentile("wlpr", 0.9).alias("p90"), F.max_by("type", "ds").alias("last_type"), F.max("ds").cast("string").alias("last")))
 
 
-@query("prod", "SELECT CAST(ds AS VARCHAR) AS ds, * EXCLUDE (ds) FROM (SELECT ds, round(sum(CASE WHEN well = '1' THEN wlpr END), 6) AS \"1__wlpr\", round(sum(CASE WHEN well = '2' THEN wlpr END), 6) AS \"2__wlpr\" FROM prod WHERE well IN ('1', '2') GROUP BY ds)", dated=False)
+@query("prod", "SELECT CAST(ds AS VARCHAR) AS ds, * EXCLUDE (ds) FROM (PIVOT (SELECT ds, well || '__wlpr' AS w, wlpr FROM prod) ON w USING round(sum(wlpr), 6) GROUP BY ds)", dated=False)
 def pivot_wide(spark, sf):
     rows = t.producers(spark, sf).select("well", "ds", "wlpr")
     wells = sorted((r["well"] for r in rows.select("well").distinct().collect()), key=lambda w: (len(w), w))

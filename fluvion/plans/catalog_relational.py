@@ -151,13 +151,3 @@ def history_spans(spark, sf):
 @query("forecast", f"WITH {_RES} SELECT unique_id, ds, round(y - y_hat, 6) AS residual, round(abs_err, 6) AS abs_err FROM res")
 def residuals(spark, sf):
     return rounded(_residuals(spark, sf).select("unique_id", "ds", (F.col("y") - F.col("y_hat")).alias("residual"), "abs_err"))
-
-
-@query("panel", """WITH b AS (SELECT well, ds, wwir AS base, CASE WHEN well = '3' AND ds >= DATE '2001-01-01' THEN 0 ELSE wwir END AS changed FROM panel WHERE type = 'INJ')
-  SELECT well, round(sum(changed - base), 6) + 0 AS diff, round(CASE WHEN abs(sum(base)) <= 0.01 THEN 0 ELSE 100 * sum(changed - base) / sum(base) END, 6) + 0 AS pct FROM b WHERE ds >= DATE '2001-01-01' GROUP BY well""", dated=False)
-def scenario_compare(spark, sf):
-    start = F.to_date(F.lit("2001-01-01"))
-    rows = t.panel(spark, sf).where(F.col("type") == "INJ").where(F.col("ds") >= start)
-    changed = F.when(F.col("well") == "3", 0.0).otherwise(F.col("wwir"))
-    diff, base = F.sum(changed - F.col("wwir")), F.sum("wwir")
-    return rounded(rows.groupBy("well").agg(diff.alias("diff"), F.when(F.abs(base) <= 0.01, 0.0).otherwise(100 * diff / base).alias("pct")))

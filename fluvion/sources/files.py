@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 from typing import Any
@@ -86,10 +87,100 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def metrics_json(df: DataFrame) -> str:
-    """A few rows of metrics as indented JSON; what isn't finite is null."""
-    clean = lambda v: None if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))) else v
-    return json.dumps([{k: clean(v) for k, v in r.asDict(True).items()} for r in df.collect()], indent=2, default=str)
+def _plain(v: Any) -> Any:
+    return None if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))) else v
+
+
+def metrics_json(df: DataFrame, most: int = 10_000) -> str:
+    """Rows of metrics as indented JSON; what isn't finite is null. A report is small: more than
+    ``most`` rows raise, since they would all come to the driver."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows; write it with write_json")
+    return json.dumps([{k: _plain(v) for k, v in r.asDict(True).items()} for r in rows], indent=2, default=str)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows of any number as JSON lines, written by the executors."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_document(spark: SparkSession, tree: dict[str, Any], path: str) -> None:
+    """One JSON document (settings, counts, spans of a run) as a text file of Spark's file
+    system, keys in order."""
+    text = json.dumps(tree, indent=2, sort_keys=True, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def run_metadata(settings: dict[str, Any], train: DataFrame, test: DataFrame, key: str, time: str) -> dict[str, Any]:
+    """What a run's document says of its data: keys, spans and rows of both parts."""
+    part = lambda df: df.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("keys"), F.min(time).cast("string").alias("first"), F.max(time).cast("string").alias("last")).first().asDict()
+    return {"settings": settings, "train": part(train), "test": part(test)}
+
+
+def quality_document(report: DataFrame, issues: Sequence[str] = ("negative", "repeated", "gaps", "non_monotonic", "mostly_null", "outliers")) -> dict[str, Any]:
+    """A quality report (check, column, value) as one document, with the checks that found
+    something listed as issues."""
+    rows = [(r["check"], r["column"], r["value"]) for r in report.collect()]
+    tree: dict[str, Any] = {}
+    for check, column, value in sorted(rows):
+        tree.setdefault(check, {})[column or "all"] = value
+    found = [f"{c} {col}".strip() for c, col, v in sorted(rows) if c in issues and v]
+    return {"checks": tree, "issues": found, "passed": not found}
+
+
+def discovered(spark: SparkSession, root: str, extensions: Sequence[str] = ("pdf", "docx", "html", "md", "txt")) -> DataFrame:
+    """path, name, extension, size of all files below ``root`` with one of the extensions, in
+    whatever case; their contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
+    name = F.element_at(F.split("path", "/"), -1)
+    extension = F.lower(F.element_at(F.split(name, r"\."), -1))
+    return found.select("path", name.alias("name"), extension.alias("extension"), "size").where(F.col("extension").isin(*extensions))
+
+
+def converted(documents: DataFrame, done: DataFrame | None, convert, key: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(documents converted by ``convert``, a report of key and status). Those in ``done`` (key)
+    are skipped; a conversion that gives null has failed."""
+    todo = documents if done is None else documents.join(done.select(key).distinct(), key, "left_anti")
+    made = convert(todo)
+    status = F.when(F.col("markdown").isNull(), "failed").otherwise("ok").alias("status")
+    report = made.select(key, status)
+    if done is not None:
+        report = report.unionByName(documents.join(done.select(key).distinct(), key, "left_semi").select(key, F.lit("skipped").alias("status")))
+    return made.where("markdown is not null"), report
+
+
+class Cache:
+    """Tables below a folder of Spark's file system, by name and by the settings they were made
+    with. A table is there once it is written whole."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def path(self, name: str, **settings: Any) -> str:
+        key = hashlib.md5(json.dumps(settings, sort_keys=True, default=str).encode(), usedforsecurity=False).hexdigest()
+        return f"{self.root}/{name}-{key}"
+
+    def _file(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def get(self, name: str, **settings: Any) -> DataFrame | None:
+        at, system = self._file(self.path(name, **settings) + "/_SUCCESS")
+        return self.spark.read.parquet(self.path(name, **settings)) if system.exists(at) else None
+
+    def put(self, df: DataFrame, name: str, **settings: Any) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(name, **settings))
+        return self.spark.read.parquet(self.path(name, **settings))
+
+    def made(self, make, name: str, **settings: Any) -> DataFrame:
+        """What is there, or what ``make()`` gives, written first."""
+        found = self.get(name, **settings)
+        return self.put(make(), name, **settings) if found is None else found
+
+    def clear(self) -> None:
+        at, system = self._file(self.root)
+        system.delete(at, True)
 
 
 def flattened(tree: dict[str, Any], prefix: str = "") -> dict[str, Any]:

@@ -45,3 +45,59 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
     assert json.loads(files.metrics_json(df.drop("params"))) == [{"k": "a", "v": None}]
     assert files.flattened({"a": {"b": 1, "c": [1, 2]}, "d": 2}) == {"a.b": 1, "a.c": "[1, 2]", "d": 2}
+
+
+def test_reports_of_any_size(spark, tmp_path):
+    with pytest.raises(ValueError):
+        files.metrics_json(spark.range(5), most=4)
+    files.write_json(spark.range(5), str(tmp_path / "rows"))
+    assert spark.read.json(str(tmp_path / "rows")).count() == 5
+    train = spark.createDataFrame([("a", dt.date(2020, 1, 1)), ("b", dt.date(2020, 2, 1))], "well string, ds date")
+    tree = files.run_metadata({"horizon": 6}, train, train.where("well = 'a'"), "well", "ds")
+    assert tree["train"] == {"rows": 2, "keys": 2, "first": "2020-01-01", "last": "2020-02-01"}
+    files.write_document(spark, tree, str(tmp_path / "meta"))
+    assert json.loads("\n".join(r["value"] for r in spark.read.text(str(tmp_path / "meta")).collect())) == tree
+    report = spark.createDataFrame([("rows", "", 4.0), ("negative", "v", 1.0), ("gaps", "well", 0.0)], "check string, column string, value double")
+    assert files.quality_document(report) == {"checks": {"rows": {"all": 4.0}, "negative": {"v": 1.0}, "gaps": {"well": 0.0}}, "issues": ["negative v"], "passed": False}
+
+
+def test_documents_are_found_converted_and_skipped(spark, tmp_path):
+    (tmp_path / "docs" / "deep").mkdir(parents=True)
+    for name in ("a.HTML", "deep/b.html", "deep/c.bin"):
+        write(tmp_path / "docs" / name, "<p>x</p>")
+    found = files.discovered(spark, str(tmp_path / "docs"))
+    assert sorted((r["name"], r["extension"], r["size"]) for r in found.collect()) == [("a.HTML", "html", 8), ("b.html", "html", 8)]
+    docs = spark.createDataFrame([("1", "x"), ("2", None), ("3", "y")], "path string, markdown string")
+    made, report = files.converted(docs, docs.where("path = '3'"), lambda d: d)
+    assert {r["path"]: r["status"] for r in report.collect()} == {"1": "ok", "2": "failed", "3": "skipped"} and made.count() == 1
+
+
+def test_cache(spark, tmp_path):
+    cache = files.Cache(spark, str(tmp_path / "cache"))
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert cache.made(make, "rows", a=1, b="x").count() == 3
+    assert len(made) == 1 and cache.get("rows", a=2) is None
+    cache.clear()
+    assert cache.get("rows", a=1, b="x") is None
+
+
+def test_validation_raises(spark):
+    from fluvion.operators import quality
+
+    df = spark.createDataFrame([("a", "PROD", 1.0), (None, "WELL", -1.0)], "well string, type string, wlpr double")
+    with pytest.raises(quality.ValidationError) as caught:
+        quality.require_valid(df, ["well", "ds"], ["PROD"], nonnegative=["wlpr"])
+    assert {(c, n) for c, n, _ in caught.value.failures} == {("null", "well"), ("missing", "ds"), ("domain", "type"), ("negative", "wlpr")}
+    good = df.where("well = 'a'")
+    assert quality.require_valid(good, ["well"], ["PROD"], nonnegative=["wlpr"]) is good
+    places = spark.createDataFrame([("a", 1.0, None, 1.0), ("b", 1.0, 1.0, 1.0)], "well string, x double, y double, z double")
+    assert quality.require_places(places, "well") is places
+    for bad in (places.drop("z"), places.unionByName(places)):
+        with pytest.raises(quality.ValidationError):
+            quality.require_places(bad, "well")

@@ -157,14 +157,6 @@ def test_metrics(spark):
     assert metrics.evaluate(df.where("false")).first()["mae"] is None
 
 
-def test_conformal_quantiles(spark):
-    errors = [(1, float(k)) for k in range(1, 21)]
-    df = spark.createDataFrame(errors, "h int, abs_err double")
-    assert metrics.finite_sample_quantile(df, 0.1, ["h"]).first()["eps"] == 19.0
-    weighted = metrics.conformal_weights(df, ["abs_err"], "icp", by=["h"])
-    assert metrics.weighted_quantile(weighted, 0.9, ["h"]).first()["eps"] == 18.0
-
-
 def test_edges_within_equals_all_pairs(spark):
     r = np.random.default_rng(3)
     p = r.uniform(-50, 50, (60, 2))
