@@ -68,24 +68,28 @@ def read_in_order(near: DataFrame, vectors: DataFrame, asked: DataFrame, k: int)
     by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"))
     kth = near.withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("lower").alias("least"), F.count("*").alias("n"))
     wanted = near.join(kth, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("least"))).select("query_id", "id", "upper")
-    unread = scratch.keep(wanted.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "id"))), "topk-order")
+    unread = scratch.keep(wanted, "topk-unread")
     score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
+    by_upper = Window.partitionBy("query_id").orderBy(F.desc("upper"), "id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best, done, width, reads = None, 0, FIRST_READS * k, 0
+    best, width, reads = None, FIRST_READS * k, 0
     while True:
-        # Of each query what stands next, if its bound can still beat the k-th best.
-        part = unread.where(F.col("place") <= done + width)
-        pairs = part.join(vectors.select("id", "v"), "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        # Of each query what stands next. Each task keeps as many before they meet, so that
+        # no task orders all candidates of a query.
+        ahead = unread.withColumn("n", F.row_number().over(by_upper)).where(F.col("n") <= width).select("query_id", "id")
+        ahead = scratch.keep(ahead, "topk-next")
+        pairs = ahead.join(vectors.select("id", "v"), "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
         scores = scratch.keep(pairs.select("query_id", F.col("id").alias("vec_id"), score.alias("score")), "topk-scores")
         reads += scores.count()
         found = scores if best is None else best.select("query_id", "vec_id", "score").unionByName(scores)
         best = scratch.keep(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "topk-best")
         last = best.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
-        unread = unread.where(F.col("place") > done + width).join(last, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).drop("kth", "n")
-        unread = scratch.keep(unread, "topk-order")
+        # Only what can still beat a query's k-th best stays.
+        unread = unread.join(last, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).drop("kth", "n").join(ahead, ["query_id", "id"], "left_anti")
+        unread = scratch.keep(unread, "topk-unread")
         if unread.isEmpty():
             return best, reads
-        done, width = done + width, 2 * width
+        width *= 2
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
