@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Written, so that the join's sides are plain shuffles and a hub's links can be split.
+        large = both.join(scratch.keep(_least(both), "least"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(_least(large), "u")
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = scratch.keep(hung, "links")
