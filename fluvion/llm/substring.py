@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from fluvion.llm.arrays import U64, Words, buffers, runs, slices, whole
 from fluvion.llm.scratch import map_batches, trim
 
-#: Bytes of text in a chunk, and bytes of text whose probes one owner sees.
-CHUNK_BYTES, OWNER_BYTES = 4 << 20, 48 << 20
+#: Bytes of text in a chunk, and bytes of text whose probes one owner sees: these grow with the root of
+#: the input from OWNER_GROWS bytes on, up to OWNER_MOST times, so that messages don't get too short.
+CHUNK_BYTES, OWNER_BYTES = 4 << 20, 16 << 20
+OWNER_GROWS, OWNER_MOST = 10 << 30, 8
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The fewest bits of a probe, and the most: their number follows the input, so that the share
 #: of windows that a chance meeting makes look at stays below one in CHANCE.
@@ -307,7 +309,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
         raise ValueError("a window has two words at least")
     rows = df.drop(*counts)
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    chunks, owners, bits = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // OWNER_BYTES)), probe_bits(total, length)
+    chunks, owners, bits = max(1, -(-total // CHUNK_BYTES)), max(1, round(total / (OWNER_BYTES * min(max(math.sqrt(total / OWNER_GROWS), 1), OWNER_MOST)))), probe_bits(total, length)
     names, named = list(rows.columns), rows.where(F.col(id_col).isNotNull())
     # The text is dealt by as well, so that one id on very many rows fills no chunk.
     dealt = named.withColumn("__chunk", F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)))
