@@ -139,10 +139,26 @@ def walk_forward_cv(spark, sf):
     return forecasting.walk_forward_persistence(t.producers(spark, sf), "well", "ds", "wlpr", 6, 6, 3)
 
 
+def _past(spark, sf) -> DataFrame:
+    return t.producers(spark, sf).where(F.col("ds") <= _cut()).select(F.col("well").alias("unique_id"), "ds", F.col("wlpr").alias("y"))
+
+
+_AHEAD = f"""past AS (SELECT well, ds, wlpr AS y, row_number() OVER (PARTITION BY well ORDER BY ds) AS k, count(*) OVER (PARTITION BY well) AS n FROM prod WHERE ds <= {_CUT}), ends AS (SELECT well, max(n) AS n, max(ds) AS ds, arg_max(y, ds) AS z, arg_min(y, ds) AS a FROM past GROUP BY well), ahead AS (SELECT * FROM ends, generate_series(1, 6) AS g(h))"""
+
+
+@query("prod", f"WITH {_AHEAD} SELECT well AS unique_id, CAST(ds + to_months(CAST(h AS INTEGER)) AS DATE) AS ds, 'drift' AS model, round(z + CASE WHEN n > 1 THEN (z - a) / (n - 1) * h ELSE 0 END, 6) AS y_hat, CAST(h AS INTEGER) AS h_step FROM ahead")
+def forecast_drift(spark, sf):
+    return rounded(forecasting.forecast(_past(spark, sf), "drift", 6))
+
+
+@query("prod", f"WITH {_AHEAD} SELECT a.well AS unique_id, CAST(a.ds + to_months(CAST(h AS INTEGER)) AS DATE) AS ds, 'seasonal' AS model, round(CASE WHEN a.n < 12 THEN z ELSE p.y END, 6) AS y_hat, CAST(h AS INTEGER) AS h_step FROM ahead a LEFT JOIN past p ON p.well = a.well AND p.k = a.n - 12 + h")
+def forecast_seasonal(spark, sf):
+    return rounded(forecasting.forecast(_past(spark, sf), "seasonal", 6))
+
+
 @query()
-def forecast_baselines(spark, sf):
-    train = t.producers(spark, sf).where(F.col("ds") <= _cut()).select(F.col("well").alias("unique_id"), "ds", F.col("wlpr").alias("y"))
-    return forecasting.forecast(train, "ridge", 6).unionByName(forecasting.forecast(train, "seasonal", 6)).unionByName(forecasting.forecast(train, "drift", 6))
+def forecast_ridge(spark, sf):
+    return forecasting.forecast(_past(spark, sf), "ridge", 6)
 
 
 @query("forecast", """WITH l AS (SELECT *, lag(y_hat) OVER w AS p, lead(y_hat) OVER w AS n FROM forecast WINDOW w AS (PARTITION BY unique_id ORDER BY ds))
