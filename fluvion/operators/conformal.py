@@ -33,9 +33,9 @@ def method_of(name: str | None) -> str:
     return METHODS.get((name or "").strip().lower(), "wcp_exp")
 
 
-def smallest_reaching(df: DataFrame, by: Sequence[str], value: str, weight: Column, target: Callable[[Column], Column]) -> DataFrame:
-    """by, eps: the least value at which the weights up to it reach ``target`` of their sum;
-    the largest value where rounding keeps them from that."""
+def smallest_reaching(df: DataFrame, by: Sequence[str], value: str, weight: Column, *targets: Callable[[Column], Column]) -> DataFrame:
+    """by, target (its place), eps: the least value at which the weights up to it reach each
+    target of their sum; the largest value where rounding keeps them from that."""
     keys = list(by) or ["__all"]
     rows = df if by else df.withColumn("__all", F.lit(0))
     one = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.sum(weight).alias("__w"))
@@ -45,12 +45,26 @@ def smallest_reaching(df: DataFrame, by: Sequence[str], value: str, weight: Colu
     # At most PARTS rows in a window from here on.
     upto = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__part"))
     last = F.max("__part").over(Window.partitionBy(*keys))
-    found = sums.withColumn("__upto", upto).withColumn("__last", last).where((F.col("__upto") >= target(F.col("__total"))) | (F.col("__part") == F.col("__last")))
-    found = found.groupBy(*keys).agg(F.min(F.struct("__part", (F.col("__upto") - F.col("__sum")).alias("__before"))).alias("__f")).select(*keys, "__f.*")
+    wanted = F.posexplode(F.array(*(t(F.col("__total")).cast("double") for t in targets))).alias("target", "__t")
+    found = sums.withColumns({"__upto": upto, "__last": last}).select("*", wanted).where((F.col("__upto") >= F.col("__t")) | (F.col("__part") == F.col("__last")))
+    found = found.groupBy(*keys, "target", "__t").agg(F.min(F.struct("__part", (F.col("__upto") - F.col("__sum")).alias("__before"))).alias("__f")).select(*keys, "target", "__t", "__f.*")
     inside = dealt.join(found, [*keys, "__part"])
-    within = F.col("__before") + F.sum("__w").over(Window.partitionBy(*keys).orderBy("__v"))
-    reached = inside.withColumn("__r", within).groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("__r") >= target(F.col("__total")), F.col("__v"))), F.max("__v")).alias("eps"))
-    return reached.select(*by, "eps")
+    within = F.col("__before") + F.sum("__w").over(Window.partitionBy(*keys, "target").orderBy("__v"))
+    reached = inside.withColumn("__r", within).groupBy(*keys, "target").agg(F.coalesce(F.min(F.when(F.col("__r") >= F.col("__t"), F.col("__v"))), F.max("__v")).alias("eps"))
+    return reached.select(*by, "target", "eps")
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """One row, q0, q1...: exact quantiles of a column, each between the two values around it by
+    their distance; nulls without values. No value is held more than once, nor all of them by
+    one task."""
+    at = lambda share, n: F.floor(share * (n - 1))
+    targets = [f for s in shares for f in (lambda n, s=s: at(s, n) + 1, lambda n, s=s: F.least(at(s, n) + 2, n))]
+    found = smallest_reaching(df, (), value, F.lit(1), *targets)
+    wide = found.agg(*(F.max(F.when(F.col("target") == k, F.col("eps"))).alias(f"__{k}") for k in range(len(targets))))
+    made = df.agg(F.count(value).alias("__n")).crossJoin(F.broadcast(wide))
+    part = lambda s: s * (F.col("__n") - 1) - at(s, F.col("__n"))
+    return made.select(*((F.col(f"__{2 * k}") + part(s) * (F.col(f"__{2 * k + 1}") - F.col(f"__{2 * k}"))).alias(f"q{k}") for k, s in enumerate(shares)))
 
 
 def positions(df: DataFrame, by: Sequence[str], time: str, tie: str, name: str = "position") -> DataFrame:
@@ -72,10 +86,10 @@ def epsilon(df: DataFrame, method: str, alpha: float = 0.1, decay: float = 0.97,
     level = 1 - alpha
     if method == "icp":
         rank = lambda n: F.least(F.greatest(F.ceil(F.least(F.lit(1.0), F.ceil((n + 1) * level) / n) * n), F.lit(1)), n)
-        return smallest_reaching(df, by, value, F.lit(1), rank)
+        return smallest_reaching(df, by, value, F.lit(1), rank).drop("target")
     placed = positions(df.where(F.col(value).isNotNull()), by, time, tie)
     weight = F.col("position").cast("double") if method == "wcp_linear" else F.pow(F.lit(float(decay)), F.col("__total") - F.col("position"))
-    return smallest_reaching(placed, by, value, weight, lambda total: (level - 1e-12) * total)
+    return smallest_reaching(placed, by, value, weight, lambda total: (level - 1e-12) * total).drop("target")
 
 
 def profile(df: DataFrame, horizon: int, method: str = "wcp_exp", alpha: float = 0.1, decay: float = 0.97, per_horizon: bool = True, least: int = 30, step: str = "h_step", **names: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvion.operators import statistics
+from fluvion.operators.conformal import quantiles
 from fluvion.sources.lineage import cut
 
 
@@ -107,7 +108,7 @@ def clustering(wells: DataFrame, edges: DataFrame) -> DataFrame:
 def sparsify(edges: DataFrame, clusters: DataFrame, quantile: float) -> DataFrame:
     """Drop edges between clusters whose weight is below the quantile of all weights."""
     e = edges.where("d > 0").withColumn("w", 1 / F.col("d"))
-    cut = e.agg(F.percentile("w", quantile).alias("cut"))
+    cut = quantiles(e, "w", (quantile,)).withColumnRenamed("q0", "cut")
     side = lambda end: clusters.select(F.col("well").alias(end), F.col("cluster").alias(f"c_{end}"))
     joined = e.join(side("src"), "src", "left").join(side("dst"), "dst", "left").crossJoin(F.broadcast(cut))
     weak = F.coalesce((F.col("c_src") != F.col("c_dst")) & (F.col("w") < F.col("cut")), F.lit(False))

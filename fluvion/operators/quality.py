@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.operators.conformal import quantiles
+
 
 def _long(row: DataFrame, names: Sequence[tuple[str, str, str]]) -> DataFrame:
     """One wide row as rows (check, column, value)."""
@@ -33,11 +35,12 @@ def quality_report(df: DataFrame, key: str, time: str, rates: Sequence[str], gap
     """check, column, value: rows, keys, repeated keys, days covered, nulls, negatives and
     values beyond three times the interquartile range, and keys with gaps."""
     n = lambda e: F.sum(F.coalesce(e, F.lit(False)).cast("int"))
-    quartiles = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in rates))
-    wide = df.crossJoin(F.broadcast(quartiles))
+    wide = df
+    for c in rates:  # one row each
+        wide = wide.crossJoin(F.broadcast(quantiles(df, c, (0.25, 0.75)).select(F.col("q0").alias(f"a_{c}"), F.col("q1").alias(f"b_{c}"))))
     aggs, names = [F.count("*").alias("rows"), F.countDistinct(key).alias("keys"), F.datediff(F.max(time), F.min(time)).alias("days")], [("rows", "", "rows"), ("keys", key, "keys"), ("days", time, "days")]
     for c in rates:
-        low, high = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
+        low, high = F.col(f"a_{c}"), F.col(f"b_{c}")
         aggs += [n(F.col(c).isNull()).alias(f"nulls_{c}"), n(F.col(c) < 0).alias(f"neg_{c}"), n((F.col(c) < low - 3 * (high - low)) | (F.col(c) > high + 3 * (high - low))).alias(f"out_{c}")]
         names += [("nulls", c, f"nulls_{c}"), ("negative", c, f"neg_{c}"), ("outliers", c, f"out_{c}")]
     steps = df.withColumn("gap", F.datediff(time, F.lag(time).over(Window.partitionBy(key).orderBy(time))))
