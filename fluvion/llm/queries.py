@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvion.llm import bpe, langid, minhash, packing, quality, secrets, sql, substring, topk, toxicity, vectorjoin
+from fluvion.llm import bpe, counts, langid, middle, minhash, packing, quality, resample, secrets, sql, substring, topk, toxicity, vectorjoin
 from fluvion.llm.samples import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,9 +70,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), net).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(table(spark, sf_dir, "documents"), seed=7, percent=100, spm_percent=50)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(), 256).alias("restored_sha256"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also limit_chars: code points of the longest prefix of at most 512 tokens."""
+    found = counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limits=(512,))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.element_at("fits", 1).alias("limit_chars"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_vectors, op3_substring, op4_minhash, op5_topk, op6_secrets, op7_packing, op8_quality, op9_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_vectors, op3_substring, op4_minhash, op5_topk, op6_secrets, op7_packing, op8_quality, op9_toxicity, op10_language, op11_middle, op12_resample, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_vectors": sql.VECTORS, "op3_substring": sql.SUBSTRING, "op4_minhash": sql.MINHASH, "op5_topk": sql.TOPK}
+    return {"op2_vectors": sql.VECTORS, "op3_substring": sql.SUBSTRING, "op4_minhash": sql.MINHASH, "op5_topk": sql.TOPK, "op11_middle": sql.MIDDLE, "op12_resample": sql.RESAMPLE}
