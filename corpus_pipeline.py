@@ -27,13 +27,14 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Texts of any length are scored whole. Extra columns of any name pass unchanged.
     """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model, keep_text=True, out_col="__quality")
-    return scored.where(F.col("__quality") >= QUALITY_LEAST).select(*docs.columns)
+    score = scratch.free_name(docs, "quality_score")
+    scored = quality.score(docs, model, keep_text=True, out_col=score)
+    return _columns(scored.where(F.col(score) >= QUALITY_LEAST), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies. Of rows
-    that repeat its id and text one stays.
+    that repeat its id and text one stays, whichever comes first if they differ in other columns.
 
     Null and empty texts are nobody's copies; rows with a null id stay as they are. An id on
     rows with several texts is one document, which stays or goes with all of them. Texts of
@@ -42,20 +43,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = minhash.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80)
     keep = found.where("kept").select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    return _columns(named.unionByName(docs.where(F.col("doc_id").isNull())), docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that a smaller document has are cut out; documents of which
-    nothing is left go. The others keep their lines and spaces but for
-    those at the two ends of a text.
+    nothing is left go. The others keep their lines and spaces, but for those at the two ends
+    of a text that lost words.
 
     Null texts stay null and empty ones empty. Rows with a null id stay whole, and nothing is
     cut because of them. Rows of one id don't cut each other. Texts of any length are read whole.
     n_chars follows the text; extra columns of any name pass unchanged.
     """
-    cut = substring.dedup(docs, layout=True, counts=("__words", "__removed"))
-    gone = (F.col("__words") > 0) & (F.col("__removed") == F.col("__words"))
+    words, removed = scratch.free_name(docs, "words_before"), scratch.free_name(docs, "words_removed")
+    cut = substring.dedup(docs, layout=True, counts=(words, removed))
+    gone = (F.col(words) > 0) & (F.col(removed) == F.col(words))
     return _counted(cut.where(~gone), docs)
 
 
@@ -65,7 +67,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts stay null. Null ids, repeated rows and ties pass through. Texts of any length
     are read whole. n_chars follows the text; extra columns of any name pass unchanged.
     """
-    clean = secrets.scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, redact=REDACTED, spans_col="__spans")
+    clean = secrets.scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, redact=REDACTED, spans_col=scratch.free_name(docs, "secret_spans"))
     return _counted(clean, docs)
 
 
@@ -84,7 +86,12 @@ def _counted(found: DataFrame, docs: DataFrame) -> DataFrame:
     kinds = dict(docs.dtypes)
     if "n_chars" in kinds:
         found = found.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
-    return found.select(*docs.columns)
+    return _columns(found, docs)
+
+
+def _columns(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """What ``docs`` has, in its order, whatever the names."""
+    return found.select(*(F.col(scratch.quoted(c)) for c in docs.columns))
 
 
 STAGES = [

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fluvion.llm.arrays import slices, strings
-from fluvion.llm.scratch import map_batches
+from fluvion.llm.scratch import map_batches, numbered
 
 #: Words that each of a worker's memos holds before it is emptied, and the longest such word.
 MEMO_WORDS, MEMO_CHARS = 400_000, 64
@@ -189,13 +189,14 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col
     Null ids give null; empty ids give no bytes; a token id outside the vocabulary fails
     the job. All columns stay; an existing ``out_col`` is replaced.
     """
-    rows = df.drop(out_col)
+    names = [c for c in df.columns if c != out_col]
+    rows, at = numbered(df, names), names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            ids = batch.column(batch.schema.names.index(ids_col)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else c.decode(np.frombuffer(x, "<u4")) for x in ids], pa.binary())], [*batch.schema.names, out_col])
+            ids = batch.column(at).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else c.decode(np.frombuffer(x, "<u4")) for x in ids], pa.binary())], [*batch.schema.names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out_col}` binary"
-    return map_batches(rows, run, schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", decoded binary"
+    return map_batches(rows, run, schema).toDF(*names, out_col)

@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 
 from fluvion.llm.arrays import slices, strings
 from fluvion.llm.bpe import MEMO_CHARS, MEMO_WORDS, byte_characters
-from fluvion.llm.scratch import map_batches
+from fluvion.llm.scratch import map_batches, numbered, quoted
 
 #: Pairs of tokens of which a worker remembers whether they may stand side by side.
 MEMO_PAIRS = 1_000_000
@@ -193,13 +193,13 @@ def count(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_c
                     out["steps"] = pa.array(kept, pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    rows = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    rows = df.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(text_col)).alias("t"))
     return map_batches(rows, run, f"i {kind}, n_bytes long, n_tokens long, fits array<long>" + ", steps binary" * steps).withColumnRenamed("i", id_col)
 
 
 def _asked(df: DataFrame, asked_col: str, out_col: str, answer) -> DataFrame:
-    rows = df.select(*(F.col(f"`{c}`") for c in df.columns if c != out_col))
-    at, of = rows.columns.index("steps"), rows.columns.index(asked_col)
+    names = [c for c in df.columns if c != out_col]
+    rows, at, of = numbered(df, names), names.index("steps"), names.index(asked_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,12 +207,9 @@ def _asked(df: DataFrame, asked_col: str, out_col: str, answer) -> DataFrame:
             for steps, n in zip(batch.column(at), batch.column(of)):
                 counts = None if not steps.is_valid or not n.is_valid else np.concatenate(([0], np.cumsum(np.frombuffer(steps.as_buffer(), "<i2"), dtype=np.int64)))
                 made.append(None if counts is None else answer(counts, n.as_py()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], [*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], [*batch.schema.names, "answer"])
 
-    def name(c: str) -> str:
-        return "`" + c.replace("`", "``") + "`"
-
-    return map_batches(rows, run, ", ".join([*(f"{name(f.name)} {f.dataType.simpleString()}" for f in rows.schema), f"{name(out_col)} long"]))
+    return map_batches(rows, run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "answer long"])).toDF(*names, out_col)
 
 
 def upto(df: DataFrame, chars_col: str, out_col: str = "tokens_upto") -> DataFrame:

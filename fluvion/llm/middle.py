@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluvion.llm.scratch import quoted
+
 #: The delimiter, the escape, and what stands for each of them behind an escape.
 MARK, ESCAPE, MARK_NAME, ESCAPE_NAME = "\x01", "\x02", "m", "e"
 #: A unit: a line with its line feed, or a last one without. The loops give nothing back, which
@@ -62,7 +64,7 @@ def transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", see
     """
     prefix_mark, suffix_mark, middle_mark = markers
     text = F.coalesce(F.col("t"), F.lit(""))
-    rows = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).select("i", text.alias("t"), *(h.alias(f"h{k}") for k, h in enumerate(hashes("i", seed), 1)))
+    rows = df.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(text_col)).cast("string").alias("t")).select("i", text.alias("t"), *(h.alias(f"h{k}") for k, h in enumerate(hashes("i", seed), 1)))
     rows = rows.withColumn("escaped", _escaped(F.col("t")))
     rows = rows.withColumn("marked", F.regexp_replace("escaped", F.lit(UNIT), F.lit("$0" + MARK)))
     rows = rows.withColumn("n", (F.octet_length("marked") - F.octet_length("escaped")).cast("long"))

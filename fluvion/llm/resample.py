@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fluvion.llm import scratch
 from fluvion.llm.arrays import LOWER, buffers, slices
-from fluvion.llm.scratch import map_batches
+from fluvion.llm.scratch import map_batches, quoted
 
 #: Bytes of words: digits, small letters (capitals are made small first), and all of other characters.
 WORD = np.zeros(256, bool)
@@ -105,7 +105,7 @@ def matrix(df: DataFrame, id_col: str, text_col: str, longest: int = 1, buckets:
                 yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([number], pa.int64()), *lists], ["task", "slice", "ids", "words", "starts", "buckets", "counts"])
                 number += 1
 
-    rows = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    rows = df.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(text_col)).cast("string").alias("t"))
     made = map_batches(rows, run, f"{_PLACE}, ids array<{kind}>, words array<long>, starts array<long>, buckets array<int>, counts array<int>")
     return scratch.keep(made, "matrix")
 
@@ -202,7 +202,7 @@ def resample(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     smoothing. A text of any length is counted whole, in some ten times its memory.
     """
     blocks = matrix(df, id_col, text_col, longest, buckets)
-    wanted = matrix(target.select(F.lit(0).alias("i"), F.col(f"`{target_text}`").alias("t")), "i", "t", longest, buckets)
+    wanted = matrix(target.select(F.lit(0).alias("i"), F.col(quoted(target_text)).alias("t")), "i", "t", longest, buckets)
     gain = gains(column_sums(blocks, buckets), column_sums(wanted, buckets))
     scored = weights(blocks, gain).withColumn("score", F.col("weight") + noise("i", seed))
     scored = scratch.keep(scored, "weights")

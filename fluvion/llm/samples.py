@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fluvion.llm import scratch
 from fluvion.llm.arrays import slices
-from fluvion.llm.scratch import map_batches, trim
+from fluvion.llm.scratch import map_batches, numbered, trim
 
 #: Bounds of what a fit reads: bytes of text in all, and of one text.
 SAMPLE_BYTES, SAMPLE_TEXT = 48 << 20, 1 << 20
@@ -63,21 +63,22 @@ def fitted(sample: DataFrame, id_col: str, fit: Callable[[pa.Table], object]) ->
 
 
 def scored(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], dict[str, pa.Array]]], columns: str, keep_text: bool = False) -> DataFrame:
-    """All columns of ``df`` (the text only with ``keep_text``), plus ``columns`` (a DDL string), which the
+    """All columns of ``df``, of any names (the text only with ``keep_text``), plus ``columns`` (a DDL string), which the
     function that ``make`` returns computes from a slice of texts."""
     names = [c.split()[0].strip("`") for c in columns.split(",")]
-    rest = [f for f in df.schema if (keep_text or f.name != text_col) and f.name not in names]
-    keeps = [f.name for f in rest]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), columns])
+    rest = [c for c in df.columns if (keep_text or c != text_col) and c not in names]
+    rows = numbered(df, rest if keep_text else [*rest, text_col])
+    text, keeps = f"c{rest.index(text_col) if keep_text else len(rest)}", rows.columns[: len(rest)]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keeps), columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for batch in batches:
-            for part in slices(batch, text_col):
-                out = score(part.column(text_col))
+            for part in slices(batch, text):
+                out = score(part.column(text))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keeps), *(out[n] for n in names)], [*keeps, *names])
 
-    return map_batches(df.select(*keeps, *([] if keep_text else [text_col])), run, schema)
+    return map_batches(rows, run, schema).toDF(*rest, *names)
 
 
 def doubles(x: np.ndarray) -> pa.Array:

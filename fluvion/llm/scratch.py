@@ -9,10 +9,11 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of a batch that Spark hands to a Python worker, where the session sets none.
 BATCH_BYTES = 4 << 20
@@ -30,19 +31,24 @@ def root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """Where this application's tables go; other applications may share the root."""
+    return f"{root(spark)}/fluvion/{spark.sparkContext.applicationId}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return what reads it: lineage ends here, and a lost
     executor costs a reread instead of a recomputation."""
     spark = df.sparkSession
-    path = f"{root(spark)}/fluvion/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_all(spark: SparkSession) -> None:
-    """Delete every intermediate table below the shared folder. Results that still
+    """Delete this application's intermediate tables. Results that still
     read one fail afterwards, so call it once these are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/fluvion")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -65,6 +71,25 @@ def configure(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL and select take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns ``names`` as c0, c1...: what an operator adds to them clashes with no name."""
+    return df.select(*(F.col(quoted(c)) for c in names)).toDF(*(f"c{k}" for k in range(len(names))))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it none of the table's columns,
+    in capitals or not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow in batches of bounded bytes (see configure), whatever the rows' lengths."""
     configure(df.sparkSession)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluvion.llm.arrays import buffers, slices, strings
-from fluvion.llm.scratch import map_batches
+from fluvion.llm.scratch import map_batches, numbered
 
 #: The kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -136,16 +136,17 @@ def scan(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
     through: one row out for each row in. A column called ``spans_col`` is replaced. An empty
     table gives an empty result. A text of any length is read whole.
     """
-    rest = [f for f in df.schema if f.name not in (text_col, spans_col)]
-    keeps = [*(f.name for f in rest)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *([f"`{text_col}` string"] if redact is not None else []), f"`{spans_col}` array<struct<kind:string,start:int,end:int>>"])
+    rest = [c for c in df.columns if c not in (text_col, spans_col)]
+    rows = numbered(df, [*rest, text_col])
+    *keeps, text_name = rows.columns
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keeps), *([f"{text_name} string"] if redact is not None else []), "spans array<struct<kind:string,start:int,end:int>>"])
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _vocabulary(path, pattern)
         for batch in batches:
-            for part in slices(batch, text_col):
-                column = part.column(text_col)
+            for part in slices(batch, text_name):
+                column = part.column(text_name)
                 data, offsets = buffers(column)
                 hexes, keys = _with_run(data, offsets, _HEX, HEX_CHARS), _with_run(data, offsets, _KEY, RANDOM_CHARS)
                 texts, spans = strings(column).to_pylist(), []
@@ -161,9 +162,9 @@ def scan(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
                     here = column.is_valid().to_pylist()
                     out.append(pa.array([redacted(t, s, redact) if h else None for t, s, h in zip(texts, spans, here)], pa.string()))
                 out.append(pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in s] for s in spans], pa.list_(span)))
-                yield pa.RecordBatch.from_arrays(out, [*keeps, *([text_col] if redact is not None else []), spans_col])
+                yield pa.RecordBatch.from_arrays(out, [*keeps, *([text_name] if redact is not None else []), "spans"])
 
-    return map_batches(df.select(*keeps, text_col), run, schema)
+    return map_batches(rows, run, schema).toDF(*rest, *([text_col] if redact is not None else []), spans_col)
 
 
 def written(spans: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluvion.llm.arrays import U64, Words, buffers, runs, slices, whole
-from fluvion.llm.scratch import map_batches, trim
+from fluvion.llm.scratch import map_batches, numbered, trim
 
 #: Bytes of text in a chunk, and bytes of text whose probes one owner sees: these grow with the root of
 #: the input from OWNER_GROWS bytes on, up to OWNER_MOST times, so that messages don't get too short.
@@ -281,7 +281,7 @@ def rewritten(table: pa.Table, text_col: str, counts: tuple[str, str], gone: np.
         if text is None:
             texts.append(None)
         elif layout:
-            texts.append(without(data, drop).strip())
+            texts.append(without(data, drop).strip() if n_removed[-1] else data)
         else:
             texts.append(b" ".join([w for w, d in zip(words, drop.tolist()) if not d] if n_removed[-1] else words))
     out = table.set_column(table.column_names.index(text_col), text_col, pa.array(texts, pa.binary()).cast(pa.string()))
@@ -295,8 +295,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     Words are runs of other than 0x20, 0x09-0x0D, unchanged. Returns all columns, the text
     replaced by the kept words joined by one space, then the ``counts`` of words before and of
     those removed (long); existing columns of these names are replaced. With ``layout`` the text keeps its own
-    spaces and lines but for those at its two ends: each run of removed words is cut out
-    with the spaces behind it.
+    spaces and lines: each run of removed words is cut out with the spaces behind it, and then
+    those at the text's two ends; a text that loses no word stays as it is. Other columns may have
+    any names.
 
     A null text has no words and stays null. Rows with a null id are neither searched nor
     searched in: they keep all words. Rows with one id are one document: they don't
@@ -307,8 +308,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     """
     if length < 2:
         raise ValueError("a window has two words at least")
-    rows = df.drop(*counts)
-    total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    wanted, found_names = [c for c in df.columns if c not in counts], counts
+    rows, counts = numbered(df, wanted), ("n_words", "n_removed")
+    id_col, text_col = (f"c{wanted.index(c)}" for c in (id_col, text_col))
+    total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks, owners, bits = max(1, -(-total // CHUNK_BYTES)), max(1, round(total / (OWNER_BYTES * min(max(math.sqrt(total / OWNER_GROWS), 1), OWNER_MOST)))), probe_bits(total, length)
     names, named = list(rows.columns), rows.where(F.col(id_col).isNotNull())
     # The text is dealt by as well, so that one id on very many rows fills no chunk.
@@ -349,4 +352,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     found = windows.groupBy("owner").applyInArrow(answer_windows, "chunk long, prints binary, seconds binary")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", `{c}` long" for c in counts)
     searched = by_chunk().cogroup(found.groupBy("chunk")).applyInArrow(third_pass, schema)
-    return searched.unionByName(map_batches(rows.where(F.col(id_col).isNull()), unsearched, schema))
+    return searched.unionByName(map_batches(rows.where(F.col(id_col).isNull()), unsearched, schema)).toDF(*wanted, *found_names)

@@ -26,6 +26,7 @@ from fluvion.llm.scratch import map_batches
 #: Vectors and queries in a block of the grid.
 VECTOR_ROWS, QUERY_ROWS = 8192, 1024
 CELLS = 256
+LONG_MOST = (1 << 63) - 1
 #: Vectors that the first round reads for each of the k that are asked for.
 FIRST_READS = 2
 
@@ -69,9 +70,11 @@ def read_in_order(near: DataFrame, vectors: DataFrame, asked: DataFrame, k: int)
     kth = near.withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("lower").alias("least"), F.count("*").alias("n"))
     wanted = near.join(kth, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("least"))).select("query_id", "id", "upper")
     unread = scratch.keep(wanted, "topk-unread")
-    score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
+    score = F.aggregate(F.zip_with("v", "q", F.try_multiply), F.lit(0).cast("long"), F.try_add)
+    # Null while a score is a long; scores beyond are the end of the longs, in the order of doubles.
+    rough = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
     by_upper = Window.partitionBy("query_id").orderBy(F.desc("upper"), "id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     best, width, reads = None, FIRST_READS * k, 0
     while True:
         # Of each query what stands next. Each task keeps as many before they meet, so that
@@ -79,13 +82,16 @@ def read_in_order(near: DataFrame, vectors: DataFrame, asked: DataFrame, k: int)
         ahead = unread.withColumn("n", F.row_number().over(by_upper)).where(F.col("n") <= width).select("query_id", "id")
         ahead = scratch.keep(ahead, "topk-next")
         pairs = ahead.join(vectors.select("id", "v"), "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        scores = scratch.keep(pairs.select("query_id", F.col("id").alias("vec_id"), score.alias("score")), "topk-scores")
+        exact = pairs.select("query_id", F.col("id").alias("vec_id"), score.alias("score"), "v", "q")
+        beyond = exact.withColumn("beyond", F.when(F.col("score").isNull(), rough))
+        held = F.coalesce("score", F.when(F.col("beyond") > 0, F.lit(LONG_MOST)).otherwise(F.lit(-LONG_MOST - 1)))
+        scores = scratch.keep(beyond.select("query_id", "vec_id", held.alias("score"), "beyond"), "topk-scores")
         reads += scores.count()
-        found = scores if best is None else best.select("query_id", "vec_id", "score").unionByName(scores)
+        found = scores if best is None else best.select("query_id", "vec_id", "score", "beyond").unionByName(scores)
         best = scratch.keep(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "topk-best")
         last = best.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
         # Only what can still beat a query's k-th best stays.
-        unread = unread.join(last, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth"))).drop("kth", "n").join(ahead, ["query_id", "id"], "left_anti")
+        unread = unread.join(last, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("kth").cast("double"))).drop("kth", "n").join(ahead, ["query_id", "id"], "left_anti")
         unread = scratch.keep(unread, "topk-unread")
         if unread.isEmpty():
             return best, reads
@@ -101,7 +107,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
     hold null or non-finite components take no part, on either side, nor do null ids.
     Vectors meet only those of their own length. A row that is repeated counts once, a
     query that is repeated is answered once. An empty table gives an empty result.
-    Components must stay below 2**24 in size for exact scores.
+    Scores are exact while their sums are longs, as they are for components below 2**24 in size; a
+    score beyond is given as the nearest long, and such scores come in the order of their
+    doubles. A scaled component beyond the longs counts as the nearest.
     """
     rows = lambda t: t.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(finite(F.col("v")) & F.col("id").isNotNull()).select("id", whole_numbers(F.col("v"), scale).alias("v")).withColumn("size", F.size("v"))
     # Of equal vectors only the k + 1 smallest ids can be among anyone's k best.
