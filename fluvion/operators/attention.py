@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvion.operators import features
+from fluvion.operators.panel import upto
 from fluvion.operators.statistics import positive_elastic_net
 
 
@@ -45,7 +46,7 @@ def regimes(series: DataFrame, key: str, time: str, value: str, cutoff, change:
     above the training changes' 80th percentile and one for those at or below the 20th, which
     wins. Regimes of training rows are numbered from 0 without gaps; a row of any other takes
     the most frequent one's number, the smallest of equals. Fewer than five training rows: 0."""
-    stepped = _stepped(series, key, time, value, change).withColumn("__train", F.col(time) <= cutoff)
+    stepped = _stepped(series, key, time, value, change).withColumn("__train", upto(time, cutoff, key))
     train = stepped.where("__train")
     q = train.groupBy(key).agg(F.count(value).alias("__n"), F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("__q"), F.percentile("__d", F.array(F.lit(0.2), F.lit(0.8))).alias("__e"))
     third = F.when(F.col(value) < F.col("__q")[0], 0).when(F.col(value) < F.col("__q")[1], 1).otherwise(2)
@@ -79,7 +80,7 @@ def stage_mix(series: DataFrame, key: str, time: str, value: str, cutoff, base:
     the regime part: the stage's, shifted by the size of the change, times the base, smoothed
     over time. Fewer than five training rows: stage 0 and the base itself."""
     stepped = _stepped(series, key, time, value, change)
-    q = stepped.where(F.col(time) <= cutoff).groupBy(key).agg(F.count(value).alias("__n"), F.percentile(value, F.array(F.lit(0.33), F.lit(0.66))).alias("__q"), F.percentile(F.abs("__d"), 0.9).alias("__s"))
+    q = stepped.where(upto(time, cutoff, key)).groupBy(key).agg(F.count(value).alias("__n"), F.percentile(value, F.array(F.lit(0.33), F.lit(0.66))).alias("__q"), F.percentile(F.abs("__d"), 0.9).alias("__s"))
     j = stepped.join(q, key, "left").withColumn("__few", F.coalesce(F.col("__n"), F.lit(0)) < 5)
     stage = F.when(F.col("__few"), 0).when(F.col(value) < F.col("__q")[0], 0).when(F.col(value) < F.col("__q")[1], 1).otherwise(2)
     j = j.withColumn("stage_id", F.coalesce(stage, F.lit(0)))
@@ -96,7 +97,7 @@ def regime_weights(rows: DataFrame, shrink: float = 0.2, cutoff=None, blocks: tu
     injectors' columns, as shares, blended with the prior. The ``blocks`` of columns are stacked
     under each other, each against the same y. rows: prod_id, ds, regime_id, inj_id, y, prior
     and the blocks; a group is one producer's rows of a regime."""
-    train = rows if cutoff is None else rows.where(F.col("ds") <= cutoff)
+    train = rows if cutoff is None else rows.where(upto("ds", cutoff, "prod_id"))
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         wide = [frame.pivot_table(index="ds", columns="inj_id", values=b, aggfunc="first").fillna(0.0).sort_index() for b in blocks]
@@ -120,7 +121,7 @@ def assemble(rows: DataFrame, cutoff, anchor: float = 0.25, last: int = 3) -> Da
     to its mean over the last training rows. rows: prod_id, inj_id, ds, mix, learned,
     prior, of which the last two sum to 1 over a producer's injectors."""
     w = Window.partitionBy("prod_id", "inj_id")
-    made = rows.withColumn("alpha", F.col("mix") * F.coalesce("learned", "prior") + (1 - F.col("mix")) * F.col("prior")).withColumn("is_train", F.col("ds") <= cutoff)
+    made = rows.withColumn("alpha", F.col("mix") * F.coalesce("learned", "prior") + (1 - F.col("mix")) * F.col("prior")).withColumn("is_train", upto("ds", cutoff, "prod_id"))
     back = F.row_number().over(Window.partitionBy("prod_id", "inj_id", "is_train").orderBy(F.desc("ds")))
     made = made.withColumn("__b", back)
     held = F.avg(F.when(F.col("is_train") & (F.col("__b") <= last), F.col("alpha"))).over(w)

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.operators.panel import upto
+
 
 def _order(key: str, time: str):
     return Window.partitionBy(key).orderBy(time)
@@ -26,11 +28,12 @@ def interactions(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return df.withColumns(out)
 
 
-def fourier(df: DataFrame, time: str, count: int) -> DataFrame:
-    """Sines and cosines of the time since the first row, as a share of the whole span."""
-    span = df.agg(F.min(time).alias("__a"), F.max(time).alias("__b"))
+def fourier(df: DataFrame, time: str, count: int, by: Sequence[str] = ()) -> DataFrame:
+    """Sines and cosines of the time since the first row, as a share of the whole span, of all
+    rows or of each group of ``by``, of which there are few."""
+    span = df.groupBy(*by).agg(F.min(time).alias("__a"), F.max(time).alias("__b"))
     t = F.datediff(time, "__a") / F.greatest(F.datediff("__b", "__a"), F.lit(1))
-    wide = df.crossJoin(F.broadcast(span))
+    wide = df.join(F.broadcast(span), list(by)) if by else df.crossJoin(F.broadcast(span))
     out = {}
     for k in range(1, count + 1):
         angle = 2 * F.lit(3.141592653589793) * k * t
@@ -56,7 +59,7 @@ def spatial(df: DataFrame, places: DataFrame, key: str) -> DataFrame:
 
 def productivity_index(df: DataFrame, key: str, time: str, rate: str, pressure: str, cutoff) -> DataFrame:
     """Rate over drawdown from the 95th percentile of the key's pressures up to a date."""
-    known = F.when((F.col(time) <= cutoff) & (F.col(pressure) > 0), F.col(pressure))
+    known = F.when(upto(time, cutoff, key) & (F.col(pressure) > 0), F.col(pressure))
     ref = df.groupBy(key).agg(F.percentile(known, 0.95).alias("__ref"))
     drop = F.greatest(F.col("__ref") - F.col(pressure), F.lit(1.0))
     j = F.when(F.col("__ref").isNotNull() & F.col(pressure).isNotNull(), F.col(rate) / drop)

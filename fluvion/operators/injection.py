@@ -8,13 +8,14 @@ of the kernel candidates, a few dozen, come to the driver.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvion.operators import attention, features, pairs, statistics
+from fluvion.operators.panel import upto
 from fluvion.sources.lineage import cut
 
 PAIR = ["prod_id", "inj_id"]
@@ -119,15 +120,17 @@ def causal_evidence(rows: DataFrame, least: int = CAUSAL_ROWS) -> DataFrame:
     return pairs.causal_score(parts, CAUSAL_PARTS)
 
 
-def kernel_scores(near: DataFrame, rows: DataFrame, tried: Sequence[tuple[int, str, Mapping[str, float]]]) -> DataFrame:
+def kernel_scores(near: DataFrame, rows: DataFrame, tried: Sequence[tuple[int, str, Mapping[str, float]]], group: Callable[[str], Column] | None = None) -> DataFrame:
     """cand (place in ``tried``), score: the sum over producers of |correlation| between the
-    weighted lagged rates and the target, in one job for all candidates."""
+    weighted lagged rates and the target, in one job for all candidates. With ``group``, a
+    function of the producers' column, also group: a score for each of these."""
     values = F.array(*(F.struct(F.lit(k).alias("cand"), (pairs.kernel(name, F.col("metric_d"), **p) * F.col("direction_factor")).alias("k")) for k, (_, name, p) in enumerate(tried)))
     each = near.select(*PAIR, F.explode(values).alias("c")).select(*PAIR, "c.*")
     weights = pairs.normalised(each, ["cand", "prod_id"], "k", "cw").drop("k")
     series = rows.select(*PAIR, "ds", "y", "x").join(weights, PAIR).groupBy("cand", "prod_id", "ds").agg(F.first("y").alias("y"), F.sum(F.col("cw") * F.col("x")).alias("v"))
     r = series.groupBy("cand", "prod_id").agg(F.abs(pairs.correlation(F.col("v"), F.col("y"))).alias("r"))
-    return r.groupBy("cand").agg(F.sum(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias("score"))
+    by = [group("prod_id").alias("group")] if group else []
+    return r.groupBy(*by, "cand").agg(F.sum(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias("score"))
 
 
 def choose(tried: Sequence[tuple[int, str, Mapping[str, float]]], scores: Mapping[int, float]) -> tuple[int, float]:
@@ -146,24 +149,29 @@ class Injection:
     features: DataFrame  # well, ds and the features
     summary: DataFrame  # one row for each pair
     alpha: DataFrame | None  # weights of each pair by month
-    kernel: tuple[str, dict[str, float], float] | None
+    kernel: tuple[str, dict[str, float], float] | dict | None
 
 
 FEATURES = ("inj_wwir_lag_weighted", "inj_wwit_diff_lag_weighted", "inj_wwir_crm_weighted", "inj_wwir_lag_attn", "inj_wwit_diff_lag_attn", "inj_wwir_crm_attn", *(f"inj_top{k}_contribution" for k in (1, 2, 3)), *(f"inj_wwir_lag_{m}m" for m in FIXED_LAGS))
 
 
-def build(panel: DataFrame, places: DataFrame, cutoff, settings: Settings = Settings()) -> Injection:
+def build(panel: DataFrame, places: DataFrame, cutoff, settings: Settings = Settings(), windows: DataFrame | None = None, group: Callable[[str], Column] | None = None) -> Injection:
     """All injection features of a panel (well, ds, type, wlpr, wwir and, as the condition of
     causal tests, wthp) with places (well, x, y, z). Rows up to ``cutoff`` are for learning.
 
     Without injectors, or producers with places, the features are zeros, the summary is empty
     and there is no kernel. Injectors' missing months are 0; producers' take the last known
     rate. Tables that are read again are cut in the checkpoint folder.
+
+    ``windows``: pairs and lags that are known already (see pair_windows). Where keys carry a
+    group, as those of folds do, ``cutoff`` may be a function of the key's column (panel.upto),
+    and ``group``, another such function, lets each group choose its own kernel; ``kernel`` then is
+    a dict by group.
     """
     prod, inj = panel.where("type = 'PROD'"), panel.where("type = 'INJ'")
     dates = cut(prod.select("ds").distinct())
     place = lambda wells: places.select("well", "x", "y", "z").join(wells.select("well").distinct(), "well", "left_semi")
-    windows = cut(pair_windows(place(prod), place(inj), settings))
+    windows = cut(pair_windows(place(prod), place(inj), settings) if windows is None else windows)
     wells = prod.select("well").distinct().crossJoin(dates)
     if windows.isEmpty():
         empty = windows.select(*PAIR, F.col("d").alias("distance_m"), F.col("metric_d").alias("metric_distance_m"))
@@ -174,14 +182,19 @@ def build(panel: DataFrame, places: DataFrame, cutoff, settings: Settings = Sett
     target = cut(target)
     found = cut(pairs.best_lag(windows, target, source, cutoff, settings.overlap))
     rows = cut(lagged(found, target, source))
-    train = rows.where(F.col("ds") <= cutoff)
+    train = rows.where(upto("ds", cutoff, "prod_id"))
     evidence = cut(causal_evidence(train))
 
     tried = candidates(settings)
-    scores = {r["cand"]: r["score"] for r in kernel_scores(found, train, tried).collect()}
-    at, score = choose(tried, scores)
-    _, kernel, params = tried[at]
-    weighted = pairs.normalised(found.withColumn("__k", pairs.kernel(kernel, F.col("metric_d"), **params) * F.col("direction_factor")), "prod_id", "__k").drop("__k")
+    scores: dict[object, dict[int, float]] = {}
+    for r in kernel_scores(found, train, tried, group).collect():  # groups times candidates
+        scores.setdefault(r["group"] if group else None, {})[r["cand"]] = r["score"]
+    best = {g: choose(tried, s) for g, s in (scores or {None: {}}).items()}
+    kernels = {g: (*tried[at][1:], score) for g, (at, score) in best.items()}
+    of = lambda make: _by_group(group, {g: make(*k) for g, k in kernels.items()})
+    value = of(lambda name, params, score: pairs.kernel(name, F.col("metric_d"), **params))
+    named = {"kernel_type": of(lambda name, params, score: F.lit(name)), "kernel_params": of(lambda name, params, score: F.lit(", ".join(f"{k}={v:g}" for k, v in sorted(params.items())))), "kernel_score": of(lambda name, params, score: F.lit(float(score)))}
+    weighted = pairs.normalised(found.withColumns({"__k": value * F.col("direction_factor"), **named}), "prod_id", "__k").drop("__k")
     scored = weighted.join(evidence, PAIR, "left")
     # Without causal evidence the correlation stands in for it.
     scored = scored.withColumn("__c", F.coalesce("causal_score", F.greatest("corr", F.lit(0.0))))
@@ -205,7 +218,17 @@ def build(panel: DataFrame, places: DataFrame, cutoff, settings: Settings = Sett
     for part_ in (made, fixed, attended):
         out = out.join(part_, ["prod_id", "ds"], "left")
     out = out.fillna(0.0, list(FEATURES)).withColumnRenamed("prod_id", "well").select("well", "ds", *FEATURES)
-    return Injection(out, summary(chosen, alpha, kernel, params, score), alpha, (kernel, params, score))
+    return Injection(out, summary(chosen, alpha), alpha, kernels if group else kernels[None])
+
+
+def _by_group(group: Callable[[str], Column] | None, values: Mapping[object, Column]) -> Column:
+    """The value of each row's group."""
+    if group is None:
+        return values[None]
+    made = F.lit(None)
+    for g, v in values.items():
+        made = F.when(group("prod_id") == g, v).otherwise(made)
+    return made
 
 
 def _filtered(chosen: DataFrame, source: DataFrame) -> DataFrame:
@@ -244,7 +267,7 @@ def attention_weights(rows: DataFrame, chosen: DataFrame, panel: DataFrame, cuto
     return attention.assemble(joined, cutoff, settings.anchor).select(*PAIR, "ds", "alpha", "is_train", "regime_id", "stage_id")
 
 
-def summary(chosen: DataFrame, alpha: DataFrame, kernel: str, params: Mapping[str, float], score: float) -> DataFrame:
+def summary(chosen: DataFrame, alpha: DataFrame) -> DataFrame:
     """One row for each pair with its distances, lags, evidence and mean weights."""
     means = alpha.groupBy(*PAIR).agg(
         F.avg(F.when(F.col("is_train"), F.col("alpha"))).alias("attn_alpha_train_mean"),
@@ -253,16 +276,15 @@ def summary(chosen: DataFrame, alpha: DataFrame, kernel: str, params: Mapping[st
         F.avg("alpha").alias("__all"),
     )
     shown = chosen.join(means, PAIR, "left").withColumn("attn_alpha", F.coalesce("attn_alpha_train_mean", "__all"))
-    text = ", ".join(f"{k}={v:g}" for k, v in sorted(params.items()))
     return shown.select(
         *PAIR,
         F.col("d").alias("distance_m"),
         F.col("metric_d").alias("metric_distance_m"),
         "direction_factor",
         F.col("cosine").alias("direction_cosine"),
-        F.lit(kernel).alias("kernel_type"),
-        F.lit(text).alias("kernel_params"),
-        F.lit(float(score)).alias("kernel_score"),
+        "kernel_type",
+        "kernel_params",
+        "kernel_score",
         "weight",
         "lag",
         "tau",

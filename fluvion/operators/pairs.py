@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.operators.panel import upto
 from fluvion.sources.lineage import cut
 
 
@@ -108,7 +109,8 @@ def nearest_pairs(producers: DataFrame, injectors: DataFrame, k: int, matrix: Se
     meeting all pairs: wells meet in cells of a grid and their neighbours, and producers that
     find fewer than k injectors within a cell's width go on with cells twice as wide. Distances
     are by ``matrix`` (see metric_distance) where it is given. ``cell``: the first width; by
-    default one that holds about k injectors if they are spread evenly.
+    default one that holds about k injectors if they are spread evenly. With k = 0 all
+    injectors are meant, so all pairs are met.
 
     Injectors without a place are nobody's; the rounds are few, since widths double until they
     span the field.
@@ -117,6 +119,12 @@ def nearest_pairs(producers: DataFrame, injectors: DataFrame, k: int, matrix: Se
     axes = lambda c: {f"__m{n}": sum((F.col(v) * float(root[n, m]) for m, v in enumerate("xyz")), F.lit(0.0)) for n in range(3)}
     placed = lambda t: cut(t.where("x is not null and y is not null and z is not null").select("well", "x", "y", "z").withColumns(axes(t)))
     p, i = placed(producers), placed(injectors)
+    if k <= 0:
+        of = lambda t, name, tag: t.select(F.col("well").alias(name), *(F.col(c).alias(f"{tag}{c}") for c in "xyz"), *(F.col(f"__m{n}").alias(f"{tag}m{n}") for n in range(3)))
+        every = of(p, "prod_id", "p").crossJoin(of(i, "inj_id", "i"))
+        length = lambda names, tag="": F.sqrt(sum(((F.col(f"i{tag}{c}") - F.col(f"p{tag}{c}")) ** 2 for c in names), F.lit(0.0)))
+        every = every.withColumns({**{f"d{c}": F.col(f"i{c}") - F.col(f"p{c}") for c in "xyz"}, "d": length("xyz"), "metric_d": length(range(3), "m")})
+        return nearest(every, 0, by="metric_d").select("prod_id", "inj_id", "dx", "dy", "dz", "d", "metric_d", "rk")
     span = i.agg(F.count("*").alias("n"), *(f(F.col(f"__m{n}")).alias(f"{name}{n}") for n in (0, 1) for name, f in (("low", F.min), ("high", F.max)))).first()
     reach = p.agg(*(f(F.col(f"__m{n}")).alias(f"{name}{n}") for n in (0, 1) for name, f in (("low", F.min), ("high", F.max)))).first()
     columns = ("x", "y", "z")
@@ -185,8 +193,8 @@ def best_lag(pairs: DataFrame, target: DataFrame, source: DataFrame, cutoff, lea
     target: well, ds, y; source: well, ds, x; monthly.
     """
     lags = pairs.withColumn("lag", F.explode(F.sequence("lower_bound", "upper_bound"))).select("prod_id", "inj_id", "lag")
-    y = target.where(F.col("ds") <= cutoff).select(F.col("well").alias("prod_id"), "ds", "y")
-    x = source.where(F.col("ds") <= cutoff).select(F.col("well").alias("inj_id"), F.col("ds").alias("at"), "x")
+    y = target.where(upto("ds", cutoff, "well")).select(F.col("well").alias("prod_id"), "ds", "y")
+    x = source.where(upto("ds", cutoff, "well")).select(F.col("well").alias("inj_id"), F.col("ds").alias("at"), "x")
     rows = lags.join(y, "prod_id").withColumn("at", F.add_months("ds", -F.col("lag").cast("int"))).join(x, ["inj_id", "at"]).where("x is not null and y is not null")
     scores = rows.groupBy("prod_id", "inj_id", "lag").agg(correlation(F.col("x"), F.col("y"), ridge).alias("corr"), F.count("*").alias("overlap")).where(F.col("overlap") >= max(least, 1))
     order = Window.partitionBy("prod_id", "inj_id").orderBy(F.desc_nulls_last("corr"), "lag")

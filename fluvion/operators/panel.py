@@ -57,6 +57,13 @@ def time_index(df: DataFrame, key: str, time: str, name: str = "time_idx") -> Da
     return df.withColumn(name, F.row_number().over(_order(key, time)) - 1)
 
 
+def upto(time: str, cutoff, key: str) -> Column:
+    """Rows that may be learned from: up to a date or, where ``cutoff`` is a function, up to the
+    date that it gives for the key in the column ``key`` (folds.Folds.cutoff)."""
+    own = cutoff(key) if callable(cutoff) and not isinstance(cutoff, Column) else cutoff
+    return F.col(time) <= own
+
+
 def clip_nonnegative(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c) < 0, 0.0).otherwise(F.col(c)) for c in columns})
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.operators.panel import upto
+
 
 def _grouped(df: DataFrame, keys: list[str], columns: list[str], order: list[str], fn, schema: str) -> DataFrame:
     """``fn`` over each group's columns (sorted); it returns a dict of output columns."""
@@ -194,7 +196,7 @@ def principal_components(x: np.ndarray, fit: np.ndarray, count: int) -> np.ndarr
 def window_embedding(rows: DataFrame, key: str, time: str, window: str, cutoff, count: int = 3) -> DataFrame:
     """key, time, embedding: components of each series' windows, fitted to rows up to the
     cutoff; series with too few rows have none."""
-    marked = rows.withColumn("__fit", F.col(time) <= cutoff)
+    marked = rows.withColumn("__fit", upto(time, cutoff, key))
 
     def one(at, values, fit):
         x = np.stack(values)
@@ -277,16 +279,22 @@ def all_warped_distances(series: DataFrame, part: int = 64) -> DataFrame:
     return dealt.repartition(min(parts * (parts + 1) // 2, 1000), "i", "j").groupBy("i", "j").applyInPandas(run, "src string, dst string, dtw double")
 
 
-def warped_similarity(distances: DataFrame) -> DataFrame:
-    """exp(-d**2 / (2 s**2)) with s the median distance, at least 1e-9."""
-    s = distances.agg(F.greatest(F.percentile("dtw", 0.5), F.lit(1e-9)).alias("s"))
-    return distances.crossJoin(F.broadcast(s)).select("src", "dst", F.exp(-F.col("dtw") * F.col("dtw") / (2 * F.col("s") * F.col("s"))).alias("similarity"))
+def warped_similarity(distances: DataFrame, by: Column | None = None) -> DataFrame:
+    """exp(-d**2 / (2 s**2)) with s the median distance, at least 1e-9: of all pairs or of each
+    of few groups, by an expression over src and dst."""
+    median = F.greatest(F.percentile("dtw", 0.5), F.lit(1e-9)).alias("s")
+    if by is None:
+        scaled = distances.crossJoin(F.broadcast(distances.agg(median)))
+    else:
+        grouped = distances.withColumn("__by", by)
+        scaled = grouped.join(F.broadcast(grouped.groupBy("__by").agg(median)), "__by")
+    return scaled.select("src", "dst", F.exp(-F.col("dtw") * F.col("dtw") / (2 * F.col("s") * F.col("s"))).alias("similarity"))
 
 
 def z_scored_steps(df: DataFrame, key: str, time: str, column: str, cutoff) -> DataFrame:
     """well, s: each series' differences up to a date, as z-scores (zeros if constant)."""
     w = Window.partitionBy(key).orderBy(time)
-    steps = df.where(F.col(time) <= cutoff).withColumn("__d", F.col(column) - F.lag(column).over(w)).where("__d is not null")
+    steps = df.where(upto(time, cutoff, key)).withColumn("__d", F.col(column) - F.lag(column).over(w)).where("__d is not null")
     of = Window.partitionBy(key)
     z = F.coalesce(F.try_divide(F.col("__d") - F.avg("__d").over(of), F.stddev_pop("__d").over(of)), F.lit(0.0))
     scored = steps.withColumn("__z", z)
