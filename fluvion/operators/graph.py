@@ -92,15 +92,21 @@ def closeness(wells: DataFrame, edges: DataFrame, rounds: int | None = None) ->
 
 def clustering(wells: DataFrame, edges: DataFrame) -> DataFrame:
     """Weighted clustering coefficient: the mean over pairs of neighbours of the cube root
-    of a triangle's weights, as shares of the largest weight."""
+    of a triangle's weights, as shares of the largest weight.
+
+    Edges point from the well with fewer neighbours to the one with more, so that no well has more than
+    the root of twice the edges going out, and each triangle is met once, at its lowest well."""
     d = directed(edges)
     top = d.agg(F.max("w").alias("m"))
     d = d.crossJoin(F.broadcast(top)).select("src", "dst", (F.col("w") / F.col("m")).alias("w"))
-    a = d.select(F.col("src").alias("well"), F.col("dst").alias("u"), F.col("w").alias("a"))
-    b = d.select(F.col("src").alias("well"), F.col("dst").alias("v"), F.col("w").alias("b"))
-    c = d.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("w").alias("c"))
-    triangles = a.join(b, "well").where("u < v").join(c, ["u", "v"]).groupBy("well").agg(F.sum(F.cbrt(F.col("a") * F.col("b") * F.col("c"))).alias("t"))
     k = d.groupBy(F.col("src").alias("well")).agg(F.count("*").alias("k"))
+    place = lambda end: k.select(F.col("well").alias(end), F.struct("k", "well").alias(f"__{end}"))
+    up = cut(d.join(place("src"), "src").join(place("dst"), "dst").where("__src < __dst").select("src", "dst", "w", F.col("__dst").alias("at")))
+    side = lambda name, weight: up.select(F.col("src").alias("low"), F.col("dst").alias(name), F.col("w").alias(weight), F.col("at").alias(f"__{name}"))
+    corner = side("u", "a").join(side("v", "b"), "low").where("__u < __v")
+    met = corner.join(up.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("w").alias("c")), ["u", "v"])
+    each = met.select(F.explode(F.array("low", "u", "v")).alias("well"), F.cbrt(F.col("a") * F.col("b") * F.col("c")).alias("t"))
+    triangles = each.groupBy("well").agg(F.sum("t").alias("t"))
     value = F.try_divide(2 * F.col("t"), F.col("k") * (F.col("k") - 1))
     return wells.select("well").join(k, "well", "left").join(triangles, "well", "left").select("well", F.coalesce(value, F.lit(0.0)).alias("clustering"))
 

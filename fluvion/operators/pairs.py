@@ -11,9 +11,11 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.operators import lags
 from fluvion.operators.panel import upto
 from fluvion.sources.lineage import cut
 
@@ -190,18 +192,35 @@ def best_lag(pairs: DataFrame, target: DataFrame, source: DataFrame, cutoff, lea
     """For each pair the lag in its window with the largest signed correlation up to a
     date; of equals the smallest. Pairs without enough rows: the first lag, score 0.
 
-    target: well, ds, y; source: well, ds, x; monthly.
+    target: well, ds, y; source: well, ds, x; one row a month. A series is one array, and a pair
+    meets both of its own: no row is repeated for a lag. All lags come from one transform.
     """
-    lags = pairs.withColumn("lag", F.explode(F.sequence("lower_bound", "upper_bound"))).select("prod_id", "inj_id", "lag")
-    y = target.where(upto("ds", cutoff, "well")).select(F.col("well").alias("prod_id"), "ds", "y")
-    x = source.where(upto("ds", cutoff, "well")).select(F.col("well").alias("inj_id"), F.col("ds").alias("at"), "x")
-    rows = lags.join(y, "prod_id").withColumn("at", F.add_months("ds", -F.col("lag").cast("int"))).join(x, ["inj_id", "at"]).where("x is not null and y is not null")
-    scores = rows.groupBy("prod_id", "inj_id", "lag").agg(correlation(F.col("x"), F.col("y"), ridge).alias("corr"), F.count("*").alias("overlap")).where(F.col("overlap") >= max(least, 1))
-    order = Window.partitionBy("prod_id", "inj_id").orderBy(F.desc_nulls_last("corr"), "lag")
-    best = scores.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-    out = pairs.join(best, ["prod_id", "inj_id"], "left")
-    out = out.withColumns({"lag": F.coalesce("lag", "lower_bound"), "corr": F.coalesce("corr", F.lit(0.0)), "overlap": F.coalesce("overlap", F.lit(0))})
-    return out.withColumn("tau", F.greatest("lag", "lower_bound"))
+    month = F.year("ds") * 12 + F.month("ds")
+    series = lambda t, v, name, tag: t.where(upto("ds", cutoff, "well") & F.col(v).isNotNull()).groupBy(F.col("well").alias(name)).agg(F.collect_list(F.struct(month.cast("int").alias("m"), F.col(v).cast("double").alias("v"))).alias(tag))
+    met = pairs.join(series(target, "y", "prod_id", "__y"), "prod_id", "left").join(series(source, "x", "inj_id", "__x"), "inj_id", "left")
+
+    @F.pandas_udf("lag long, corr double, overlap long")
+    def found(y: pd.Series, x: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"lag": low.to_numpy(np.int64), "corr": 0.0, "overlap": 0})
+        parts = [[(np.array([p["m"] for p in s], int), np.array([p["v"] for p in s], float)) if s is not None else (np.zeros(0, int), np.zeros(0)) for s in side] for side in (y, x)]
+        for a in range(0, len(out), 256):  # bounds the transforms' memory
+            ys, xs = (side[a : a + 256] for side in parts)
+            months = np.concatenate([m for m, _ in (*ys, *xs)])
+            if not len(months):
+                continue
+            start, size = int(months.min()), int(months.max() - months.min()) + 1
+            (yv, ym), (xv, xm) = (lags.grid(*map(list, zip(*side)), start, size) for side in (ys, xs))
+            first, last = (v.to_numpy(np.int64)[a : a + 256] for v in (low, high))
+            most = int(min(last.max(), size))
+            lag, r, n = lags.best(*lags.correlations(yv, ym, xv, xm, most, ridge), first, last, least)
+            ok = lag >= 0
+            out.loc[a : a + len(ys) - 1, "lag"] = np.where(ok, lag, first)
+            out.loc[a : a + len(ys) - 1, "corr"] = np.where(ok, r, 0.0)
+            out.loc[a : a + len(ys) - 1, "overlap"] = n
+        return out
+
+    made = met.withColumn("__f", found("__y", "__x", F.col("lower_bound").cast("long"), F.col("upper_bound").cast("long")))
+    return made.select(*(c for c in pairs.columns if c not in ("lag", "corr", "overlap")), "__f.*").withColumn("tau", F.greatest("lag", "lower_bound"))
 
 
 def shifted(pairs: DataFrame, target: DataFrame, source: DataFrame, values: Sequence[str]) -> DataFrame:

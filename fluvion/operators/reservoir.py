@@ -6,9 +6,13 @@ series. What a series is too short or too flat for is null.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.operators import lags
+
 EPS = 1e-9
 
 
@@ -64,19 +68,20 @@ def pressure(df: DataFrame, key: str, t: str = "t", p: str = "p", p_hat: str = "
 
 def injection(df: DataFrame, key: str, t: str = "t", y: str = "y", y_hat: str = "y_hat", x: str = "x", least: int = 11) -> DataFrame:
     """Voidage replacement, production gained for injection added, and the lag of the largest
-    cross-correlation (first of equals), of truth and forecast. The lag meets each row of a
-    series with those before it, so its work is the square of a series' length."""
-    whole, w = Window.partitionBy(key), Window.partitionBy(key).orderBy(t)
+    cross-correlation (first of equals), of truth and forecast. The lags come from one
+    transform of each series; a series is one array of the same grouping."""
+    w = Window.partitionBy(key).orderBy(t)
     change = lambda c: F.col(c) - F.coalesce(F.lag(c).over(w), F.col(c))
-    d = df.withColumns({"__dy": change(y), "__dh": change(y_hat), "__dx": change(x), "__k": F.row_number().over(w), **{f"__c{n}": F.col(c) - F.avg(c).over(whole) for n, c in (("y", y), ("h", y_hat), ("x", x))}})
+    d = df.withColumns({"__dy": change(y), "__dh": change(y_hat), "__dx": change(x)})
     gain = lambda c: F.when(F.stddev_pop("__dx") > EPS, F.try_divide(F.covar_samp(c, "__dx"), F.var_pop("__dx") + EPS))
-    g = d.groupBy(key).agg(F.try_divide(F.sum(x), F.sum(y) + EPS).alias("vrr_true"), F.try_divide(F.sum(x), F.sum(y_hat) + EPS).alias("vrr_pred"), gain("__dy").alias("injection_efficiency_true"), gain("__dh").alias("injection_efficiency_pred"), F.count("*").alias("__n"))
-    later, earlier = d.select(key, F.col("__k").alias("__a"), "__cy", "__ch"), d.select(key, F.col("__k").alias("__b"), "__cx")
-    met = later.join(earlier, key).where("__a >= __b").groupBy(key, (F.col("__a") - F.col("__b")).cast("long").alias("__lag"))
-    sums = met.agg(F.round(F.sum(F.col("__cy") * F.col("__cx")), 3).alias("__sy"), F.round(F.sum(F.col("__ch") * F.col("__cx")), 3).alias("__sh"))
-    best = lambda c: -F.max(F.struct(F.col(c), (-F.col("__lag")).alias("l")))["l"]
-    lags = sums.groupBy(key).agg(best("__sy").alias("response_lag_true"), best("__sh").alias("response_lag_pred"))
-    out = g.join(lags, key, "left")
+    g = d.groupBy(key).agg(F.try_divide(F.sum(x), F.sum(y) + EPS).alias("vrr_true"), F.try_divide(F.sum(x), F.sum(y_hat) + EPS).alias("vrr_pred"), gain("__dy").alias("injection_efficiency_true"), gain("__dh").alias("injection_efficiency_pred"), F.count("*").alias("__n"), F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), *(F.col(c).cast("double").alias(n) for n, c in (("y", y), ("h", y_hat), ("x", x)))))).alias("__s"))
+
+    @F.pandas_udf("response_lag_true long, response_lag_pred long")
+    def lagged(series: pd.Series) -> pd.DataFrame:
+        made = [np.array([[p["y"], p["h"], p["x"]] for p in s], float) for s in series]
+        return pd.DataFrame([(lags.response_lag(v[:, 0], v[:, 2]), lags.response_lag(v[:, 1], v[:, 2])) for v in made], columns=["response_lag_true", "response_lag_pred"])
+
+    out = g.select("*", lagged(F.transform("__s", lambda p: p.dropFields("t"))).alias("__l")).select("*", "__l.*").drop("__l", "__s")
     long_enough = F.col("__n") >= least
     lag = lambda c: F.when(long_enough, F.col(c))
     error = lambda c: F.abs(F.col(f"{c}_pred") - F.col(f"{c}_true"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.operators import splines
 from fluvion.operators.panel import upto
 
 
@@ -35,15 +36,53 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     for v, irrational in ((x, 0.6180339887498949), (y, 0.41421356237309515)):
         v = v / (v.std() or 1.0)
         scaled.append(v + 1e-10 * max(1.0, np.abs(v).mean()) * (np.arange(1, n + 1) * irrational % 1.0))
-    dx, dy = (np.abs(v[:, None] - v) for v in scaled)
-    both = np.maximum(dx, dy)
-    np.fill_diagonal(both, np.inf)
-    radius = np.nextafter(np.partition(both, k - 1, axis=1)[:, k - 1], 0)
-    near = [(d <= radius[:, None]).sum(1) for d in (dx, dy)]  # itself included
+    radius = np.nextafter(kth_distance(*scaled, k), 0)
+    near = [within(v, radius) for v in scaled]  # itself included
     value = _digamma(np.array([n])) + _digamma(np.array([k])) - np.mean(_digamma(near[0])) - np.mean(_digamma(near[1]))
     return float(np.clip(max(value[0], 0.0) / np.log(n + 1), 0, 1))
 
 
+def kth_distance(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The distance of each point to its k-th nearest other one, by the larger of both differences. Points are sorted by x and look
+    ever farther to both sides, until what lies there is farther in x alone; few do for long."""
+    n, order = len(x), np.argsort(x, kind="stable")
+    u, v = x[order], y[order]
+    nearest, left, step = np.full((n, k), np.inf), np.arange(n), 1
+    while len(left) and step < n:
+        far = np.full(len(left), np.inf)  # how near in x anything unseen can be
+        for side in (-step, step):
+            other = left + side
+            ok = (other >= 0) & (other < n)
+            a, b = left[ok], other[ok]
+            gap = np.abs(u[a] - u[b])
+            far[ok] = np.minimum(far[ok], gap)
+            d = np.maximum(gap, np.abs(v[a] - v[b]))
+            closer = d < nearest[a, -1]
+            a, d = a[closer], d[closer]
+            nearest[a, -1] = d
+            nearest[a] = np.sort(nearest[a], axis=1)
+        left, step = left[far < nearest[left, -1]], step + 1
+    out = np.empty(n)
+    out[order] = nearest[:, -1]
+    return out
+
+
+def within(v: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many values lie within each one's radius, itself included, by search in order. Sums round, so
+    both ends are set by differences."""
+    order = np.argsort(v, kind="stable")
+    s, n = v[order], len(v)
+    low, high = np.searchsorted(s, v - radius, "left"), np.searchsorted(s, v + radius, "right")  # [low, high)
+    while True:
+        inside = lambda at: (at >= 0) & (at < n) & (np.abs(s[np.clip(at, 0, n - 1)] - v) <= radius)
+        wider, narrower = inside(low - 1), ~inside(low) & (low < high)
+        more, less = inside(high), ~inside(high - 1) & (low < high)
+        if not (wider.any() or narrower.any() or more.any() or less.any()):
+            return high - low
+        low = low - wider + (narrower & ~wider)
+        high = high + more - (less & ~more)
+
+
 def _digamma(n: np.ndarray) -> np.ndarray:
     """Of positive whole numbers: harmonic numbers less Euler's constant."""
     n = np.asarray(n, int)
@@ -86,13 +125,20 @@ def pair_statistics(rows: DataFrame, parts: tuple[str, ...] = ("mi", "psd_corr",
     pair's rows."""
     given = "c" in rows.columns
 
-    def one(y, x, *c):
-        y, x = y.astype(float), x.astype(float)
-        condition = c[0].astype(float) if given else np.concatenate(([np.nan], y[:-1]))
+    def one(y: np.ndarray, x: np.ndarray, c: np.ndarray) -> dict[str, float]:
+        condition = c if given else np.concatenate(([np.nan], y[:-1]))
         made = {"mi": lambda: mutual_information(x, y), "psd_corr": lambda: spectral_correlation(x, y), "cmi": lambda: conditional_information(x, y, condition)}
         return {n: made[n]() for n in parts}
 
-    return _grouped(rows, ["prod_id", "inj_id"], ["y", "x", *(["c"] if given else [])], ["ds"], one, "prod_id string, inj_id string, " + ", ".join(f"{n} double" for n in parts))
+    @F.pandas_udf(", ".join(f"{n} double" for n in parts))
+    def found(series: pd.Series) -> pd.DataFrame:
+        columns = [np.array([[r[n] for r in s] for n in ("y", "x", "c")], float).reshape(3, -1) for s in series]
+        return pd.DataFrame([one(*v) for v in columns], columns=list(parts))
+
+    point = F.struct("ds", *(F.col(n).cast("double").alias(n) for n in ("y", "x")), (F.col("c") if given else F.lit(None)).cast("double").alias("c"))
+    series = rows.groupBy("prod_id", "inj_id").agg(F.array_sort(F.collect_list(point)).alias("s"))
+    made = series.select("prod_id", "inj_id", found(F.transform("s", lambda p: p.dropFields("ds"))).alias("f"))
+    return made.select("prod_id", "inj_id", "f.*")
 
 
 def information_by(rows: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
@@ -100,10 +146,10 @@ def information_by(rows: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
     return _grouped(rows, keys, ["y", "x"], ["ds"], lambda y, x: {"mi": mutual_information(x.astype(float), y.astype(float), k)}, ", ".join(f"{c} string" for c in keys) + ", mi double")
 
 
-def cubic_fill(t: np.ndarray, v: np.ndarray, least: float = 0.0) -> np.ndarray:
-    """Missing values from the natural cubic spline through the known ones, at least
-    ``least``; beyond the ends its end slopes go on. Fewer than four known: the last value
-    before, then 0."""
+def cubic_fill(t: np.ndarray, v: np.ndarray, least: float = 0.0, smooth: float = 0.01) -> np.ndarray:
+    """Missing values from the natural cubic spline that bends least while it leaves squared residuals of
+    ``smooth`` for each known value (0: through them), at least ``least``; beyond the ends its end slopes
+    go on. Fewer than four known: the last value before, then 0. Linear in the series' length."""
     known = np.isfinite(v)
     out = v.astype(float).copy()
     if known.all():
@@ -115,30 +161,15 @@ def cubic_fill(t: np.ndarray, v: np.ndarray, least: float = 0.0) -> np.ndarray:
             out[i] = last
         return out
     x, y = t[known].astype(float), out[known]
-    h = np.diff(x)
-    n = len(x)
-    a = np.zeros((n, n))
-    a[0, 0] = a[-1, -1] = 1
-    rhs = np.zeros(n)
-    inner = np.arange(1, n - 1)
-    a[inner, inner - 1], a[inner, inner], a[inner, inner + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    slope = np.diff(y) / h
-    rhs[1:-1] = 6 * np.diff(slope)
-    m = np.linalg.solve(a, rhs)
-    at = t[~known].astype(float)
-    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
-    u, w = at - x[k], x[k + 1] - at
-    value = (m[k] * w**3 + m[k + 1] * u**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * w + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * u
-    before, after = at < x[0], at > x[-1]
-    value[before] = y[0] + (slope[0] - h[0] * m[1] / 6) * (at[before] - x[0])
-    value[after] = y[-1] + (slope[-1] + h[-1] * m[-2] / 6) * (at[after] - x[-1])
-    out[~known] = np.maximum(value, least)
+    f, g = splines.fit(x, y, smooth * len(x))
+    out[~known] = np.maximum(splines.value(x, f, g, t[~known].astype(float)), least)
     return out
 
 
-def impute_spline(df: DataFrame, key: str, time: str, column: str, least: float = 0.0) -> DataFrame:
+def impute_spline(df: DataFrame, key: str, time: str, column: str, least: float = 0.0, smooth: float = 0.01) -> DataFrame:
+    """key, time, the column with what is missing filled (see cubic_fill), series by series."""
     days = df.withColumn("__t", F.unix_date(F.col(time).cast("date")).cast("double"))
-    return _grouped(days.select(key, time, "__t", column), [key], [time, "__t", column], [time], lambda at, t, v: {time: at, f"{column}_filled": cubic_fill(t, v.astype(float), least)}, f"{key} string, {time} date, {column}_filled double")
+    return _grouped(days.select(key, time, "__t", column), [key], [time, "__t", column], [time], lambda at, t, v: {time: at, f"{column}_filled": cubic_fill(t, v.astype(float), least, smooth)}, f"{key} string, {time} date, {column}_filled double")
 
 
 def robust_outliers(x: np.ndarray, share: float = 0.05, tries: int = 30, seed: int = 0) -> np.ndarray:
