@@ -54,17 +54,18 @@ def smallest_reaching(df: DataFrame, by: Sequence[str], value: str, weight: Colu
     return reached.select(*by, "target", "eps")
 
 
-def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """One row, q0, q1...: exact quantiles of a column, each between the two values around it by
-    their distance; nulls without values. No value is held more than once, nor all of them by
-    one task."""
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """q0, q1... in one row, or behind ``by`` in one row for each of few groups: exact quantiles of a column, each between
+    the two values around it by their distance; nulls without values. No value is held more than once, nor
+    all of them by one task."""
     at = lambda share, n: F.floor(share * (n - 1))
     targets = [f for s in shares for f in (lambda n, s=s: at(s, n) + 1, lambda n, s=s: F.least(at(s, n) + 2, n))]
-    found = smallest_reaching(df, (), value, F.lit(1), *targets)
-    wide = found.agg(*(F.max(F.when(F.col("target") == k, F.col("eps"))).alias(f"__{k}") for k in range(len(targets))))
-    made = df.agg(F.count(value).alias("__n")).crossJoin(F.broadcast(wide))
+    found = smallest_reaching(df, by, value, F.lit(1), *targets)
+    wide = found.groupBy(*by).agg(*(F.max(F.when(F.col("target") == k, F.col("eps"))).alias(f"__{k}") for k in range(len(targets))))
+    counts = df.groupBy(*by).agg(F.count(value).alias("__n"))
+    made = counts.join(F.broadcast(wide), list(by), "left") if by else counts.crossJoin(F.broadcast(wide))
     part = lambda s: s * (F.col("__n") - 1) - at(s, F.col("__n"))
-    return made.select(*((F.col(f"__{2 * k}") + part(s) * (F.col(f"__{2 * k + 1}") - F.col(f"__{2 * k}"))).alias(f"q{k}") for k, s in enumerate(shares)))
+    return made.select(*by, *((F.col(f"__{2 * k}") + part(s) * (F.col(f"__{2 * k + 1}") - F.col(f"__{2 * k}"))).alias(f"q{k}") for k, s in enumerate(shares)))
 
 
 def positions(df: DataFrame, by: Sequence[str], time: str, tie: str, name: str = "position") -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.sources.lineage import cut
+
 
 def _order(key: str, time: str):
     return Window.partitionBy(key).orderBy(time)
@@ -113,3 +115,24 @@ def walk_forward(df: DataFrame, key: str, time: str, horizon: int, step: int, fo
     cut = base + step * F.col("fold")
     spread = indexed.withColumn("fold", each).withColumn("part", F.when(F.col("time_idx") < cut, "train").when(F.col("time_idx") < cut + horizon, "val"))
     return spread.where("part is not null")
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """Each key once, with its number in rising order from 0. Keys are sorted over all tasks; each counts its own, and what
+    stands in the tasks before is added. Written, since the sort's tasks must stay as they were."""
+    placed = cut(df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).select(key, F.monotonically_increasing_id().alias("__id")))
+    # The number of the task, and the place within it.
+    placed = placed.select(key, F.shiftright("__id", 33).alias("__task"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__nth"))
+    counts = placed.groupBy("__task").agg(F.count("*").alias("__n"))
+    before = counts.select("__task", F.coalesce(F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each task
+    return placed.join(F.broadcast(before), "__task").select(key, (F.col("__before") + F.col("__nth")).alias("number"))
+
+
+def widened(df: DataFrame, key: str, time: str, value: str, width: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(time, block, v0, v1...: the series side by side in blocks of ``width`` columns; key, block, place: where each series
+    stands). However many series there are, columns are ``width`` and no name comes to the driver. A month without a row of
+    any of a block's series has no row there; values of one key and time are summed."""
+    places = numbered(df, key).select(key, F.floor(F.col("number") / width).cast("int").alias("block"), (F.col("number") % width).cast("int").alias("place"))
+    joined = df.select(key, time, value).join(places, key)
+    wide = joined.groupBy(time, "block").agg(*(F.sum(F.when(F.col("place") == k, F.col(value))).alias(f"v{k}") for k in range(width)))
+    return wide, places

@@ -35,9 +35,11 @@ def quality_report(df: DataFrame, key: str, time: str, rates: Sequence[str], gap
     """check, column, value: rows, keys, repeated keys, days covered, nulls, negatives and
     values beyond three times the interquartile range, and keys with gaps."""
     n = lambda e: F.sum(F.coalesce(e, F.lit(False)).cast("int"))
-    wide = df
-    for c in rates:  # one row each
-        wide = wide.crossJoin(F.broadcast(quantiles(df, c, (0.25, 0.75)).select(F.col("q0").alias(f"a_{c}"), F.col("q1").alias(f"b_{c}"))))
+    # Quantiles of all columns come from one pass: a row for each value and its column's number.
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(k).alias("column"), F.col(c).cast("double").alias("v")) for k, c in enumerate(rates))))) if rates else None
+    found = quantiles(long, "v", (0.25, 0.75), ["column"]) if rates else None
+    at = lambda k, q: F.max(F.when(F.col("column") == k, F.col(q)))
+    wide = df.crossJoin(F.broadcast(found.agg(*(f for k, c in enumerate(rates) for f in (at(k, "q0").alias(f"a_{c}"), at(k, "q1").alias(f"b_{c}")))))) if rates else df  # one row
     aggs, names = [F.count("*").alias("rows"), F.countDistinct(key).alias("keys"), F.datediff(F.max(time), F.min(time)).alias("days")], [("rows", "", "rows"), ("keys", key, "keys"), ("days", time, "days")]
     for c in rates:
         low, high = F.col(f"a_{c}"), F.col(f"b_{c}")

@@ -201,13 +201,6 @@ def production_stage(spark, sf):
     return features.production_stage(t.producers(spark, sf), "well", "ds", "wlpr").select("well", "ds", "stage")
 
 
-@query("prod", _stage_sql("(SELECT * FROM prod WHERE ds >= DATE '2000-06-01' AND (CAST(well AS INTEGER) + 2 * (year(ds) * 12 + month(ds))) % 5 < 3)"))
-def production_stage_short(spark, sf):
-    """Series of few rows, some under fifteen, where the window is a third of them."""
-    short = (F.col("well").cast("int") + 2 * (F.year("ds") * 12 + F.month("ds"))) % 5 < 3
-    return features.production_stage(t.producers(spark, sf).where((F.col("ds") >= F.to_date(F.lit("2000-06-01"))) & short), "well", "ds", "wlpr").select("well", "ds", "stage")
-
-
 _SG = " + ".join(f"({w!r}) * coalesce({'lag' if k < 3 else 'lead'}(wlpr, {abs(k - 3)}) {_W}, {'first' if k < 3 else 'last'}_value(wlpr) OVER (PARTITION BY well ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))" for k, w in enumerate(features.savgol_weights(7, 2)))
 
 

@@ -320,12 +320,20 @@ def well_stats(spark, sf):
     return rounded(t.panel(spark, sf).groupBy("well").agg(F.count("*").alias("n"), F.avg("wlpr").alias("mean"), F.median("wlpr").alias("median"), F.percentile("wlpr", 0.9).alias("p90"), F.max_by("type", "ds").alias("last_type"), F.max("ds").cast("string").alias("last")))
 
 
-@query("prod", "SELECT CAST(ds AS VARCHAR) AS ds, * EXCLUDE (ds) FROM (PIVOT (SELECT ds, well || '__wlpr' AS w, wlpr FROM prod) ON w USING round(sum(wlpr), 6) GROUP BY ds)", dated=False)
+_WIDTH = 16
+_NUMBERED = "n AS (SELECT well, CAST(row_number() OVER (ORDER BY well) - 1 AS BIGINT) AS k FROM (SELECT DISTINCT well FROM prod))"
+
+
+@query("prod", f"WITH {_NUMBERED} SELECT ds, CAST(k // {_WIDTH} AS INTEGER) AS block, {', '.join(f'round(sum(CASE WHEN k % {_WIDTH} = {j} THEN wlpr END), 6) AS v{j}' for j in range(_WIDTH))} FROM prod JOIN n USING (well) GROUP BY ds, k // {_WIDTH}")
 def pivot_wide(spark, sf):
-    rows = t.producers(spark, sf).select("well", "ds", "wlpr")
-    wells = sorted((r["well"] for r in rows.select("well").distinct().collect()), key=lambda w: (len(w), w))
-    wide = rows.groupBy("ds").pivot("well", wells).agg(F.sum("wlpr"))
-    return rounded(wide.withColumnsRenamed({w: f"{w}__wlpr" for w in wells}))
+    """Every producer's rates side by side, sixteen to a block."""
+    return rounded(panel.widened(t.producers(spark, sf), "well", "ds", "wlpr", _WIDTH)[0])
+
+
+@query("prod", f"WITH {_NUMBERED} SELECT well, CAST(k // {_WIDTH} AS INTEGER) AS block, CAST(k % {_WIDTH} AS INTEGER) AS place FROM n", dated=False)
+def pivot_places(spark, sf):
+    """Where each producer stands in pivot_wide."""
+    return panel.widened(t.producers(spark, sf), "well", "ds", "wlpr", _WIDTH)[1]
 
 
 @query("prod", "SELECT well, ds, feature, round(value, 6) AS value FROM (SELECT well, ds, wlpr, womr FROM prod) UNPIVOT (value FOR feature IN (wlpr, womr))")

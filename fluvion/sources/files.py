@@ -80,7 +80,8 @@ def with_distance(pairs: DataFrame, matrix: DataFrame, fallback: str = "d") -> D
 def write_csv(df: DataFrame, path: str) -> None:
     """Delimited text with a header; maps and arrays as JSON."""
     nested = ("map", "array", "struct")
-    df.select(*(F.to_json(c).alias(c) if k.startswith(nested) else F.col(c) for c, k in df.dtypes)).write.mode("overwrite").option("escape", '"').csv(path, header=True)
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")  # noqa: E731  names may have dots, as q_0.5 has
+    df.select(*(F.to_json(named(c)).alias(c) if k.startswith(nested) else named(c) for c, k in df.dtypes)).write.mode("overwrite").option("escape", '"').csv(path, header=True)
 
 
 def write_parquet(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
