@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvion.functions import html
-from fluvion.operators import attention, features, forecasting, graph, panel, pairs
+from fluvion.operators import attention, features, forecasting, graph, pairs, panel, spectra
 from fluvion.operators import statistics as st
 from fluvion.plans.catalog import query, rounded
 from fluvion.plans.catalog_pairs import _CUT, _cut, _shifted, _weighted
@@ -47,13 +47,13 @@ def betweenness(spark, sf):
 @query()
 def eigenvector(spark, sf):
     wells, edges = _field(spark, sf)
-    return st.whole_graph(edges, wells, lambda n, w, d: {"eigenvector": st.eigenvector(w)}, "well string, eigenvector double")
+    return spectra.eigenvector(wells, edges)
 
 
 @query()
 def spectral(spark, sf):
     wells, edges = _field(spark, sf)
-    return st.whole_graph(edges, wells, lambda n, w, d: {"embedding": list(st.spectral(w, 3))}, "well string, embedding array<double>")
+    return spectra.laplacian(wells, edges, 3)
 
 
 @query()

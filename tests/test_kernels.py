@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluvion.operators import graph, lags, pairs, reservoir, splines
+from fluvion.operators import graph, lags, pairs, reservoir, spectra, splines
 from fluvion.operators import statistics as st
 
 
@@ -186,3 +186,36 @@ def test_triangles_around_a_hub(spark):
     star = spark.range(100_000).select(F.lit("hub").alias("src"), F.concat(F.lit("leaf"), F.col("id")).alias("dst"), F.lit(2.0).alias("d"))
     hub = spark.createDataFrame([("hub",), ("leaf7",)], "well string")
     assert {r["clustering"] for r in graph.clustering(hub, star).collect()} == {0.0}
+
+
+# Spectra
+
+
+@pytest.mark.parametrize("seed,n,isolated", [(2, 24, 2), (3, 3, 0)])
+def test_spectra_are_those_of_dense_matrices(spark, seed, n, isolated):
+    rng = np.random.default_rng(seed)
+    names = [f"w{k:02d}" for k in range(n + isolated)]
+    rows = [(names[a], names[b], float(rng.uniform(1, 4))) for a in range(n) for b in range(a + 1, n) if b == a + 1 or rng.random() < 0.3]
+    w = np.zeros((len(names),) * 2)
+    for a, b, d in rows:
+        w[names.index(a), names.index(b)] = w[names.index(b), names.index(a)] = 1 / d
+    wells, edges = spark.createDataFrame([(v,) for v in names], "well string"), spark.createDataFrame(rows, "src string, dst string, d double")
+    got = {r["well"]: r["eigenvector"] for r in spectra.eigenvector(wells, edges).collect()}
+    np.testing.assert_allclose([got[v] for v in names], st.eigenvector(w), atol=1e-4)
+    found = {r["well"]: r["embedding"] for r in spectra.laplacian(wells, edges, 2).collect()}
+    v = np.array([found[x] for x in names])
+    np.testing.assert_allclose(v.T @ v, np.eye(2), atol=1e-8)
+    assert all(v[np.abs(v[:, j]).argmax(), j] > 0 for j in range(2))
+    degree = w.sum(1)
+    root = np.where(degree > 0, 1 / np.sqrt(np.where(degree > 0, degree, 1)), 0)
+    laplace = np.diag((degree > 0).astype(float)) - root[:, None] * w * root
+    values = np.linalg.eigvalsh(laplace)[1:3]
+    np.testing.assert_allclose(np.einsum("ij,ik,kj->j", v, laplace, v), values, atol=1e-7)
+    np.testing.assert_allclose(laplace @ v, v * values, atol=1e-4)
+
+
+def test_spectra_without_edges(spark):
+    wells, none = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "well string"), spark.createDataFrame([], "src string, dst string, d double")
+    assert [r["eigenvector"] for r in spectra.eigenvector(wells, none).collect()] == [0.5] * 4
+    assert spectra.laplacian(wells.limit(2), none, 2).first()["embedding"] == [0.0, 0.0]
+    assert spectra.laplacian(wells, none, 2).count() == 4
