@@ -114,7 +114,7 @@ def causal_evidence(rows: DataFrame, least: int = CAUSAL_ROWS) -> DataFrame:
     the condition c); pairs with fewer than ``least`` rows are absent."""
     usable = rows.where("known and x is not null and y is not null and c is not null")
     enough = usable.groupBy(*PAIR).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(*PAIR)
-    usable = usable.join(enough, PAIR, "left_semi").select(*PAIR, "ds", "y", "x", "c")
+    usable = cut(usable.join(enough, PAIR, "left_semi").select(*PAIR, "ds", "y", "x", "c"))  # read by each part
     parts = pairs.granger(usable).join(statistics.pair_statistics(usable), PAIR)
     parts = parts.withColumns({c: F.when(F.isnan(c), None).otherwise(F.col(c)) for c in CAUSAL_PARTS})
     return pairs.causal_score(parts, CAUSAL_PARTS)

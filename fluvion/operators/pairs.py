@@ -100,6 +100,10 @@ def normalised(df: DataFrame, group: str | Sequence[str], value: str, name: str
     return df.withColumn(name, F.when(total > 0, F.col(value) / total).otherwise(1.0 / F.count("*").over(w)))
 
 
+#: Injectors in one cell of the first grid of nearest_pairs.
+CROWD = 512
+
+
 def nearest(pairs: DataFrame, k: int, group: str = "prod_id", by: str = "d", tie: str = "inj_id") -> DataFrame:
     """The k nearest of each group with their rank; 0: all."""
     ranked = pairs.withColumn("rk", F.row_number().over(Window.partitionBy(group).orderBy(by, tie)).cast("long"))
@@ -114,6 +118,10 @@ def nearest_pairs(producers: DataFrame, injectors: DataFrame, k: int, matrix: Se
     default one that holds about k injectors if they are spread evenly. With k = 0 all
     injectors are meant, so all pairs are met.
 
+    Crowds cost no squares: of injectors at one and the same place only the first k by name can be among
+    anyone's nearest, producers at one place are searched for once, and the first width is
+    halved until no cell holds more than CROWD injectors.
+
     Injectors without a place are nobody's; the rounds are few, since widths double until they
     span the field.
     """
@@ -127,6 +135,9 @@ def nearest_pairs(producers: DataFrame, injectors: DataFrame, k: int, matrix: Se
         length = lambda names, tag="": F.sqrt(sum(((F.col(f"i{tag}{c}") - F.col(f"p{tag}{c}")) ** 2 for c in names), F.lit(0.0)))
         every = every.withColumns({**{f"d{c}": F.col(f"i{c}") - F.col(f"p{c}") for c in "xyz"}, "d": length("xyz"), "metric_d": length(range(3), "m")})
         return nearest(every, 0, by="metric_d").select("prod_id", "inj_id", "dx", "dy", "dz", "d", "metric_d", "rk")
+    every = p
+    i = cut(i.withColumn("__r", F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("well"))).where(F.col("__r") <= k).drop("__r"))
+    p = cut(p.groupBy("x", "y", "z", *(f"__m{n}" for n in range(3))).agg(F.min("well").alias("well")).select(*p.columns))
     span = i.agg(F.count("*").alias("n"), *(f(F.col(f"__m{n}")).alias(f"{name}{n}") for n in (0, 1) for name, f in (("low", F.min), ("high", F.max)))).first()
     reach = p.agg(*(f(F.col(f"__m{n}")).alias(f"{name}{n}") for n in (0, 1) for name, f in (("low", F.min), ("high", F.max)))).first()
     columns = ("x", "y", "z")
@@ -135,6 +146,11 @@ def nearest_pairs(producers: DataFrame, injectors: DataFrame, k: int, matrix: Se
         return shown(p.select(F.col("well").alias("prod_id")).where("false").withColumns({"inj_id": F.lit(""), **{c: F.lit(0.0) for c in ("dx", "dy", "dz", "d", "metric_d")}, "rk": F.lit(0).cast("long")}))
     whole = max(max(span[f"high{n}"], reach[f"high{n}"]) - min(span[f"low{n}"], reach[f"low{n}"]) for n in (0, 1)) + 1.0
     width = cell or max(whole * math.sqrt(k / span["n"]), whole / 1024)
+    for _ in range(0 if cell else 20):
+        crowd = i.groupBy(F.floor(F.col("__m0") / width), F.floor(F.col("__m1") / width)).count().agg(F.max("count")).first()[0]
+        if crowd <= CROWD:
+            break
+        width /= 2
     left, parts = p, []
     while True:
         at = lambda t: t.withColumns({"__i": F.floor(F.col("__m0") / width), "__j": F.floor(F.col("__m1") / width)})
@@ -159,7 +175,9 @@ def nearest_pairs(producers: DataFrame, injectors: DataFrame, k: int, matrix: Se
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    # What was found for a place is every producer's there.
+    shared = every.select("well", "x", "y", "z").join(p.select("x", "y", "z", F.col("well").alias("prod_id")), ["x", "y", "z"]).select("prod_id", "well")
+    return out.join(shared, "prod_id").drop("prod_id").withColumnRenamed("well", "prod_id").select(*out.columns)
 
 
 #: Default rock and fluid, in the units of the parameters of lag_window.

@@ -1,6 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
+# Before numpy is imported: its threads beside Spark's only crowd the cores.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))

@@ -219,3 +219,26 @@ def test_spectra_without_edges(spark):
     assert [r["eigenvector"] for r in spectra.eigenvector(wells, none).collect()] == [0.5] * 4
     assert spectra.laplacian(wells.limit(2), none, 2).first()["embedding"] == [0.0, 0.0]
     assert spectra.laplacian(wells, none, 2).count() == 4
+
+
+# Crowds
+
+
+@pytest.mark.parametrize("crowd", [1, 512])
+def test_nearest_injectors_in_a_crowd(spark, monkeypatch, crowd):
+    monkeypatch.setattr(pairs, "CROWD", crowd)
+    rng = np.random.default_rng(7)
+    place = lambda k, one: (5.0, 5.0, -9.0) if k % 10 else tuple(float(v) for v in rng.uniform(0, 9000, 3)) if not one else (5.0, 5.0, -9.0)
+    near = lambda: tuple(float(v) for v in 40 + rng.uniform(0, 1, 3))
+    p = [(f"p{k:03d}", *place(k, False)) for k in range(120)] + [(f"q{k}", *near()) for k in range(30)]
+    i = [(f"i{k:03d}", *place(k, False)) for k in range(90)] + [(f"j{k}", *near()) for k in range(40)] + [("lost", None, 1.0, 1.0)]
+    make = lambda rows: spark.createDataFrame(rows, "well string, x double, y double, z double").repartition(4)
+    got = {}
+    for r in pairs.nearest_pairs(make(p), make(i), 3).collect():
+        got.setdefault(r["prod_id"], []).append((r["rk"], r["inj_id"], r["d"]))
+    known = [v for v in i if v[1] is not None]
+    for w, *at in p:
+        want = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(v[1:], at)))), v[0]) for v in known)[:3]
+        found = sorted(got[w])
+        assert [f[1] for f in found] == [v[1] for v in want]
+        assert [f[2] for f in found] == pytest.approx([v[0] for v in want])
