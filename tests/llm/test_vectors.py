@@ -100,17 +100,42 @@ def test_an_id_with_several_vectors(spark):
     assert got == [(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 1, 1)]
 
 
-def test_pivots_are_taken_where_they_part_clusters():
+def test_pivots_leave_less_than_half_to_compare():
     r = np.random.default_rng(2)
     centres = vectorjoin.scaled(r.normal(size=(8, 64)))
-    clustered = vectorjoin.scaled(centres[r.integers(0, 8, 400)] + 0.01 * r.normal(size=(400, 64)))
-    spread = vectorjoin.scaled(r.normal(size=(400, 64)))
-    few = vectorjoin.pivots_for(clustered, 10_000, 0.2)
-    assert few is not None and len(few) >= 8
-    for x in (clustered, spread):
-        p = vectorjoin.pivots_for(x, 10_000, 0.2)
-        if p is not None:
-            assert sum(len(row) for row, _, _ in vectorjoin.assignments(x, p, 0.2)) <= vectorjoin.MOST_VISITS * len(x)
+    clustered = vectorjoin.scaled(centres[r.integers(0, 8, 1000)] + 0.01 * r.normal(size=(1000, 64)))
+    spread = vectorjoin.scaled(r.normal(size=(200, 64)))
+    for x, rows, share, most in ((clustered, 200_000, 0.2, 1.0), (spread, 200, 0.5, 7.0)):
+        compared, copies = vectorjoin.outlook(x, vectorjoin.pivots_for(x, rows, 0.2), 0.2)
+        assert compared < share and copies < most
+    assert vectorjoin.pivots_for(spread[:1].repeat(50, axis=0), 50, 0.2, always=False) is None
+    assert len(vectorjoin.pivots_for(spread[:2], 2, 0.2)) == 2
+
+
+@pytest.mark.parametrize("cell", [8192, 6])
+def test_cells_hold_each_near_pair_once(spark, monkeypatch, rows, cell):
+    monkeypatch.setattr(vectorjoin, "CELL_ROWS", cell)  # 6: cells are cut again and again
+    good = [(k, v) for _, v, k in rows if k is not None and v and len(v) == 12 and None not in v and np.isfinite(v).all() and np.any(v)]
+    one = spark.createDataFrame([(str(k), 96, n, 1, bytearray(np.array(v).tobytes())) for n, (k, v) in enumerate(good)], "label string, size int, vid long, weight long, v binary")
+    radius, held, home = np.sqrt(2 - 2 * 0.98), {}, []
+    for c in vectorjoin.cells_of(one, radius, "<f8").collect():
+        held.setdefault((c["label"], c["cell"]), []).append((c["vid"], c["mask"]))
+        home += [c["vid"]] * (c["mask"] == 0)
+    assert sorted(home) == list(range(len(good))) and len(held) > (20 if cell == 6 else 3)
+    met = [(min(a, b), max(a, b)) for found in held.values() for n, (a, m) in enumerate(found) for b, k in found[:n] if not m & k]
+    assert len(met) == len(set(met))
+    x, k = vectorjoin.scaled(np.array([v for _, v in good])), np.array([k for k, _ in good])
+    near = {(int(i), int(j)) for i, j in zip(*np.nonzero((x @ x.T >= 0.98) & (k[:, None] == k))) if i < j}
+    assert near <= set(met) and len(near) > 500
+
+
+def test_many_labels_and_single_precision(spark):
+    r = np.random.default_rng(4)
+    rows = [(n, r.normal(size=6).astype(np.float32).tolist(), n % 700) for n in range(2100)]
+    rows += [(10_000 + n, v, k) for n, v, k in rows[::3]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in vectorjoin.near_duplicates(df, cosine=0.9).collect()}
+    assert got == brute_links(rows, 0.9)
 
 
 def test_reading_stops_when_the_kth_is_certain(spark):
