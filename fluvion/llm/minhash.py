@@ -13,7 +13,8 @@ one root by now. What remains are tables of three nodes and more whose nodes are
 linked: the nodes of these are joined in units of bounded size, those of the largest
 class against the others and the others against each other, never the
 largest class against itself. So a group of near copies costs about as much as it has
-table rows, and only mutual candidates that are not linked cost a square.
+table rows, and only mutual candidates that are not linked cost a square. Where many tables
+hang together in a chain, what meets is what shares tables with one node, not all of the chain.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from fluvion.llm.scratch import map_batches
 KEY_HASHES, MISSED = 4, 2e-5
 #: Nodes, and shingles, in a part of a block.
 PART_DOCS, PART_SHINGLES = 512, 400_000
+#: Nodes outside its most frequent class up to which tables that hang together are one block.
+WIDE_DOCS = 2048
 
 
 def collection_size(similarity: float, rows: int = KEY_HASHES, missed: float = MISSED) -> int:
@@ -161,10 +164,16 @@ def same_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def unit_links(ids: np.ndarray, sides: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def first_shared(a: list[int], b: list[int]) -> int | None:
+    """The smallest value of two sorted lists."""
+    return min(set(a) & set(b), default=None) if a[0] != b[0] else a[0]
+
+
+def unit_links(ids: np.ndarray, sides: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, percent: int, blocks: list[list[int]], block: int) -> list[tuple[int, int]]:
     """Links that connect what is linked within a unit: a forest over verified pairs.
     sides: 0 and 1 for the two parts (all 0: one part against itself); labels: the
-    classes known before, within which no pair is looked at."""
+    classes known before, within which no pair is looked at; blocks: of each node, sorted. A
+    pair that meets in several blocks is verified in the first of these."""
     n, keys = len(ids), signatures.shape[1] // 2
     two = bool(sides.any())
     rows, cols = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if two else (np.arange(n), np.arange(n))
@@ -194,7 +203,7 @@ def unit_links(ids: np.ndarray, sides: np.ndarray, labels: np.ndarray, sets: lis
         done = 0
         for x, y in zip(a[:4096].tolist(), b[:4096].tolist()):
             done += 1
-            if label[x] != label[y] and same_enough(sets[x], sets[y], percent):
+            if label[x] != label[y] and first_shared(blocks[x], blocks[y]) == block and same_enough(sets[x], sets[y], percent):
                 links.append((int(ids[x]), int(ids[y])))
                 lo, hi = sorted((label[x], label[y]))
                 label[label == hi] = lo
@@ -202,6 +211,27 @@ def unit_links(ids: np.ndarray, sides: np.ndarray, labels: np.ndarray, sets: lis
     return links
 
 
+def blocks_of(rest: DataFrame) -> DataFrame:
+    """node, label, block: which nodes of mixed tables meet. rest: t, node, label, v (the table's
+    smallest node), written tables.
+
+    Tables that hang together are one block while few of its nodes, WIDE_DOCS at most, have
+    another label than its most frequent one. Beyond that a block is what shares tables with one smallest node, so that
+    work follows the tables and not the square of all that hangs together; a node is then in
+    as many blocks as its tables have smallest nodes.
+    """
+    found = components(rest.select(F.col("node").alias("u"), "v"))
+    members = rest.select("node", "label").distinct().join(found.select(F.col("id").alias("node"), F.col("component_id").alias("block")), "node")
+    members = scratch.keep(members, "minhash-blocks")
+    others = members.groupBy("block", "label").agg(F.count("*").alias("n")).groupBy("block").agg((F.sum("n") - F.max("n")).alias("others"))
+    wide = scratch.keep(members.join(others.where(F.col("others") > WIDE_DOCS), "block").select("block", "node"), "minhash-wide")
+    if wide.isEmpty():
+        return members
+    # A star's number is a node of its own component, whose number is no longer in use.
+    stars = rest.join(wide.select("node"), "node", "left_semi").select("node", "label", F.col("v").alias("block")).distinct()
+    return scratch.keep(members.join(wide.select("block").distinct(), "block", "left_anti").select("node", "label", "block").unionByName(stars), "minhash-blocks")
+
+
 def rest_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: links between nodes of a block that have different labels. members: node,
     label, block, written."""
@@ -219,12 +249,13 @@ def rest_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: i
     facing = F.transform(upto(F.col("mains")), lambda j: unit(F.col("part"), j, 1, F.lit(0)))
     among = F.transform(upto(F.col("others")), lambda i: unit(F.least("part", i), F.greatest("part", i), 0, F.col("part") > i))
     dealt = placed.withColumn("unit", F.explode(F.when(F.col("large"), against).otherwise(F.concat(facing, among))))
-    units = dealt.select("node", "label", "block", "unit.*").join(sets.select("node", "set"), "node").join(nodes.select("node", "keys"), "node")
+    homes = members.groupBy("node").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    units = dealt.select("node", "label", "block", "unit.*").join(sets.select("node", "set"), "node").join(nodes.select("node", "keys"), "node").join(homes, "node")
 
     def join(table: pa.Table) -> pa.Table:
         lists = lambda name: [np.asarray(x, np.int64).view(U64) for x in table.column(name).to_pylist()]
         ids, sides, labels = (table.column(c).to_numpy() for c in ("node", "side", "label"))
-        found = unit_links(ids, sides, labels, lists("set"), np.stack(lists("keys")), percent)
+        found = unit_links(ids, sides, labels, lists("set"), np.stack(lists("keys")), percent, table.column("blocks").to_pylist(), table.column("block")[0].as_py())
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
     return units.groupBy("block", "main", "low", "high").applyInArrow(join, "u long, v long")
@@ -278,9 +309,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = scratch.keep(open_tables.groupBy("t").agg(F.min("node").alias("v"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("t", "v"), "minhash-mixed")
     if not mixed.isEmpty():
         rest = open_tables.join(mixed, "t")
-        block = components(rest.select(F.col("node").alias("u"), "v"))
-        members = scratch.keep(rest.select("node", "label").distinct().join(block.select(F.col("id").alias("node"), F.col("component_id").alias("block")), "node"), "minhash-blocks")
-        more = rest_links(members, nodes, sets, percent)
+        more = rest_links(blocks_of(rest), nodes, sets, percent)
         of = labels.select(F.col("node").alias("u"), F.col("label").alias("a")), labels.select(F.col("node").alias("v"), F.col("label").alias("b"))
         more = more.join(of[0], "u", "left").join(of[1], "v", "left").select("u", "v", F.coalesce("a", "u").alias("a"), F.coalesce("b", "v").alias("b")).where("a <> b")
         labels = _labelled(labels.select(F.col("node").alias("u"), F.col("label").alias("v")), more)

@@ -340,9 +340,32 @@ def test_minhash_links_every_text_of_an_id(spark):
     assert got == [(5, 5, True)] * 3 + [(6, 5, False), (7, 5, False), (8, 8, True), (9, 9, True)]
 
 
-@pytest.mark.parametrize("part", [16, 512])
-def test_minhash_large_group_with_members_apart(spark, monkeypatch, part):
+def test_chained_tables_meet_by_table(spark):
+    # Each node shares one table with the next two and none is linked: one component of them all.
+    chain = [(n, n + k, n + k, n) for n in range(2400) for k in range(3)]
+    apart = [(10_000 + n // 40, 10_000 + n, 10_000 + n, 10_000 + n // 40 * 40) for n in range(200)]
+    rest = spark.createDataFrame(chain + apart, "t long, node long, label long, v long")
+    held = {}
+    for r in minhash.blocks_of(rest).collect():
+        held.setdefault(r["block"], set()).add(r["node"])
+    assert sum(map(len, held.values())) == len(chain) + len(apart)
+    assert max(len(x) for b, x in held.items() if b < 10_000) == 3
+    assert sorted(len(x) for b, x in held.items() if b >= 10_000) == [40] * 5
+    for t in range(0, 2400, 100):
+        assert {t, t + 1, t + 2} <= held[t]
+
+
+def test_a_pair_of_several_blocks_is_verified_in_the_first():
+    sets = [np.arange(100, dtype=np.uint64), np.arange(1, 101, dtype=np.uint64)]
+    same = np.ones((2, 4), np.uint64)
+    args = np.array([7, 9]), np.zeros(2, int), np.array([7, 9]), sets, same, 85, [[1, 4, 8], [2, 4, 8]]
+    assert minhash.unit_links(*args, 4) == [(7, 9)] and minhash.unit_links(*args, 8) == []
+
+
+@pytest.mark.parametrize("part,wide", [(16, 2048), (512, 2048), (16, 10)])
+def test_minhash_large_group_with_members_apart(spark, monkeypatch, part, wide):
     monkeypatch.setattr(minhash, "PART_DOCS", part)
+    monkeypatch.setattr(minhash, "WIDE_DOCS", wide)
     r = random.Random(part)
     base = [f"w{r.randrange(500)}" for _ in range(100)]
     rows = []
