@@ -430,16 +430,42 @@ def dealt_betweenness(edges: DataFrame, wells: DataFrame) -> DataFrame:
     return score.groupBy("well").agg(F.sum("b").alias("betweenness"))
 
 
-def closeness(edges: DataFrame, wells: DataFrame) -> DataFrame:
-    """well, closeness by shortest paths of any number of edges; 0 for a well without any."""
+def lengths(n: int, src: np.ndarray, dst: np.ndarray, d: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """``shortest`` from lists of directed edges: every way is lengthened by all edges until none
+    gets shorter. Memory is edges times sources."""
+    order = np.argsort(dst, kind="stable")
+    src, dst, d = src[order], dst[order], d[order]
+    ends, first = np.unique(dst, return_index=True)
+    found = np.full((n, len(sources)), np.inf)
+    found[sources, np.arange(len(sources))] = 0.0
+    while len(ends):
+        now = np.minimum(found[ends], np.minimum.reduceat(found[src] + d[:, None], first, axis=0))
+        if (now == found[ends]).all():
+            break
+        found[ends] = now
+    return found.T
 
-    def some(names: list[str], d: np.ndarray, sources: np.ndarray) -> dict:
-        length = shortest(d, sources)
-        near = np.isfinite(length)
-        reached, total = near.sum(1) - 1, np.where(near, length, 0.0).sum(1)
-        return {"well": [names[k] for k in sources], "closeness": reached * reached / np.maximum(total * (len(names) - 1), np.finfo(float).tiny)}
 
-    return dealt_graph(edges, wells, some, "well string, closeness double")
+def closeness(edges: DataFrame, wells: DataFrame, parts: int = 12, block: int = 32) -> DataFrame:
+    """well, closeness by shortest paths of any number of edges; 0 for a well without any. Sources
+    are dealt over ``parts`` tasks, each of which has the list of edges, and taken in blocks."""
+    rows = edges.where("d > 0").select("src", "dst", "d").unionByName(wells.select(F.col("well").alias("src"), F.col("well").alias("dst"), F.lit(0.0).alias("d")))
+    dealt = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate((frame["src"], frame["dst"])), return_inverse=True)
+        a, b, d = at[: len(frame)], at[len(frame) :], frame["d"].to_numpy()
+        way = a != b
+        a, b, d = np.concatenate((a[way], b[way])), np.concatenate((b[way], a[way])), np.concatenate((d[way], d[way]))
+        mine, out = np.arange(key[0], len(names), parts), [np.zeros(0)]
+        for k in range(0, len(mine), block):
+            length = lengths(len(names), a, b, d, mine[k : k + block])
+            near = np.isfinite(length)
+            reached, total = near.sum(1) - 1, np.where(near, length, 0.0).sum(1)
+            out.append(reached * reached / np.maximum(total * (len(names) - 1), np.finfo(float).tiny))
+        return pd.DataFrame({"well": names[mine], "closeness": np.concatenate(out)}).astype({"well": object})
+
+    return dealt.repartition(parts, "part").groupBy("part").applyInPandas(run, "well string, closeness double")
 
 
 def eigenvector(weights: np.ndarray) -> np.ndarray:

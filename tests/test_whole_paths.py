@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from fluvion.operators import graph
+from fluvion.operators import graph, statistics
 from fluvion.plans import catalog_pairs
 
 
@@ -58,3 +58,24 @@ def test_pagerank_goes_on_until_nothing_changes(spark, monkeypatch, chain):
 def test_fixed_rounds_stay(spark, chain):
     names, w, wells, edges = chain
     assert graph.closeness(wells, edges, 2).where("well = 'a'").first()["closeness"] == pytest.approx(16 / ((1 + 3 + 40 + 43) * 8))
+
+
+def test_lengths_from_lists_of_edges_equal_those_from_a_matrix():
+    r = np.random.default_rng(6)
+    for n, m in ((1, 0), (2, 1), (40, 60), (60, 400)):
+        d = np.full((n, n), np.inf)
+        for a, b, v in zip(r.integers(0, n, m), r.integers(0, n, m), r.random(m) + 0.1):
+            if a != b:
+                d[a, b] = d[b, a] = v
+        src, dst = np.nonzero(np.isfinite(d))
+        want = statistics.shortest(d, np.arange(n))
+        assert statistics.lengths(n, src, dst, d[src, dst], np.arange(n)) == pytest.approx(want)
+
+
+def test_closeness_of_a_field_whose_matrix_fits_no_task(spark):
+    n = 12_000  # a matrix of these has 1.2 GB, in each task
+    wells = spark.range(n).selectExpr("concat('w', id) AS well")
+    edges = spark.range(n).where("id % 5 < 4").selectExpr("concat('w', id) AS src", "concat('w', id + 1) AS dst", "CAST(1 AS DOUBLE) AS d")
+    got = statistics.closeness(edges, wells)
+    ends = got.where("well IN ('w0', 'w2')").orderBy("well").collect()
+    assert [x["closeness"] for x in ends] == pytest.approx([16 / (10 * (n - 1)), 16 / (6 * (n - 1))])
