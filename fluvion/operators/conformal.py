@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvion.sources.lineage import cut
+
 #: Names of the methods, and what they stand for.
 METHODS = {
     "icp": "icp",
@@ -35,10 +37,12 @@ def method_of(name: str | None) -> str:
 
 def smallest_reaching(df: DataFrame, by: Sequence[str], value: str, weight: Column, *targets: Callable[[Column], Column]) -> DataFrame:
     """by, target (its place), eps: the least value at which the weights up to it reach each
-    target of their sum; the largest value where rounding keeps them from that."""
+    target of their sum; the largest value where rounding keeps them from that. The values are
+    written once: a sum that is taken again in another order of its rows may differ in the last
+    digit, and then falls into another part than the one that was counted."""
     keys = list(by) or ["__all"]
     rows = df if by else df.withColumn("__all", F.lit(0))
-    one = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.sum(weight).alias("__w"))
+    one = cut(rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.sum(weight).alias("__w")))
     splits = one.groupBy(*keys).agg(F.percentile_approx("__v", [k / PARTS for k in range(1, PARTS)], 1000).alias("__s"), F.sum("__w").alias("__total"))
     dealt = one.join(splits, keys).withColumn("__part", F.size(F.filter("__s", lambda s: s < F.col("__v"))))
     sums = dealt.groupBy(*keys, "__part", "__total").agg(F.sum("__w").alias("__sum"))
