@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fluvion.operators import features
 from fluvion.operators.panel import upto
 from fluvion.operators.statistics import positive_elastic_net
+from fluvion.sources.lineage import cut
 
 
 def simplex(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
@@ -36,9 +37,11 @@ def geology_prior(pairs: DataFrame, medians: DataFrame, columns: list[str], base
 
 
 def _stepped(series: DataFrame, key: str, time: str, value: str, change: str | None) -> DataFrame:
-    """``__d``: the column ``change``, or the step from the row before."""
+    """``__d``: the column ``change``, or the step from the row before. Written once: quantiles
+    are values of the series and are compared with them, so a sum that was taken again in another
+    order of its rows would fall on the other side of itself."""
     step = F.col(change) if change else F.col(value) - F.coalesce(F.lag(value).over(Window.partitionBy(key).orderBy(time)), F.col(value))
-    return series.withColumn("__d", step)
+    return cut(series.withColumn("__d", step))
 
 
 def regimes(series: DataFrame, key: str, time: str, value: str, cutoff, change: str | None = None) -> DataFrame:
