@@ -29,10 +29,14 @@ def decline(df: DataFrame, key: str, t: str = "t", y: str = "y", y_hat: str = "y
     at = lambda c, top: F.min(F.when(F.col(c) == F.col(top), F.col(t))).over(whole)
     placed = tops.withColumns({"__ty": at(y, "__py"), "__th": at(y_hat, "__ph"), "__end": F.max(t).over(whole)})
     after = {n: (F.col(t) >= F.col(start)) & (F.col(c) > EPS) for n, c, start in (("y", y, "__ty"), ("h", y_hat, "__th"))}
-    line = lambda n, c: F.regr_slope(F.when(after[n], F.log(F.col(c) + EPS)), F.col(t).cast("double"))
+    # Slopes near 0 are differences of large products: both sides are taken from their means first.
+    logs = placed.withColumns({f"__l{n}": F.when(after[n], F.log(F.col(c) + EPS)) for n, c in (("y", y), ("h", y_hat))})
+    less = lambda c, n: c - F.avg(F.when(after[n], c)).over(whole)
+    centred = logs.withColumns({f"__{a}{n}": less(c, n) for n in "yh" for a, c in (("d", F.col(t).cast("double")), ("r", F.col(f"__l{n}")))})
+    line = lambda n: F.try_divide(F.sum(F.when(after[n], F.col(f"__d{n}") * F.col(f"__r{n}"))), F.sum(F.when(after[n], F.col(f"__d{n}") ** 2)))
     count = lambda n: F.sum(after[n].cast("int"))
     plateau = lambda c, top: F.sum((F.col(c) >= 0.9 * F.col(top)).cast("int"))
-    g = placed.groupBy(key).agg(F.max("__py").alias("py"), F.max("__ph").alias("ph"), F.max("__ty").alias("ty"), F.max("__th").alias("th"), F.max("__end").alias("end"), line("y", y).alias("sy"), line("h", y_hat).alias("sh"), count("y").alias("ny"), count("h").alias("nh"), F.sum(y).alias("cy"), F.sum(y_hat).alias("ch"), plateau(y, "__py").alias("plateau_duration_true"), plateau(y_hat, "__ph").alias("plateau_duration_pred"))
+    g = centred.groupBy(key).agg(F.max("__py").alias("py"), F.max("__ph").alias("ph"), F.max("__ty").alias("ty"), F.max("__th").alias("th"), F.max("__end").alias("end"), line("y").alias("sy"), line("h").alias("sh"), count("y").alias("ny"), count("h").alias("nh"), F.sum(y).alias("cy"), F.sum(y_hat).alias("ch"), plateau(y, "__py").alias("plateau_duration_true"), plateau(y_hat, "__ph").alias("plateau_duration_pred"))
     fits = (F.col("ny") > 3) & (F.col("nh") > 3) & (F.col("ty") < F.col("end")) & (F.col("th") < F.col("end"))
     return g.select(
         key,

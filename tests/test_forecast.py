@@ -98,6 +98,15 @@ def test_reservoir_metrics_of_one_series(spark):
     assert short["injection_response_lag_true"] is None and short["decline_decline_rate_true"] is None and short["waterflood_recovery_factor_true"] is None
 
 
+def test_decline_of_a_nearly_level_series(spark):
+    """The slope is 8e-6: the quotient by it shows the last digits of the sums behind it."""
+    rates = [52, 330, 192, 195, 180, 252, 165, 157, 78, 111, 195, 259, 187, 196, 257, 126, 363, 251, 150, 229, 225, 241, 156, 188, 214, 86, 139, 228, 335, 191, 181, 152, 141, 201, 98, 397, 188, 148, 164, 72, 215, 190, 242, 231, 83, 198, 129, 272, 289, 131, 133, 175, 64, 202, 242, 193, 113, 197, 254, 77, 219, 131, 45, 61, 251, 219, 96, 96, 320, 394, 161, 269, 159, 91, 193, 136, 250, 143, 288, 228, 153, 167]
+    rows = [("a", k, float(rates[k]), sum(map(float, rates[k - 3 : k])) / 3) for k in range(3, len(rates))]
+    got = reservoir.decline(spark.createDataFrame(rows, "id string, t int, y double, y_hat double"), "id").first()
+    assert got["decline_rate_true"] == pytest.approx(-8.146509565929631e-06, rel=1e-12)
+    assert round(got["decline_rate_error_pct"], 6) == -166915.508289  # -166915.50828882917 by 50 digits
+
+
 def test_full_metrics_and_fold_means(spark):
     df = spark.createDataFrame([("a", float(k), float(k + k % 2)) for k in range(10)] + [("b", 1.0, 1.0)], "unique_id string, y double, y_hat double")
     scales = spark.createDataFrame([("a", 2.0), ("b", 0.0)], "unique_id string, scale double")
