@@ -1,8 +1,8 @@
 """Importance resampling towards a target by hashed word features.
 
-Texts are counted once: each slice of documents becomes a block of a sparse matrix, document by
-bucket, in compressed rows (where each row begins, the buckets, the counts), and the
-blocks are written. All else reads the blocks. Their column sums are the distributions of the
+Texts are counted once: each becomes a row of a sparse matrix, document by bucket, compressed
+(the buckets, the counts), and the rows are written. All else reads these rows, which no reader
+holds more of than some thousands at once. Their column sums are the distributions of the
 corpus and of the target; the logarithm of how much likelier the target is in a bucket is
 that bucket's gain; and the matrix times the gains gives each document its weight. Seeded
 Gumbel noise on the weights turns the highest scores into a draw without replacement.
@@ -30,7 +30,6 @@ WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Bytes of a text that are cut into words at once.
 PART_BYTES = 1 << 20
-_PLACE = "task int, slice long"
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -86,32 +85,31 @@ def compressed(n: int, rows: np.ndarray, cols: np.ndarray, buckets: int) -> tupl
 
 
 def matrix(df: DataFrame, id_col: str, text_col: str, longest: int = 1, buckets: int = 10_000) -> DataFrame:
-    """The written blocks: task and slice (which block), ids, words, and the matrix as starts,
-    buckets, counts. A block has about 1 MB of text, or one longer text; at most ``buckets``
-    cells a text. Null texts are empty rows."""
+    """The written rows: task and place (which row), i, n_words, and the row's buckets, rising, and
+    counts; at most ``buckets`` of these. Null texts are empty rows."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, number = TaskContext.get().partitionId(), 0
+        task, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "t"):
                 data, offsets = buffers(part.column("t"))
                 n_words, rows, cols = features(data, offsets, longest, buckets)
                 starts, cells, counts = compressed(part.num_rows, rows, cols, buckets)
-                ids = part.column("i")
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (ids, pa.array(n_words, pa.int64()), pa.array(starts, pa.int64()), pa.array(cells, pa.int32()), pa.array(counts, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([number], pa.int64()), *lists], ["task", "slice", "ids", "words", "starts", "buckets", "counts"])
-                number += 1
+                lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(v, pa.int32())) for v in (cells, counts)]
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int32()), pa.array(np.arange(seen, seen + n), pa.int64()), part.column("i"), pa.array(n_words, pa.int64()), *lists], ["task", "place", "i", "n_words", "buckets", "counts"])
+                seen += n
 
     rows = df.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(text_col)).cast("string").alias("t"))
-    made = map_batches(rows, run, f"{_PLACE}, ids array<{kind}>, words array<long>, starts array<long>, buckets array<int>, counts array<int>")
+    made = map_batches(rows, run, f"task int, place long, i {kind}, n_words long, buckets array<int>, counts array<int>")
     return scratch.keep(made, "matrix")
 
 
-def column_sums(blocks: DataFrame, buckets: int) -> np.ndarray:
-    """How often each bucket occurs in all rows of a written matrix. Each task adds its blocks up
+def column_sums(rows: DataFrame, buckets: int) -> np.ndarray:
+    """How often each bucket occurs in all rows of a written matrix. Each task adds its rows up
     and gives one row a bucket that it met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +120,7 @@ def column_sums(blocks: DataFrame, buckets: int) -> np.ndarray:
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(total[met], pa.int64())], ["bucket", "n"])
 
-    sums = map_batches(blocks.select("buckets", "counts"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = map_batches(rows.select("buckets", "counts"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = np.zeros(buckets, np.int64)
     for r in sums.collect():  # as many rows as buckets
         total[r["bucket"]] = r["n"]
@@ -136,24 +134,19 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((t + 1) * float(s_all + buckets) / ((s + 1) * float(t_all + buckets)))) for s, t in zip(source.tolist(), target.tolist())], np.int64)
 
 
-def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
-    """i, task, place (the row's place in its task's blocks), n_words, n_features and weight of all
+def weights(rows: DataFrame, gain: np.ndarray) -> DataFrame:
+    """i, task, place (the row's place in its task), n_words, n_features and weight of all
     rows: the matrix times the gains."""
-    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    kind = rows.schema["i"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                ids, n_words, starts, cells, counts = (one.column(c).flatten() for c in ("ids", "words", "starts", "buckets", "counts"))
-                counts, starts = counts.to_numpy().astype(np.int64), starts.to_numpy()
-                many = np.concatenate(([0], np.cumsum(counts)))
-                worth = np.concatenate(([0], np.cumsum(counts * gain[cells.to_numpy()])))
-                n = len(ids)
-                place = (int(one.column("slice")[0].as_py()) << 32) + np.arange(n)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([one.column("task")[0].as_py()] * n, pa.int32()), pa.array(place, pa.int64()), n_words, pa.array(np.diff(many[starts]), pa.int64()), pa.array(np.diff(worth[starts]), pa.int64())], ["i", "task", "place", "n_words", "n_features", "weight"])
+            cells, counts = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("buckets", "counts"))
+            starts = np.concatenate(([0], np.cumsum(batch.column("counts").value_lengths().to_numpy().astype(np.int64))))
+            many, worth = (np.diff(np.concatenate(([0], np.cumsum(v)))[starts]) for v in (counts, counts * gain[cells]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("i", "task", "place", "n_words")), pa.array(many, pa.int64()), pa.array(worth, pa.int64())], ["i", "task", "place", "n_words", "n_features", "weight"])
 
-    return map_batches(blocks, run, f"i {kind}, task int, place long, n_words long, n_features long, weight long")
+    return map_batches(rows, run, f"i {kind}, task int, place long, n_words long, n_features long, weight long")
 
 
 def noise(id_col: str, seed: int) -> F.Column:
@@ -197,14 +190,14 @@ def resample(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
 
     A null or empty text has no features and weight 0. A null id has the noise of an empty one
     and comes last among equal scores. Repeated rows are documents of their own; rows that are
-    alike in score and id come in the order of their blocks. Other columns are not read,
+    alike in score and id come in the order of their tasks and places. Other columns are not read,
     whatever their names. An empty table gives an empty result; an empty target is all
     smoothing. A text of any length is counted whole, in some ten times its memory.
     """
-    blocks = matrix(df, id_col, text_col, longest, buckets)
+    counted = matrix(df, id_col, text_col, longest, buckets)
     wanted = matrix(target.select(F.lit(0).alias("i"), F.col(quoted(target_text)).alias("t")), "i", "t", longest, buckets)
-    gain = gains(column_sums(blocks, buckets), column_sums(wanted, buckets))
-    scored = weights(blocks, gain).withColumn("score", F.col("weight") + noise("i", seed))
+    gain = gains(column_sums(counted, buckets), column_sums(wanted, buckets))
+    scored = weights(counted, gain).withColumn("score", F.col("weight") + noise("i", seed))
     scored = scratch.keep(scored, "weights")
     eligible = scored.where(F.col("n_words") >= least_words)
     found = ranked(eligible, eligible.count() * percent // 100)

@@ -127,6 +127,14 @@ def test_resample_without_rows_or_target(spark):
     assert sorted(map(tuple, resample.resample(df, none, percent=50).collect())) == sorted(plain_resample([(0, "word " * 30), (1, "")], [], percent=50))
 
 
+def test_a_row_of_the_matrix_is_one_text(spark):
+    """Readers hold thousands of rows at once, so a row must not be a block of texts."""
+    texts = ["two one two", None, "", "three " * 70_000, "one"]
+    rows = resample.matrix(rows_of(spark, texts).coalesce(1), "doc_id", "text", buckets=50).orderBy("place").collect()
+    assert [(r["i"], r["n_words"], sorted(r["counts"])) for r in rows] == [(0, 3, [1, 2]), (1, 0, []), (2, 0, []), (3, 70_000, [70_000]), (4, 1, [1])]
+    assert len({(r["task"], r["place"]) for r in rows}) == 5
+
+
 def test_rows_of_the_matrix_are_compressed():
     starts, cells, n = resample.compressed(3, np.array([2, 0, 2, 2]), np.array([5, 1, 5, 0]), 10)
     assert starts.tolist() == [0, 1, 1, 3] and cells.tolist() == [1, 0, 5] and n.tolist() == [1, 1, 2]
