@@ -178,7 +178,7 @@ def closeness(spark, sf):
 @query("dirs coords", """WITH w AS (SELECT src, dst, w / (SELECT max(w) FROM dirs) AS w FROM dirs), tri AS (SELECT a.src AS well, sum(cbrt(a.w * b.w * c.w)) AS t FROM w a JOIN w b ON a.src = b.src AND a.dst < b.dst JOIN w c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src),
   k AS (SELECT src, count(*) AS k FROM dirs GROUP BY src) SELECT c.well, round(coalesce(2 * t / nullif(k * (k - 1), 0), 0), 6) AS clustering FROM coords c LEFT JOIN k ON k.src = c.well LEFT JOIN tri ON tri.well = c.well""", dated=False)
 def clustering_coeff(spark, sf):
-    return rounded(graph.clustering(t.coords(spark, sf), _edges(spark, sf)))
+    return rounded(graph.clustering_within(t.coords(spark, sf), 1000.0))
 
 
 @query("edges coords", """WITH e AS (SELECT *, 1 / d AS w FROM edges WHERE d > 0), q AS (SELECT quantile_cont(w, 0.5) AS cut FROM e), c AS (SELECT well, CASE WHEN z < -2060 THEN 1 ELSE 0 END AS cluster FROM coords)
