@@ -181,25 +181,29 @@ def robust_outliers(x: np.ndarray, share: float = 0.05, tries: int = 30, seed: i
     n, p = x.shape
     rng = np.random.default_rng(seed)
     keep = (n + p + 1) // 2
-    best, chosen = np.inf, np.arange(n)
-
-    def distance(rows):
-        c = np.atleast_2d(np.cov(x[rows].T)) + 1e-9 * np.eye(p)
-        d = x - x[rows].mean(0)
-        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d), np.linalg.slogdet(c)[1]
-
-    for _ in range(tries):
-        rows = rng.choice(n, p + 1, replace=False)
-        for _ in range(20):
-            d, size = distance(rows)
-            after = np.sort(np.argsort(d, kind="stable")[:keep])
-            if np.array_equal(after, rows):
-                break
-            rows = after
-        size = distance(rows)[1]
-        if size < best:
-            best, chosen = size, rows
-    d = distance(chosen)[0]
+
+    def distances(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row of ``rows`` the distances of all and the logarithm of the determinant."""
+        some = x[rows]
+        mean = some.mean(1)
+        off = some - mean[:, None]
+        c = off.transpose(0, 2, 1) @ off / (rows.shape[1] - 1) + 1e-9 * np.eye(p)
+        d = x - mean[:, None]
+        return ((d @ np.linalg.inv(c)) * d).sum(2), np.linalg.slogdet(c)[1]
+
+    # All tries take their steps together; those that don't move any more are left out.
+    rows = np.array([rng.choice(n, p + 1, replace=False) for _ in range(tries)])
+    left, kept = np.arange(tries), np.zeros((tries, keep), int)
+    for step in range(20):
+        d = distances(rows)[0]
+        after = np.sort(np.argsort(d, axis=1, kind="stable")[:, :keep], axis=1)
+        moved = np.full(len(left), True) if after.shape != rows.shape else (after != rows).any(1)
+        kept[left] = after
+        left, rows = left[moved], after[moved]
+        if not len(left):
+            break
+    chosen = kept[distances(kept)[1].argmin()]
+    d = distances(chosen[None])[0][0]
     return d > np.quantile(d, 1 - share)
 
 
