@@ -123,11 +123,17 @@ def causal_evidence(rows: DataFrame, least: int = CAUSAL_ROWS) -> DataFrame:
 def kernel_scores(near: DataFrame, rows: DataFrame, tried: Sequence[tuple[int, str, Mapping[str, float]]], group: Callable[[str], Column] | None = None) -> DataFrame:
     """cand (place in ``tried``), score: the sum over producers of |correlation| between the
     weighted lagged rates and the target, in one job for all candidates. With ``group``, a
-    function of the producers' column, also group: a score for each of these."""
-    values = F.array(*(F.struct(F.lit(k).alias("cand"), (pairs.kernel(name, F.col("metric_d"), **p) * F.col("direction_factor")).alias("k")) for k, (_, name, p) in enumerate(tried)))
-    each = near.select(*PAIR, F.explode(values).alias("c")).select(*PAIR, "c.*")
-    weights = pairs.normalised(each, ["cand", "prod_id"], "k", "cw").drop("k")
-    series = rows.select(*PAIR, "ds", "y", "x").join(weights, PAIR).groupBy("cand", "prod_id", "ds").agg(F.first("y").alias("y"), F.sum(F.col("cw") * F.col("x")).alias("v"))
+    function of the producers' column, also group: a score for each of these.
+
+    rows: those of the pairs in near, with its metric_d and direction_factor. Rows go to their producer once;
+    candidates are columns until a producer's month is one row, and none of them is sent anywhere."""
+    value = [pairs.kernel(name, F.col("metric_d"), **p) * F.col("direction_factor") for _, name, p in tried]
+    total = near.groupBy("prod_id").agg(F.count("*").alias("__n"), F.array(*(F.sum(v) for v in value)).alias("__t"))
+    met = rows.select("prod_id", "ds", "y", "x", "metric_d", "direction_factor").repartition("prod_id").join(total, "prod_id")
+    # Shares of the producer's sum (pairs.normalised).
+    share = lambda k: F.when(F.col("__t")[k] > 0, value[k] / F.col("__t")[k]).otherwise(1.0 / F.col("__n"))
+    months = met.groupBy("prod_id", "ds").agg(F.first("y").alias("y"), *(F.sum(share(k) * F.col("x")).alias(f"__v{k}") for k in range(len(tried))))
+    series = months.select("prod_id", "y", F.posexplode(F.array(*(f"__v{k}" for k in range(len(tried))))).alias("cand", "v"))
     r = series.groupBy("cand", "prod_id").agg(F.abs(pairs.correlation(F.col("v"), F.col("y"))).alias("r"))
     by = [group("prod_id").alias("group")] if group else []
     return r.groupBy(*by, "cand").agg(F.sum(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias("score"))
