@@ -44,6 +44,14 @@ def _stepped(series: DataFrame, key: str, time: str, value: str, change: str | N
     return cut(series.withColumn("__d", step))
 
 
+#: Values closer than this share of a series' largest count as equal: the order of a sum may part them.
+TIE = 1e-12
+
+
+def _slack(value: str):
+    return (TIE * F.max(F.abs(value))).alias("__t")
+
+
 def regimes(series: DataFrame, key: str, time: str, value: str, cutoff, change: str | None = None) -> DataFrame:
     """Numbers of regimes: by the terciles of the training values, then one for changes at or
     above the training changes' 80th percentile and one for those at or below the 20th, which
@@ -51,10 +59,10 @@ def regimes(series: DataFrame, key: str, time: str, value: str, cutoff, change:
     the most frequent one's number, the smallest of equals. Fewer than five training rows: 0."""
     stepped = _stepped(series, key, time, value, change).withColumn("__train", upto(time, cutoff, key))
     train = stepped.where("__train")
-    q = train.groupBy(key).agg(F.count(value).alias("__n"), F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("__q"), F.percentile("__d", F.array(F.lit(0.2), F.lit(0.8))).alias("__e"))
-    third = F.when(F.col(value) < F.col("__q")[0], 0).when(F.col(value) < F.col("__q")[1], 1).otherwise(2)
-    apart = F.col("__e")[1] > F.col("__e")[0]
-    raw = F.when(F.coalesce(F.col("__n"), F.lit(0)) < 5, 0).when(apart & (F.col("__d") <= F.col("__e")[0]), 4).when(apart & (F.col("__d") >= F.col("__e")[1]), 3).otherwise(third)
+    q = train.groupBy(key).agg(F.count(value).alias("__n"), F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("__q"), F.percentile("__d", F.array(F.lit(0.2), F.lit(0.8))).alias("__e"), _slack(value))
+    third = F.when(F.col(value) < F.col("__q")[0] - F.col("__t"), 0).when(F.col(value) < F.col("__q")[1] - F.col("__t"), 1).otherwise(2)
+    apart = F.col("__e")[1] > F.col("__e")[0] + F.col("__t")
+    raw = F.when(F.coalesce(F.col("__n"), F.lit(0)) < 5, 0).when(apart & (F.col("__d") <= F.col("__e")[0] + F.col("__t")), 4).when(apart & (F.col("__d") >= F.col("__e")[1] - F.col("__t")), 3).otherwise(third)
     labelled = stepped.join(q, key, "left").withColumn("__r", raw)
     counts = labelled.where("__train").groupBy(key, "__r").agg(F.count("*").alias("__c"))
     seen = counts.groupBy(key).agg(F.array_sort(F.collect_set("__r")).alias("__seen"), (-F.max(F.struct(F.col("__c"), (-F.col("__r")).alias("r")))["r"]).alias("__mode"))
@@ -83,9 +91,9 @@ def stage_mix(series: DataFrame, key: str, time: str, value: str, cutoff, base:
     the regime part: the stage's, shifted by the size of the change, times the base, smoothed
     over time. Fewer than five training rows: stage 0 and the base itself."""
     stepped = _stepped(series, key, time, value, change)
-    q = stepped.where(upto(time, cutoff, key)).groupBy(key).agg(F.count(value).alias("__n"), F.percentile(value, F.array(F.lit(0.33), F.lit(0.66))).alias("__q"), F.percentile(F.abs("__d"), 0.9).alias("__s"))
+    q = stepped.where(upto(time, cutoff, key)).groupBy(key).agg(F.count(value).alias("__n"), F.percentile(value, F.array(F.lit(0.33), F.lit(0.66))).alias("__q"), F.percentile(F.abs("__d"), 0.9).alias("__s"), _slack(value))
     j = stepped.join(q, key, "left").withColumn("__few", F.coalesce(F.col("__n"), F.lit(0)) < 5)
-    stage = F.when(F.col("__few"), 0).when(F.col(value) < F.col("__q")[0], 0).when(F.col(value) < F.col("__q")[1], 1).otherwise(2)
+    stage = F.when(F.col("__few"), 0).when(F.col(value) < F.col("__q")[0] - F.col("__t"), 0).when(F.col(value) < F.col("__q")[1] - F.col("__t"), 1).otherwise(2)
     j = j.withColumn("stage_id", F.coalesce(stage, F.lit(0)))
     shift = 0.15 * F.least(F.coalesce(F.try_divide(F.abs("__d"), F.col("__s")), F.lit(0.0)), F.lit(1.0))
     share = lambda k: F.when(F.col("stage_id") == 0, STAGE_MIX[0][k]).when(F.col("stage_id") == 1, STAGE_MIX[1][k]).otherwise(STAGE_MIX[2][k])
